@@ -150,7 +150,7 @@ JOB_COLUMNS = ["title", "company", "location", "body"]
 
 def relisted_jobs(jobs: DataFrame) -> NearDuplicates:
     """Listings of one opening: at least half of their three-word sequences in common."""
-    return near_duplicates(jobs, "url", JOB_COLUMNS, shingle=3, threshold=0.5, bands=64, rows=5)
+    return near_duplicates(jobs, "url", JOB_COLUMNS, shingle=3, threshold=0.5, bands=100, rows=5)
 
 
 def classes(found: NearDuplicates, rounds: int = 30) -> DataFrame:

@@ -72,8 +72,11 @@ QUERIES = {
     for f in (p1_found, p1_misses, p4_found, p4_document_classes, p6_found, p6_strengths, p7_found, p8_found, p8_longest_matches, p8_clean_counts, p9_mix_plan, p9_mix_shares, p10_found, p10_scores)
 }
 
-_P8 = """WITH d AS (SELECT doc_id, regexp_extract_all(lower(strip_accents(nfc_normalize(text))), '[\\p{L}\\p{N}]+') AS w FROM documents),
-b AS (SELECT item_id, regexp_extract_all(lower(strip_accents(nfc_normalize(text))), '[\\p{L}\\p{N}]+') AS w FROM benchmark),
+_PLAIN = "lower(strip_accents(nfc_normalize(text)))"
+for _from, _to in (("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("æ", "ae"), ("œ", "oe"), ("ß", "ss"), ("\u00ad", ""), ("\u200b", "")):
+    _PLAIN = f"replace({_PLAIN}, '{_from}', '{_to}')"
+_P8 = f"""WITH d AS (SELECT doc_id, regexp_extract_all({_PLAIN}, '[\\p{{L}}\\p{{N}}]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({_PLAIN}, '[\\p{{L}}\\p{{N}}]+') AS w FROM benchmark),
 dg AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+9], ' ') AS g FROM d, unnest(generate_series(1, len(w) - 9)) AS t(i)),
 bg AS (SELECT DISTINCT item_id, array_to_string(w[i:i+9], ' ') AS g FROM b, unnest(generate_series(1, len(w) - 9)) AS t(i)),
 hit AS (SELECT DISTINCT doc_id, item_id FROM dg JOIN bg USING (g))"""
@@ -83,6 +86,7 @@ n AS (SELECT url, count(*) AS n FROM g GROUP BY url),
 p AS (SELECT a.url AS url_a, b.url AS url_b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.url < b.url GROUP BY ALL)
 SELECT url_a, url_b FROM p JOIN n x ON x.url = url_a JOIN n y ON y.url = url_b WHERE c >= 0.5 * (x.n + y.n - c)"""
 ORACLES = {
+    "p4_found": _P4,
     "p8_found": f"{_P8} SELECT doc_id, item_id FROM hit",
     "p8_clean_counts": f"{_P8} SELECT lang, count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM hit) GROUP BY lang",
 }
