@@ -6,6 +6,7 @@ is the minimum of pi[(x + k) mod D] over the shingles x, so the coordinates of a
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 
@@ -72,30 +73,129 @@ def shingle_hashes(text: str, size: int, known: dict[str, int]) -> np.ndarray:
     return np.unique(out ^ (out >> np.uint64(32)))
 
 
-def _signer(bands: int, rows: int, size: int):
+#: Entries of one bucket partition, 16 bytes each while they are sorted.
+PARTITION_ENTRIES = 4_000_000
+#: Text hashes up to so many (8 MB) may be broadcast; their number is counted first.
+BROADCAST_REPS = 1_000_000
+_SEEN = 200_000
+
+
+def _signer(bands: int, rows: int, size: int, parts: int, width: int):
+    """Rows (part, blob): per batch and bucket partition, the text hashes and, text by text, `width` bytes of each band key."""
+
     def run(batches):
-        c, known = Circulant(bands, rows), {}
+        c, known, seen = Circulant(bands, rows), {}, set()
+        split = max(1, -(-parts // bands))
+        band = np.arange(bands)
         for batch in batches:
-            ids = batch.column(0)
-            keys, sets = [], []
-            for text in batch.column(1).to_pylist():
+            reps, keys = [], []
+            for rep, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if rep in seen:
+                    continue
+                if len(seen) >= _SEEN:
+                    seen.clear()
+                seen.add(rep)
                 hashes = shingle_hashes(text, size, known)
-                sets.append(hashes.view(np.int64))
-                keys.append(c.band_keys(c.signature(hashes)) if len(hashes) else np.zeros(0, np.int64))
-            offsets = lambda xs: pa.array(np.concatenate([[0], np.cumsum([len(x) for x in xs])]).astype(np.int32))
-            as_list = lambda xs: pa.ListArray.from_arrays(offsets(xs), pa.array(np.concatenate(xs) if xs else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([ids, as_list(keys), as_list(sets)], names=["rep", "bands", "shingles"])
+                if len(hashes):
+                    reps.append(rep)
+                    keys.append(c.band_keys(c.signature(hashes)))
+            if not reps:
+                continue
+            k = np.array(keys).view(np.uint64)
+            part = (band * split + ((k >> np.uint64(56)) % np.uint64(split)).astype(np.int64)) % parts
+            low = k.view(np.uint8).reshape(len(reps), bands, 8)[:, :, :width]
+            rep = np.array(reps, np.int64)
+            found, blobs = [], []
+            for p in np.unique(part):
+                at = part == p
+                n = at.sum(1)
+                some = n > 0
+                found.append(int(p))
+                blobs.append(np.array([some.sum()], np.int64).tobytes() + rep[some].tobytes() + n[some].astype(np.uint16).tobytes() + low[at].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
 
     return run
 
 
-def joined_text(columns: list[str]) -> Column:
-    return F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+def _pairer(width: int):
+    """Pairs of different texts that share a band key, from all blobs of one bucket partition."""
+
+    def run(batches):
+        reps, keys = [], []
+        for batch in batches:
+            for blob in batch.column("blob").to_pylist():
+                m = int(np.frombuffer(blob, np.int64, 1)[0])
+                rep = np.frombuffer(blob, np.int64, m, 8)
+                n = np.frombuffer(blob, np.uint16, m, 8 + 8 * m)
+                raw = np.frombuffer(blob, np.uint8, offset=8 + 10 * m).reshape(-1, width)
+                wide = np.zeros((len(raw), 8), np.uint8)
+                wide[:, :width] = raw
+                reps.append(np.repeat(rep, n))
+                keys.append(wide.view(np.uint64).ravel())
+        if not reps:
+            return
+        rep, key = np.concatenate(reps), np.concatenate(keys)
+        del reps, keys
+        order = np.lexsort((rep, key))
+        rep, key = rep[order], key[order]
+        keep = np.concatenate([[True], (key[1:] != key[:-1]) | (rep[1:] != rep[:-1])])
+        rep, key = rep[keep], key[keep]
+        edge = np.nonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))[0]
+        a, b, waiting = [], [], 0
+
+        def emit():
+            x, y = np.concatenate(a), np.concatenate(b)
+            a.clear(), b.clear()
+            pair = np.unique(np.stack([x, y], 1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[:, 0])), pa.array(np.ascontiguousarray(pair[:, 1]))], names=["rep_a", "rep_b"])
+
+        size = np.diff(edge)
+        for i in np.nonzero(size > 1)[0]:
+            bucket = rep[edge[i] : edge[i + 1]]
+            for k in range(len(bucket) - 1):  # row by row, so a large bucket never stands in memory as pairs
+                a.append(np.full(len(bucket) - 1 - k, bucket[k]))
+                b.append(bucket[k + 1 :])
+                waiting += len(bucket) - 1 - k
+                if waiting > 500_000:
+                    yield emit()
+                    waiting = 0
+        if a:
+            yield emit()
+
+    return run
+
 
+def _verifier(size: int, threshold: float):
+    """Exact Jaccard similarity of the two texts of each row."""
 
-def _jaccard(a: str, b: str) -> Column:
-    both = F.size(F.array_intersect(a, b))
-    return both / (F.size(a) + F.size(b) - both)
+    def run(batches):
+        known: dict[str, int] = {}
+        recent: dict[int, np.ndarray] = {}
+
+        def hashes(rep, text):
+            if rep not in recent:
+                if len(recent) > 2_000:
+                    recent.clear()
+                recent[rep] = shingle_hashes(text, size, known)
+            return recent[rep]
+
+        for batch in batches:
+            ra, rb, sim = [], [], []
+            for x, y, s, t in zip(*(batch.column(k).to_pylist() for k in ("rep_a", "rep_b", "text_a", "text_b"))):
+                u, v = hashes(x, s), hashes(y, t)
+                if min(len(u), len(v)) < threshold * max(len(u), len(v)):
+                    continue
+                both = len(np.intersect1d(u, v, assume_unique=True))
+                j = both / (len(u) + len(v) - both)
+                if j >= threshold:
+                    ra.append(x), rb.append(y), sim.append(j)
+            yield pa.RecordBatch.from_arrays([pa.array(ra, pa.int64()), pa.array(rb, pa.int64()), pa.array(sim, pa.float64())], names=["rep_a", "rep_b", "similarity"])
+
+    return run
+
+
+def joined_text(columns: list[str]) -> Column:
+    return F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
 
 
 class NearDuplicates:
@@ -113,35 +213,30 @@ class NearDuplicates:
 
 
 def near_duplicates(
-    df: DataFrame, key: str, columns: list[str], shingle: int = 5, threshold: float = 0.8, bands: int = 64, rows: int = 5
+    df: DataFrame, key: str, columns: list[str], shingle: int = 5, threshold: float = 0.8, bands: int = 64, rows: int = 7
 ) -> NearDuplicates:
     """Texts whose sets of `shingle`-word sequences have a Jaccard similarity of at least `threshold`.
 
-    Equal word sequences are one text from the start (`rep`, a 64-bit hash), so copies cost nothing later, however many.
-    Texts that share a band are candidates; buckets are joined, never collected, and every candidate is verified by its
-    exact shingle sets. Texts without words match nothing; texts of fewer words than a shingle match by all their words.
-    NULL keys don't count. Chance to miss a pair of similarity s: (1 - s^rows)^bands.
+    Equal texts are one from the start (`rep`, a 64-bit hash), so copies cost nothing later, however many. Texts that
+    share a band are candidates; every candidate is verified by its exact shingle sets. Band keys travel packed, some
+    five bytes each, and are matched in as many partitions as bounded memory needs. Texts without words match nothing;
+    texts of fewer words than a shingle match by all their words. NULL keys don't count, NULL columns are blank. Chance
+    to miss a pair of similarity s: (1 - s^rows)^bands.
     """
-    words = F.array_join(F.regexp_extract_all(F.lower(joined_text(columns)), F.lit(r"([\p{L}\p{N}\p{M}]+)"), 1), " ")
-    texts = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), joined_text(columns).alias("text"), words.alias("norm")).where("norm <> ''")
-    texts = texts.select("key", F.xxhash64("norm").alias("rep"), "text")
+    spark = df.sparkSession
+    text = joined_text(columns)
+    texts = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.xxhash64(text).alias("rep"), text.alias("text")).where(F.col("text").rlike(r"[\p{L}\p{N}]"))
     members = texts.select("key", "rep").distinct()
-    one_each = texts.groupBy("rep").agg(F.min("text").alias("text"))
-    signed = cut(one_each.mapInArrow(_signer(bands, rows, shingle), "rep bigint, bands array<bigint>, shingles array<bigint>"))
-    buckets = signed.select("rep", F.explode("bands").alias("band"))
-    # only buckets of two texts or more go on; counting combines on the map side
-    full = buckets.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    shared = buckets.join(full, "band")
-    left, right = shared.select("band", F.col("rep").alias("rep_a")), shared.select("band", F.col("rep").alias("rep_b"))
-    candidates = left.join(right, "band").where("rep_a < rep_b").select("rep_a", "rep_b").distinct()
-    sets = signed.select("rep", "shingles")
-    verified = (
-        candidates.join(sets.select(F.col("rep").alias("rep_a"), F.col("shingles").alias("sa")), "rep_a")
-        .join(sets.select(F.col("rep").alias("rep_b"), F.col("shingles").alias("sb")), "rep_b")
-        .where(F.least(F.size("sa"), F.size("sb")) >= threshold * F.greatest(F.size("sa"), F.size("sb")))
-        .select("rep_a", "rep_b", _jaccard("sa", "sb").alias("similarity"))
-        .where(F.col("similarity") >= threshold)
-    )
+    n = max(2, df.count())
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * bands // PARTITION_ENTRIES))
+    width = min(8, max(4, math.ceil((2 * math.log2(n) - 5) / 8)))
+    blobs = texts.select("rep", "text").mapInArrow(_signer(bands, rows, shingle, parts, width), "part int, blob binary")
+    candidates = cut(blobs.repartitionById(parts, "part").mapInArrow(_pairer(width), "rep_a bigint, rep_b bigint").distinct())
+    needed = cut(candidates.select(F.explode(F.array("rep_a", "rep_b")).alias("rep")).distinct())
+    few = needed.limit(BROADCAST_REPS + 1).count() <= BROADCAST_REPS
+    one_each = texts.select("rep", "text").join(F.broadcast(needed) if few else needed, "rep", "left_semi").groupBy("rep").agg(F.first("text").alias("text"))
+    sides = candidates.join(one_each.select(F.col("rep").alias("rep_a"), F.col("text").alias("text_a")), "rep_a").join(one_each.select(F.col("rep").alias("rep_b"), F.col("text").alias("text_b")), "rep_b")
+    verified = sides.mapInArrow(_verifier(shingle, threshold), "rep_a bigint, rep_b bigint, similarity double")
     return NearDuplicates(members, verified)
 
 
@@ -150,7 +245,7 @@ JOB_COLUMNS = ["title", "company", "location", "body"]
 
 def relisted_jobs(jobs: DataFrame) -> NearDuplicates:
     """Listings of one opening: at least half of their three-word sequences in common."""
-    return near_duplicates(jobs, "url", JOB_COLUMNS, shingle=3, threshold=0.5, bands=100, rows=5)
+    return near_duplicates(jobs, "url", JOB_COLUMNS, shingle=3, threshold=0.5, bands=192, rows=7)
 
 
 def classes(found: NearDuplicates, rounds: int = 30) -> DataFrame:
