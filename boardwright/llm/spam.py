@@ -47,8 +47,16 @@ V = len(_NAMES)
 _F = len(_FUNCTION)
 _LOWER, _TITLE, _UPPER = (_CODE[f"{c}1"] for c in ("a", "Aa", "AA"))
 _NEWLINE, _START, _KEY = _CODE["\n"], _CODE["start"], _CODE["K"]
-_STOPS = np.array([_CODE[c] for c in ".!?\n"])
-_ODD = np.array([_CODE[c] for c in ("K", "URL", "TAG", "|", "<", "[", "#", f"a{RUN}", f"Aa{RUN}", f"AA{RUN}")])
+
+
+def _table(codes) -> np.ndarray:
+    return np.isin(np.arange(V), list(codes))
+
+
+_IS_STOP = _table(_CODE[c] for c in ".!?\n")
+_IS_FUNCTION = _table(range(_F))
+_IS_ODD = _table(_CODE[c] for c in ("K", "URL", "TAG", "|", "<", "[", "#", f"a{RUN}", f"Aa{RUN}", f"AA{RUN}"))
+_IS_WORD = _table([*range(_LOWER + 3 * RUN), *(_CODE[c] for c in ("K", "9", "URL", "TAG"))])
 
 
 def _kind(token: str) -> tuple[int, int]:
@@ -136,36 +144,41 @@ class Classifier:
         return code.astype(np.int16), size, start
 
 
-def _prose(code: np.ndarray) -> np.ndarray:
-    """Which tokens of a text stand in sentences with enough function words and no keywords or links: prose to train on."""
+def _prose(code: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Which tokens stand in sentences with enough function words and no keywords or links: prose to train on.
+
+    `start` holds where each text begins, and the end.
+    """
     n = len(code)
-    ends = np.nonzero(np.isin(code, _STOPS))[0]
-    if not len(ends):
-        return np.zeros(n, bool)
-    seg = np.concatenate([[0], np.cumsum(np.isin(code, _STOPS))[:-1]])
-    k = int(seg[-1]) + 1
-    words = np.bincount(seg, (code < _LOWER + 3 * RUN) | np.isin(code, (_KEY, _CODE["9"], _CODE["URL"], _CODE["TAG"])), minlength=k)
-    fun = np.bincount(seg, code < _F, minlength=k)
-    odd = np.bincount(seg, np.isin(code, _ODD), minlength=k)
-    last = np.full(k, -1)
-    last[seg[ends]] = code[ends]
-    good = (words >= 5) & (fun >= 0.2 * words) & (odd == 0) & (last >= 0) & (last != _NEWLINE)
+    if not n:
+        return np.zeros(0, bool)
+    stop = _IS_STOP[code]
+    opens = np.concatenate([[True], stop[:-1]])
+    opens[start[:-1][start[:-1] < n]] = True
+    seg = np.cumsum(opens) - 1
+    first = np.nonzero(opens)[0]
+    k = len(first)
+    last = code[np.concatenate([first[1:], [n]]) - 1]
+    words, fun, odd = (np.bincount(seg, table[code], minlength=k) for table in (_IS_WORD, _IS_FUNCTION, _IS_ODD))
+    good = (words >= 5) & (fun >= 0.2 * words) & (odd == 0) & _IS_STOP[last] & (last != _NEWLINE)
+    # a line break between sentences belongs to the prose before it
     alone = (last == _NEWLINE) & (np.bincount(seg, minlength=k) == 1)
-    for j in range(1, k):  # a line break between sentences belongs to the prose around it
-        if alone[j] and good[j - 1]:
-            good[j] = True
+    before = np.maximum.accumulate(np.where(alone, 0, np.arange(k)))
+    text = np.searchsorted(start, first, side="right")
+    good = np.where(alone, good[before] & (text[before] == text), good)
     return good[seg]
 
 
-def _grams(code: np.ndarray) -> np.ndarray:
-    c = np.concatenate([[_START, _START], code.astype(np.int64)])
-    return (c[:-2] * V + c[1:-1]) * V + c[2:]
-
-
-def _pieces(code: np.ndarray) -> list[np.ndarray]:
-    ok = np.concatenate([[False], _prose(code), [False]])
-    edge = np.nonzero(ok[1:] != ok[:-1])[0]
-    return [code[a:b] for a, b in zip(edge[::2], edge[1::2]) if b - a > 5]
+def _grams(code: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The trigram that ends at each token; stretches begin at `start`."""
+    c = code.astype(np.int64)
+    one, two = np.full(len(c), _START), np.full(len(c), _START)
+    one[1:], two[2:] = c[:-1], c[:-2]
+    begin = start[start < len(c)]
+    one[begin] = two[begin] = _START
+    begin = begin[begin + 1 < len(c)] + 1
+    two[begin] = _START
+    return (two * V + one) * V + c
 
 
 def _classify_batches(batches):
@@ -174,20 +187,39 @@ def _classify_batches(batches):
         for at in range(0, batch.num_rows, 1000):
             part = batch.slice(at, 1000)
             code, size, start = classify(part.column(1).to_pylist())
-            size = np.minimum(size, 255).astype(np.uint8)
+            # the top bit of a size marks prose
+            size = (np.minimum(size, 127) | (_prose(code, start) << 7)).astype(np.uint8)
             cut_ = [(code[a:b].tobytes(), size[a:b].tobytes()) for a, b in zip(start[:-1], start[1:])]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([c for c, _ in cut_], pa.binary()), pa.array([s for _, s in cut_], pa.binary())], names=["doc_id", "codes", "sizes"])
 
 
-def _codes(batch):
-    return [np.frombuffer(b, np.int16) for b in batch.column("codes").to_pylist()]
+def _stored(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, sizes, starts) of the texts of a batch, one after the other."""
+    codes, sizes = batch.column("codes").to_pylist(), batch.column("sizes").to_pylist()
+    start = np.concatenate([[0], np.cumsum([len(s) for s in sizes])]).astype(np.int64)
+    return np.frombuffer(b"".join(codes), np.int16), np.frombuffer(b"".join(sizes), np.uint8), start
+
+
+def _stretches(batch) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, starts) of the stretches of prose of more than five tokens."""
+    code, size, start = _stored(batch)
+    ok = size >= 128
+    opens = ok & ~np.concatenate([[False], ok[:-1]])
+    begin = start[:-1][start[:-1] < len(ok)]
+    opens[begin] = ok[begin]
+    at = np.nonzero(ok)[0]
+    piece = np.cumsum(opens[at]) - 1
+    length = np.bincount(piece) if len(piece) else np.zeros(0, np.int64)
+    keep = (length > 5)[piece] if len(piece) else np.zeros(0, bool)
+    length = length[length > 5]
+    return code[at[keep]], np.concatenate([[0], np.cumsum(length)]).astype(np.int64)
 
 
 def _count_batches(batches):
     for batch in batches:
-        grams = [_grams(p) for c in _codes(batch) for p in _pieces(c)]
-        if grams:
-            gram, n = np.unique(np.concatenate(grams), return_counts=True)
+        code, start = _stretches(batch)
+        if len(code):
+            gram, n = np.unique(_grams(code, start), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n.astype(np.int64))], names=["gram", "n"])
 
 
@@ -217,20 +249,17 @@ class ProseModel:
             p = np.where(t > 0, (self._find(g, c, want) + d * p) / np.maximum(t + d, 1), p)
         return -np.log2(p)
 
-    def surprisals(self, codes: list[np.ndarray]) -> list[np.ndarray]:
-        """Bits of each token of each text, averaged over the tokens around it."""
-        if not codes:
-            return []
-        gram, at = np.unique(np.concatenate([_grams(c) for c in codes]), return_inverse=True)
-        bits, out, i = self.bits(gram)[at], [], 0
-        for c in codes:
-            b = bits[i : i + len(c)]
-            i += len(c)
-            acc = np.concatenate([[0.0], np.cumsum(b)])
-            k = np.arange(len(b))
-            lo, hi = np.maximum(k - REACH, 0), np.minimum(k + REACH + 1, len(b))
-            out.append((acc[hi] - acc[lo]) / np.maximum(hi - lo, 1))
-        return out
+    def surprisals(self, code: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Bits of each token, averaged over the tokens around it in the same stretch."""
+        if not len(code):
+            return np.zeros(0)
+        gram, at = np.unique(_grams(code, start), return_inverse=True)
+        acc = np.concatenate([[0.0], np.cumsum(self.bits(gram)[at])])
+        k = np.arange(len(code))
+        length = np.diff(start)
+        lo = np.maximum(k - REACH, np.repeat(start[:-1], length))
+        hi = np.minimum(k + REACH + 1, np.repeat(start[1:], length))
+        return (acc[hi] - acc[lo]) / (hi - lo)
 
 
 def classified(documents: DataFrame) -> DataFrame:
@@ -252,8 +281,9 @@ def _bins(blob):
     def run(batches):
         hist = np.zeros(10_000, np.int64)
         for batch in batches:
-            for s in blob.value.surprisals([p for c in _codes(batch) for p in _pieces(c) if len(p) > 2 * REACH]):
-                hist += np.bincount(np.minimum((s * 100).astype(int), 9_999), minlength=10_000)
+            code, start = _stretches(batch)
+            s = blob.value.surprisals(code, start)[np.repeat(np.diff(start) > 2 * REACH, np.diff(start))]
+            hist += np.bincount(np.minimum((s * 100).astype(int), 9_999), minlength=10_000)
         b = np.nonzero(hist)[0]
         yield pa.RecordBatch.from_arrays([pa.array(b.astype(np.int32)), pa.array(hist[b])], names=["bin", "n"])
 
@@ -272,14 +302,16 @@ def _quantile(hist: list[tuple[int, int]], q: float) -> float:
 def _scorer(blob, low: float, high: float):
     def run(batches):
         for batch in batches:
-            share, bits, words = [], [], []
-            for s, z in zip(blob.value.surprisals(_codes(batch)), batch.column("sizes").to_pylist()):
-                size = np.frombuffer(z, np.uint8).astype(np.int64)
-                n = int(size.sum())
-                share.append(float(size[(s > high) | (s < low)].sum() / n) if n else 0.0)
-                bits.append(float(s.mean()) if n else 0.0)
-                words.append(n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(share, pa.float64()), pa.array(bits, pa.float64()), pa.array(words, pa.int64())], names=["doc_id", "spam_share", "bits", "words"])
+            code, size, start = _stored(batch)
+            size = (size & 127).astype(np.int64)
+            s = blob.value.surprisals(code, start)
+            length = np.diff(start)
+            doc = np.repeat(np.arange(len(length)), length)
+            total = lambda x: np.bincount(doc, x, minlength=len(length))  # noqa: E731, B023
+            words = total(size)
+            share = total(size * ((s > high) | (s < low))) / np.maximum(words, 1)
+            bits = total(s) / np.maximum(length, 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(share), pa.array(bits), pa.array(words.astype(np.int64))], names=["doc_id", "spam_share", "bits", "words"])
 
     return run
 
