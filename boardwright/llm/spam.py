@@ -270,7 +270,7 @@ def classified(documents: DataFrame) -> DataFrame:
 
 def train(sequences: DataFrame) -> ProseModel:
     """Counts over the prose of all documents; classes are a closed set, so the model's size doesn't follow the corpus."""
-    counts = sequences.select("codes").mapInArrow(_count_batches, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    counts = sequences.select("codes", "sizes").mapInArrow(_count_batches, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
     rows = collect_bounded(counts, MAX_NGRAMS, "class n-grams")
     return ProseModel(np.array([r["gram"] for r in rows], np.int64), np.array([r["n"] for r in rows], float))
 
