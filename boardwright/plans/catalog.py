@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from boardwright.plans import core_problems
+from boardwright.plans import core_problems, listings
 
-_MODULES = [core_problems]
+_MODULES = [core_problems, listings]
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
-FLAGSHIP = "p2_found"
+FLAGSHIP = "score_board"
