@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from boardwright.plans import core_problems, listings
+from boardwright.plans import core_problems, listings, operations, retrieval
 
-_MODULES = [core_problems, listings]
+_MODULES = [core_problems, listings, retrieval, operations]
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
 FLAGSHIP = "score_board"
