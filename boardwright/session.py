@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,3 +42,18 @@ def collect_bounded(df: DataFrame, max_rows: int, what: str) -> list:
     if len(rows) > max_rows:
         raise ValueError(f"{what}: more than {max_rows} rows, too many for a driver-side dictionary")
     return rows
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable on the executors, once a context, unless the launcher's PYTHONPATH already names it."""
+    root = Path(__file__).resolve().parent.parent
+    sc = spark.sparkContext
+    if getattr(sc, "_boardwright_shipped", False) or any(p and Path(p).resolve() == root for p in os.environ.get("PYTHONPATH", "").split(os.pathsep)):
+        return
+    # served by the driver, like any file added to a context
+    made = Path(tempfile.mkdtemp(prefix="boardwright-")) / "boardwright.zip"
+    with zipfile.ZipFile(made, "w") as z:
+        for p in sorted((root / "boardwright").rglob("*.py")):
+            z.write(p, p.relative_to(root))
+    sc.addPyFile(str(made))
+    sc._boardwright_shipped = True
