@@ -274,7 +274,9 @@ class PlaceMap:
         best = []
         for i in range(len(words)):
             for j in range(i + 1, min(len(words), i + 5) + 1):
-                for d, (ref, _) in self.find.find("".join(words[i:j])):
+                for d, (ref, city) in self.find.find("".join(words[i:j])):
+                    if d > 0 and j - i > 1 and " " not in city:
+                        continue  # a misspelt city of one word doesn't take in the word beside it
                     rest = words[:i] + words[j:]
                     if self._around(rest, ref):
                         best.append((d, -(j - i), -self.frequency.get(ref, 0), ref))
