@@ -74,7 +74,8 @@ def html_plain_text(c: Column, entities: bool = True) -> Column:
     """Display text: scripts, tags and a tag cut off at the end as blanks, all entities decoded, white space collapsed."""
     t = F.regexp_replace(text(c), r"(?is)<(script|style)\b.*?</\1>", " ")
     t = F.regexp_replace(F.regexp_replace(t, r"<[^>]+>", " "), r"</?[a-zA-Z][^>]*$", " ")
-    t = F.when(F.contains(t, F.lit("&")), unescape(t)).otherwise(t) if entities else t
+    # only texts with an ampersand go through Python; the others pass it as NULL
+    t = F.coalesce(unescape(F.when(F.contains(t, F.lit("&")), t)), t) if entities else t
     return F.trim(F.regexp_replace(t, r"(?U)\s+", " "))
 
 

@@ -25,6 +25,8 @@ QUALIFIED = {
     "staffing": r"\bstaffing[\s-]+(agency|agencies|firm|company|solutions|services|partner)\b",
     "our client": r"\bour clients?[,']?\s+(is|are|has|have|was|were)\b|\bon behalf of (our|a) clients?\b|\bour client,\s|\bfor one of our clients?\b",
 }
+#: A literal that every branch of a phrase needs.
+QUALIFIED_GATES = {"agency": "agenc", "recruiting": "recruiting", "recruiter": "recruiter", "staffing": "staffing", "our client": "client"}
 COMPANY_ONLY = {"client"}
 FACETS = ("category", "employment_type", "remote", "seniority", "source")
 
@@ -62,25 +64,36 @@ def _strip_level(c: Column) -> Column:
     return F.regexp_replace(c, "^(" + "|".join(LEVEL_PREFIXES) + ") ", "")
 
 
-def title_tier(wanted: str, key: Column) -> Column:
-    """100 equal, 80 all wanted words, 60 equal without one leading level word on either side, else 0."""
+def title_tier(wanted: str, key: Column, words: Column | None = None, bare: Column | None = None) -> Column:
+    """100 equal, 80 all wanted words, 60 equal without one leading level word on either side, else 0. `words` and `bare`
+    are the key's words and the key without its level word, where they stand ready."""
     want = key_of(wanted)
-    bare = next((want.removeprefix(p + " ") for p in LEVEL_PREFIXES if want.startswith(p + " ")), want)
-    words = F.array(*[F.lit(w) for w in dict.fromkeys(want.split())])
+    short = next((want.removeprefix(p + " ") for p in LEVEL_PREFIXES if want.startswith(p + " ")), want)
+    wanted_words = F.array(*[F.lit(w) for w in dict.fromkeys(want.split())])
     return (
         F.when(key == "", 0)
         .when(key == want, EXACT)
-        .when(F.size(F.array_except(words, F.split(key, " "))) == 0, ALL_WORDS)
-        .when(_strip_level(key) == bare, SAME_STRIPPED)
+        .when(F.size(F.array_except(wanted_words, F.split(key, " ") if words is None else words)) == 0, ALL_WORDS)
+        .when((_strip_level(key) if bare is None else bare) == short, SAME_STRIPPED)
         .otherwise(0)
     )
 
 
-def title_points(q: Query, title: Column, root: Column) -> tuple[Column, Column]:
-    """(points, is related): the best tier over wanted titles and both surfaces; a related title only where that is 0."""
-    surfaces = [norm_key(title), norm_key(root)]
-    best = reduce(F.greatest, [title_tier(t, s) for t in q.titles for s in surfaces], F.lit(0)) if q.titles else F.lit(0)
-    near = reduce(F.greatest, [title_tier(t, s) for t in q.related for s in surfaces], F.lit(0)) if q.related else F.lit(0)
+def with_title_keys(df: DataFrame) -> DataFrame:
+    """Keys of both title surfaces as columns: made once a row, however many wanted titles look at them."""
+    for i, c in enumerate(("title", "title_root")):
+        df = df.withColumn(f"__k{i}", norm_key(F.col(c)))
+    for i in (0, 1):
+        df = df.withColumn(f"__w{i}", F.split(f"__k{i}", " ")).withColumn(f"__s{i}", _strip_level(F.col(f"__k{i}")))
+    return df
+
+
+def title_points(q: Query) -> tuple[Column, Column]:
+    """(points, is related) over the columns of with_title_keys: the best tier over wanted titles and both surfaces; a
+    related title only where that is 0."""
+    tiers = lambda titles: [title_tier(t, F.col(f"__k{i}"), F.col(f"__w{i}"), F.col(f"__s{i}")) for t in titles for i in (0, 1)]
+    best = reduce(F.greatest, tiers(q.titles), F.lit(0)) if q.titles else F.lit(0)
+    near = reduce(F.greatest, tiers(q.related), F.lit(0)) if q.related else F.lit(0)
     return F.when(best > 0, best).when(near > 0, RELATED).otherwise(0), (best == 0) & (near > 0)
 
 
@@ -88,15 +101,18 @@ def _penalty(term: str, head: Column, company: Column, body: Column) -> Column:
     if term in COMPANY_ONLY:
         return F.when(has_term(term, company), PENALTY_HEAD).otherwise(0)
     pattern = QUALIFIED.get(term)
-    in_body = body.rlike(pattern) if pattern else has_term(term, body)
-    in_head = head.rlike(pattern) if term == "agency" else has_term(term, head)
+    # CASE evaluates the pattern only where its literal occurs
+    phrase = lambda c: F.when(F.contains(c, F.lit(QUALIFIED_GATES[term])), c.rlike(pattern)).otherwise(False)
+    in_body = phrase(body) if pattern else has_term(term, body)
+    in_head = phrase(head) if term == "agency" else has_term(term, head)
     return F.when(in_head, PENALTY_HEAD).when(in_body, PENALTY_BODY).otherwise(0)
 
 
 def scoreboard(df: DataFrame, q: Query) -> DataFrame:
     """df with points, parts (label, delta, which sum to points) and why (the first four labels)."""
     lowered = df.withColumn("__head", F.lower(F.concat_ws(" ", text(F.col("title")), text(F.col("company"))))).withColumn("__company", F.lower(text(F.col("company")))).withColumn("__body", F.lower(text(F.col("body")))).withColumn("__blob", F.lower(F.concat_ws(" ", text(F.col("title")), text(F.col("body")))))
-    points, related = title_points(q, F.col("title"), F.col("title_root"))
+    lowered = with_title_keys(lowered)
+    points, related = title_points(q)
     part = lambda label, delta: F.struct(label.alias("label"), delta.cast("int").alias("delta"))
     parts = [F.when(F.col("__tier") != 0, part(F.when(F.col("__related"), "related title").otherwise("title"), F.col("__tier")))]
     scored = lowered.withColumn("__tier", points).withColumn("__related", related)

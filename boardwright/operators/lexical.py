@@ -18,7 +18,8 @@ K1, B, TITLE_WEIGHT, LEAST_IDF, NEAR = 1.2, 0.75, 8.0, 1e-6, 3
 
 def tokens(c: Column, stemmed: bool = False) -> Column:
     """Lower-case runs of letters and digits without accents, in order; stemmed ones keep their places."""
-    folded = F.when(text(c).rlike(r"^\p{ASCII}*$"), F.lower(text(c))).otherwise(fold(text(c)))
+    # only texts with accents go through Python; the others pass it as NULL
+    folded = F.coalesce(fold(F.when(~text(c).rlike(r"^\p{ASCII}*$"), text(c))), F.lower(text(c)))
     return F.regexp_extract_all(folded, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 

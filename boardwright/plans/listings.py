@@ -46,8 +46,8 @@ def score_reconcile(spark, sf):
 
 
 def title_tiers(spark, sf):
-    df = jobs(spark, sf, ["url", "title", "title_root"])
-    pts, rel = board.title_points(QUERY, F.col("title"), F.col("title_root"))
+    df = board.with_title_keys(jobs(spark, sf, ["url", "title", "title_root"]))
+    pts, rel = board.title_points(QUERY)
     return df.select("url", pts.cast("int").alias("points"), rel.alias("related")).where("points > 0")
 
 
