@@ -22,8 +22,8 @@ TOKENIZER_FILE = "byte_bpe_50k.tiktoken"
 #: The split pattern that this public vocabulary was made with (a fixed value).
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 MAX_SOURCES = 10_000
-#: Strata per source, so that no source, however large, is rounded in one task.
-STRATA = 64
+#: Strata per source at least, and documents in one at most: no source, however large, is rounded in one task.
+STRATA, STRATUM_DOCS = 64, 500_000
 #: A very long text is tokenised in pieces cut at white space.
 PIECE = 200_000
 
@@ -127,7 +127,8 @@ def mix_sources(documents: DataFrame, targets: DataFrame, total_tokens: float |
     planned = tilted(lam) if live else counted.where("false").select("doc_id", "source", "tokens", F.lit(0).alias("cap"), F.lit(0.0).alias("x"), F.lit(0.0).alias("rate"))
     # systematic rounding: within a stratum in the order of size, a document gets the whole numbers its rate passes over;
     # strata follow each other, so a source misses its goal by about one document, not by one a stratum
-    planned = planned.withColumn("stratum", F.pmod(F.xxhash64("doc_id"), F.lit(STRATA)))
+    strata = max([STRATA, *(-(-r["docs"] // STRATUM_DOCS) for r in live.values())])
+    planned = planned.withColumn("stratum", F.pmod(F.xxhash64("doc_id"), F.lit(strata)))
     parts = planned.groupBy("source", "stratum").agg(F.sum("rate").alias("r"))
     before = parts.select("source", "stratum", (F.sum("r").over(Window.partitionBy("source").orderBy("stratum")) - F.col("r")).alias("base"))
     run = Window.partitionBy("source", "stratum").orderBy("tokens", "doc_id")
