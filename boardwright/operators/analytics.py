@@ -40,19 +40,24 @@ def indexed_percentiles(df: DataFrame, value: str, group: Sequence[str] = ()) ->
     """n, p10 = asc[n // 10], p50 = asc[n // 2], p95 = asc[int(0.95 n)], rank95 = the nearest rank of a descending list,
     round95 = asc[min(n - 1, round_half_even(0.95 (n - 1)))] per group.
 
-    Values are counted first and picked by cumulative counts, so no group's values stand in one list.
+    Values are counted first; a group's values are cut into buckets at approximate quantiles and numbered bucket by
+    bucket, so the picks are exact and no group, however large, is sorted in one task. NULL values don't count.
     """
     g = list(group)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*g, value).agg(F.count("*").alias("c"))
-    part = Window.partitionBy(*g) if g else Window.partitionBy(F.lit(0))
-    run = part.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    c = counts.withColumn("hi", F.sum("c").over(run)).withColumn("n", F.sum("c").over(part))
+    key = g or ["__all"]
+    rows = df.where(F.col(value).isNotNull()) if g else df.where(F.col(value).isNotNull()).withColumn("__all", F.lit(0))
+    cuts = rows.groupBy(*key).agg(F.percentile_approx(value, [i / 64 for i in range(1, 64)], 1000).alias("__cuts"), F.count("*").alias("n"))
+    counts = rows.groupBy(*key, value).agg(F.count("*").alias("c")).join(cuts, key).withColumn("__b", F.size(F.filter("__cuts", lambda x: x < F.col(value)))).drop("__cuts")
+    sums = counts.groupBy(*key, "__b").agg(F.sum("c").alias("s"))
+    base = sums.select(*key, "__b", (F.sum("s").over(Window.partitionBy(*key).orderBy("__b")) - F.col("s")).alias("__base"))
+    run = Window.partitionBy(*key, "__b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    c = counts.join(base, [*key, "__b"]).withColumn("hi", F.col("__base") + F.sum("c").over(run))
     at = {
         "p10": F.floor(F.col("n") / 10), "p50": F.floor(F.col("n") / 2), "p95": F.least(F.col("n") - 1, F.floor(F.col("n") * 0.95)),
         "rank95": F.col("n") - 1 - F.least(F.col("n") - 1, F.floor(F.col("n") * 0.95)), "round95": F.least(F.col("n") - 1, F.bround(0.95 * (F.col("n") - 1)).cast("bigint")),
     }
     pick = lambda i: F.max(F.when((F.col("hi") > i) & (F.col("hi") - F.col("c") <= i), F.col(value)))
-    return c.groupBy(*g).agg(F.max("n").alias("n"), *[pick(i).alias(k) for k, i in at.items()])
+    return c.groupBy(*key).agg(F.max("n").alias("n"), *[pick(i).alias(k) for k, i in at.items()]).drop("__all")
 
 
 def top_terms(df: DataFrame, terms: Column, n: int) -> DataFrame:

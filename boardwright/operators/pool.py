@@ -59,11 +59,12 @@ def posted_day(c: Column) -> Column:
 
 def survivors(jobs: DataFrame, now: Column, polled: Sequence[str], polled_days: int = 3, other_days: int = 14, posted_days: int = 60, cap: int = 120_000) -> DataFrame:
     """Rows that eviction keeps: seen recently (polled sources sooner), not posted too long ago (unreadable dates stay),
-    and of the rest the `cap` last seen ones. The cap is a top-k, so no task sorts the whole pool."""
+    and of the rest the `cap` last seen ones. The cap is a top-k of keys alone, so neither is the whole pool sorted nor do
+    whole rows meet in one task."""
     days = F.when(F.col("source").isin(*polled), polled_days).otherwise(other_days) if polled else F.lit(other_days)
     day = posted_day(F.col("posted"))
     kept = jobs.where((F.col("last_seen") >= now - F.make_dt_interval(days)) & (day.isNull() | (day >= F.date_sub(now.cast("date"), posted_days))))
-    return kept.orderBy(F.desc("last_seen"), "url").limit(cap)
+    return kept.join(kept.select("url", "last_seen").orderBy(F.desc("last_seen"), "url").limit(cap).select("url"), "url", "left_semi")
 
 
 def fresh_keys(fetches: DataFrame, key: str, at: str, now: Column, hours: int = 24) -> DataFrame:
