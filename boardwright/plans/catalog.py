@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from boardwright.plans import core_problems, intake, listings, operations, retrieval
+from boardwright.plans import boards, core_problems, intake, listings, operations, retrieval
 
-_MODULES = [core_problems, listings, intake, retrieval, operations]
+_MODULES = [core_problems, boards, listings, intake, retrieval, operations]
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
 FLAGSHIP = "score_board"
