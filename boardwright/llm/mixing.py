@@ -22,8 +22,8 @@ TOKENIZER_FILE = "byte_bpe_50k.tiktoken"
 #: The split pattern that this public vocabulary was made with (a fixed value).
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 MAX_SOURCES = 10_000
-#: Strata per source at least, and documents in one at most: no source, however large, is rounded in one task.
-STRATA, STRATUM_DOCS = 64, 500_000
+#: Documents that are rounded in one task, about; a larger source is cut into strata.
+STRATUM_DOCS = 200_000
 #: A very long text is tokenised in pieces cut at white space.
 PIECE = 200_000
 
@@ -97,15 +97,15 @@ def mix_sources(documents: DataFrame, targets: DataFrame, total_tokens: float |
     lam = {s: math.log(goal[s] / r["have"]) for s, r in live.items()}
     full = {s for s, r in live.items() if goal[s] >= r["cap"] * r["have"] * (1 - 1e-12)}
     lo, hi = {s: -60.0 for s in live}, {s: 60.0 for s in live}
-    schema = "source string, lam double, mean double, cap int, full boolean"
+    schema = "source string, lam double, mean double, cap int, full boolean, strata int"
 
     def tilted(lam):
-        p = spark.createDataFrame([(s, lam[s], mean[s], live[s]["cap"], s in full) for s in live], schema)
+        p = spark.createDataFrame([(s, lam[s], mean[s], live[s]["cap"], s in full, -(-live[s]["docs"] // STRATUM_DOCS)) for s in live], schema)
         # one row a source, at most MAX_SOURCES: small by construction
         d = counted.where("tokens > 0").join(F.broadcast(p), "source")
         x = F.col("tokens") / F.col("mean")
         rate = F.when(F.col("full"), F.col("cap").cast("double")).otherwise(F.least(F.col("cap").cast("double"), F.exp(F.greatest(F.lit(-700.0), F.least(F.lit(700.0), F.col("lam") * x)))))
-        return d.select("doc_id", "source", "tokens", "cap", x.alias("x"), rate.alias("rate"))
+        return d.select("doc_id", "source", "tokens", "cap", x.alias("x"), rate.alias("rate"), F.pmod(F.xxhash64("doc_id"), F.col("strata")).alias("stratum"))
 
     for _ in range(60):
         open_ = [s for s in live if s not in full]
@@ -124,11 +124,9 @@ def mix_sources(documents: DataFrame, targets: DataFrame, total_tokens: float |
             lam[s] = step if lo[s] < step < hi[s] else (lo[s] + hi[s]) / 2
         if worst < tolerance:
             break
-    planned = tilted(lam) if live else counted.where("false").select("doc_id", "source", "tokens", F.lit(0).alias("cap"), F.lit(0.0).alias("x"), F.lit(0.0).alias("rate"))
+    planned = tilted(lam) if live else counted.where("false").select("doc_id", "source", "tokens", F.lit(0).alias("cap"), F.lit(0.0).alias("x"), F.lit(0.0).alias("rate"), F.lit(0).cast("bigint").alias("stratum"))
     # systematic rounding: within a stratum in the order of size, a document gets the whole numbers its rate passes over;
     # strata follow each other, so a source misses its goal by about one document, not by one a stratum
-    strata = max([STRATA, *(-(-r["docs"] // STRATUM_DOCS) for r in live.values())])
-    planned = planned.withColumn("stratum", F.pmod(F.xxhash64("doc_id"), F.lit(strata)))
     parts = planned.groupBy("source", "stratum").agg(F.sum("rate").alias("r"))
     before = parts.select("source", "stratum", (F.sum("r").over(Window.partitionBy("source").orderBy("stratum")) - F.col("r")).alias("base"))
     run = Window.partitionBy("source", "stratum").orderBy("tokens", "doc_id")
