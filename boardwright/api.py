@@ -39,10 +39,14 @@ def clamp(k, default: int, most: int) -> int:
 class Engine:
     """Queries over `jobs` (one row a url) and, if given, `vectors` (url, embedding, unit length not needed)."""
 
-    def __init__(self, jobs: DataFrame, vectors: DataFrame | None = None, as_of: Column | None = None, stemmed: bool = True):
+    def __init__(self, jobs: DataFrame, vectors: DataFrame | None = None, as_of: Column | None = None, stemmed: bool = True, index: tuple[DataFrame, DataFrame] | None = None):
         self.jobs, self.vectors, self.as_of, self.stemmed = jobs, vectors, as_of if as_of is not None else F.current_date(), stemmed
-        self.index = lexical.postings(jobs, "url", "title", stemmed)
-        self.lengths = lexical.doc_stats(jobs, "url", ["title", "location", "body"])
+        self.index, self.lengths = index or (lexical.postings(jobs, "url", "title", stemmed), lexical.doc_stats(jobs, "url", ["title", "location", "body"]))
+
+    def save_index(self, path: str) -> None:
+        """Write the inverted index, sorted by term so that a query's words prune it where it is read, and the lengths."""
+        self.index.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+        self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
 
     @property
     def spark(self) -> SparkSession:
@@ -123,6 +127,9 @@ class Engine:
         return self.jobs.agg(F.count("*").alias("pool"), F.max("posted").alias("newest_posted"), F.max("last_seen").alias("last_seen"), F.countDistinct("company").alias("companies"))
 
 
-def engine(spark: SparkSession, jobs_path: str, vectors_path: str | None = None, **kw) -> Engine:
+def engine(spark: SparkSession, jobs_path: str, vectors_path: str | None = None, index_path: str | None = None, **kw) -> Engine:
+    """An engine over stored tables; with index_path, over an index that save_index wrote."""
+    if index_path:
+        kw["index"] = (spark.read.parquet(f"{index_path}/postings"), spark.read.parquet(f"{index_path}/lengths"))
     jobs = pool.latest(spark.read.parquet(jobs_path), "url", ["last_seen", "fetched_at"])
     return Engine(jobs, spark.read.parquet(vectors_path) if vectors_path else None, **kw)

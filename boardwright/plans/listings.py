@@ -37,7 +37,7 @@ def score_board(spark, sf):
 
 
 def score_parts(spark, sf):
-    return _board(spark, sf).where("points <> 0").select("url", F.posexplode("parts").alias("at", "p")).select("url", "at", "p.label", "p.delta")
+    return _board(spark, sf).select("url", F.posexplode("parts").alias("at", "p")).select("url", "at", "p.label", "p.delta")
 
 
 def score_reconcile(spark, sf):
@@ -260,7 +260,7 @@ _HTML = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_rep
 
 ORACLES = {
     "score_board": f"{_SCORED} SELECT url, points, array_to_string(list_transform(parts[1:4], lambda x: x.label), ', ') AS why FROM t ORDER BY points DESC, url LIMIT 200",
-    "score_parts": f"{_SCORED} SELECT url, CAST(i - 1 AS INTEGER) AS at, parts[i].label AS label, parts[i].delta AS delta FROM t, unnest(generate_series(1, len(parts))) AS u(i) WHERE points <> 0",
+    "score_parts": f"{_SCORED} SELECT url, CAST(i - 1 AS INTEGER) AS at, parts[i].label AS label, parts[i].delta AS delta FROM t, unnest(generate_series(1, len(parts))) AS u(i)",
     "score_reconcile": f"{_SCORED} SELECT url FROM t WHERE coalesce(list_sum(list_transform(parts, lambda x: x.delta)), 0) <> points",
     "title_tiers": f"{W}, a AS (SELECT url, {key_sql('title')} AS k1, {key_sql('title_root')} AS k2 FROM pool), b AS (SELECT url, {_BEST} AS best, {_NEAR} AS near FROM a) SELECT url, CAST(CASE WHEN best > 0 THEN best WHEN near > 0 THEN 30 ELSE 0 END AS INTEGER) AS points, best = 0 AND near > 0 AS related FROM b WHERE best > 0 OR near > 0",
     "term_counts": f"{W}, a AS (SELECT url, lower(coalesce(title, '') || ' ' || coalesce(body, '')) AS bl FROM pool), b AS (SELECT url, {', '.join(f'CAST({hits_sql(b, chr(98) + chr(108))} AS INTEGER) AS n{i}' for i, b in enumerate(QUERY.boosts))} FROM a) SELECT * FROM b WHERE n0 + n1 + n2 + n3 > 0",

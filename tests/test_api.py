@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from boardwright.api import Engine, clamp, least_points
+from boardwright.api import engine as open_engine
 from boardwright.operators import intake
 from boardwright.operators.order import numbered
 
@@ -43,6 +44,14 @@ def test_lookups(spark, engine):
     assert {r.url for r in engine.search(["engineer"], remote_only=True).collect()} & {"u3"} == set()
 
 
+def test_saved_index(spark, engine, tmp_path):
+    engine.save_index(str(tmp_path))
+    engine.jobs.write.parquet(str(tmp_path / "jobs"))
+    other = open_engine(spark, str(tmp_path / "jobs"), index_path=str(tmp_path))
+    assert other.candidate_count(["engineer"]) == engine.candidate_count(["engineer"]) > 0
+    assert {r.url for r in other.retrieve(["nurse"]).collect()} == {"u4"}
+
+
 def test_small_parts():
     assert [least_points(x) for x in ("plenty", "Strong ", 7, None, True, "x")] == [5, 20, 7, 12, 12, 12]
     assert [clamp(x, 50, 200) for x in (0, 999, None, "a", True)] == [1, 200, 50, 50, 50]
