@@ -35,42 +35,64 @@ class Circulant:
         self.mix = rng.integers(1, 2**63, size=rows, dtype=np.uint64) | np.uint64(1)
 
     def signature(self, hashes: np.ndarray) -> np.ndarray:
-        x = self.sigma[np.unique(hashes & np.uint64(D - 1)).astype(np.int64)]
+        """The least coordinates over all shingles; repeated ones change nothing."""
+        x = self.sigma[(hashes & np.uint64(D - 1)).astype(np.int64)]
         low = self.windows[x[:256]].min(0)
         for at in range(256, len(x), 256):  # long texts, a block of shingles at a time
             low = np.minimum(low, self.windows[x[at : at + 256]].min(0))
         return low
 
-    def band_keys(self, signature: np.ndarray) -> np.ndarray:
-        """One 64-bit key per band: its coordinates side by side, mixed with the number of the band."""
-        s = signature.reshape(self.bands, self.rows).astype(np.uint64)
-        key = (s * self.mix).sum(1, dtype=np.uint64) + np.arange(self.bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    def band_keys(self, signatures: np.ndarray) -> np.ndarray:
+        """One 64-bit key per band of every signature: its coordinates, mixed with the number of the band."""
+        s = signatures.reshape(-1, self.bands, self.rows)
+        key = np.arange(self.bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.zeros((len(s), 1), np.uint64)
+        for k in range(self.rows):
+            key += s[:, :, k].astype(np.uint64) * self.mix[k]
         key ^= key >> np.uint64(31)
         key *= np.uint64(0xD6E8FEB86659FD93)
-        return (key ^ (key >> np.uint64(32))).view(np.int64)
+        return key ^ (key >> np.uint64(32))
 
 
-def shingle_hashes(text: str, size: int, known: dict[str, int]) -> np.ndarray:
-    """64-bit hashes of the distinct `size`-word sequences; of fewer words than that, the hash of all words."""
-    ws = _WORD.findall(text.lower())
-    if not ws:
-        return np.zeros(0, np.uint64)
+def _word_hashes(ws: list[str], known: dict[str, int]) -> np.ndarray:
     if len(known) > 500_000:
         known.clear()
-    h = np.empty(len(ws), np.uint64)
-    for i, w in enumerate(ws):
-        v = known.get(w)
+    out, get = [], known.get
+    for w in ws:
+        v = get(w)
         if v is None:
             b = w.encode()
             v = known[w] = (zlib.crc32(b) << 32) | zlib.crc32(b, 0x5BD1E995)
-        h[i] = v
-    n = max(1, len(ws) - size + 1)
+        out.append(v)
+    return np.array(out, np.uint64)
+
+
+def _shingles(h: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the `size` words that begin at each place, as far as there are so many."""
+    n = max(0, len(h) - size + 1)
     out = np.zeros(n, np.uint64)
-    for k in range(min(size, len(ws))):
+    for k in range(size):
         out = out * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n]
         out ^= out >> np.uint64(29)
     out *= np.uint64(0xBF58476D1CE4E5B9)
-    return np.unique(out ^ (out >> np.uint64(32)))
+    return out ^ (out >> np.uint64(32))
+
+
+def shingles_of_texts(texts: list[str], size: int, known: dict[str, int]) -> list[np.ndarray]:
+    """Hashes of the `size`-word sequences of each text, repeats and all; of fewer words than that, of all its words."""
+    words = [_WORD.findall(t.lower()) for t in texts]
+    h = _word_hashes([w for ws in words for w in ws], known)
+    whole = _shingles(h, size)
+    out, at = [], 0
+    for ws in words:
+        n = len(ws)
+        out.append(whole[at : at + n - size + 1] if n >= size else _shingles(h[at : at + n], n) if n else whole[:0])
+        at += n
+    return out
+
+
+def shingle_hashes(text: str, size: int, known: dict[str, int]) -> np.ndarray:
+    """The set of a text's shingles, sorted."""
+    return np.unique(shingles_of_texts([text], size, known)[0])
 
 
 #: Entries of one bucket partition, 16 bytes each while they are sorted.
@@ -88,22 +110,27 @@ def _signer(bands: int, rows: int, size: int, parts: int, width: int):
         split = max(1, -(-parts // bands))
         band = np.arange(bands)
         for batch in batches:
-            reps, keys = [], []
+            todo = []
             for rep, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if rep in seen:
                     continue
                 if len(seen) >= _SEEN:
                     seen.clear()
                 seen.add(rep)
-                hashes = shingle_hashes(text, size, known)
-                if len(hashes):
-                    reps.append(rep)
-                    keys.append(c.band_keys(c.signature(hashes)))
+                todo.append((rep, text))
+            reps, low = [], []
+            for at in range(0, len(todo), 256):
+                some = todo[at : at + 256]
+                for (rep, _), hashes in zip(some, shingles_of_texts([t for _, t in some], size, known)):
+                    if len(hashes):
+                        reps.append(rep)
+                        low.append(c.signature(hashes))
             if not reps:
                 continue
-            k = np.array(keys).view(np.uint64)
+            k = c.band_keys(np.array(low))
+            low.clear()
             part = (band * split + ((k >> np.uint64(56)) % np.uint64(split)).astype(np.int64)) % parts
-            low = k.view(np.uint8).reshape(len(reps), bands, 8)[:, :, :width]
+            raw = np.ascontiguousarray(k).view(np.uint8).reshape(len(reps), bands, 8)[:, :, :width]
             rep = np.array(reps, np.int64)
             found, blobs = [], []
             for p in np.unique(part):
@@ -111,7 +138,7 @@ def _signer(bands: int, rows: int, size: int, parts: int, width: int):
                 n = at.sum(1)
                 some = n > 0
                 found.append(int(p))
-                blobs.append(np.array([some.sum()], np.int64).tobytes() + rep[some].tobytes() + n[some].astype(np.uint16).tobytes() + low[at].tobytes())
+                blobs.append(np.array([some.sum()], np.int64).tobytes() + rep[some].tobytes() + n[some].astype(np.uint16).tobytes() + raw[at].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
 
     return run
@@ -136,10 +163,18 @@ def _pairer(width: int):
             return
         rep, key = np.concatenate(reps), np.concatenate(keys)
         del reps, keys
+        order = np.argsort(key)
+        key = key[order]
+        same = key[1:] == key[:-1]
+        # most keys stand alone: only the others go on
+        met = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        rep, key = rep[order[met]], key[met]
         order = np.lexsort((rep, key))
         rep, key = rep[order], key[order]
-        keep = np.concatenate([[True], (key[1:] != key[:-1]) | (rep[1:] != rep[:-1])])
+        keep = np.concatenate([[True], (key[1:] != key[:-1]) | (rep[1:] != rep[:-1])])[: len(key)]
         rep, key = rep[keep], key[keep]
+        if not len(key):
+            return
         edge = np.nonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))[0]
         a, b, waiting = [], [], 0
 
