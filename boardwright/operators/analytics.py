@@ -123,3 +123,25 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, at: str, value: str)
     w = Window.partitionBy(key).orderBy(at, "__side").rowsBetween(Window.unboundedPreceding, 0)
     both = rows.unionByName(add.withColumn("__side", F.lit(0)))
     return both.withColumn(value, F.last("__v", ignorenulls=True).over(w)).where("__side = 1").drop("__side", "__v")
+
+
+def shares(df: DataFrame, group: str) -> DataFrame:
+    """(group, n, share): counts with their share of all rows. The total is one row, joined to the counts."""
+    counts = df.groupBy(group).agg(F.count("*").alias("n"))
+    return counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("__t")))).select(group, "n", (F.col("n") / F.col("__t")).alias("share"))
+
+
+def staleness(at: Column, now: Column, days: int = 45) -> Column:
+    """fresh, stale or unknown (NULL) by age in days."""
+    return F.when(at.isNull(), "unknown").when(F.datediff(now, at) > days, "stale").otherwise("fresh")
+
+
+def coalesced(requests: DataFrame, key: Column, at: str, seconds: int) -> DataFrame:
+    """(key, window, n): requests of one key within a window of seconds are one fetch, n of them served by it."""
+    slot = F.floor(F.unix_seconds(F.col(at)) / seconds)
+    return requests.groupBy(key.alias("key"), slot.alias("window")).agg(F.count("*").alias("n"))
+
+
+def bar(value: Column, width: int = 20) -> Column:
+    """A bar of blocks for a share between 0 and 1, rounded half to even."""
+    return F.repeat(F.lit("█"), F.greatest(F.lit(0), F.least(F.lit(width), F.bround(value * width).cast("int"))))

@@ -67,3 +67,21 @@ def first_seen(df: DataFrame, key: list[Column], order: list[str]) -> DataFrame:
     """The first row of every key, letter case aside as the key says."""
     w = Window.partitionBy(*key).orderBy(*order)
     return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+
+
+def quarantine(companies: DataFrame, bad: DataFrame, now: Column) -> DataFrame:
+    """The ledger with the rows named in `bad` (name_key, reason) quarantined, the reason cut to 120 characters."""
+    b = bad.groupBy("name_key").agg(F.min("reason").alias("__r"))
+    hit = F.col("__r").isNotNull()
+    j = companies.join(b, "name_key", "left")
+    return j.withColumn("status", F.when(hit, "quarantined").otherwise(F.col("status"))).withColumn("matched_variant", F.when(hit, F.substring("__r", 1, 120)).otherwise(F.col("matched_variant"))).withColumn("checked_at", F.when(hit, now).otherwise(F.col("checked_at"))).drop("__r")
+
+
+def recently_probed(companies: DataFrame, prefix: str, now: Column, days: int = 90) -> DataFrame:
+    """name_keys under a prefix that were checked within `days`: their outcome, good or bad, still stands."""
+    return companies.where(F.startswith("name_key", F.lit(prefix)) & (F.coalesce("checked_at", F.to_timestamp(F.lit("1970-01-01"))) > now - F.make_dt_interval(days=F.lit(days)))).select("name_key")
+
+
+def least_recent(jobs: DataFrame, polled: list[str], n: int) -> DataFrame:
+    """The n listings of sources that aren't polled which were seen longest ago."""
+    return jobs.where(~F.col("source").isin(*polled)).select("url", "last_seen").orderBy("last_seen", "url").limit(n)

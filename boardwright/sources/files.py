@@ -74,3 +74,12 @@ def carry_forward(old: DataFrame, new_schema: T.StructType) -> DataFrame:
     """Old rows in a new schema: common columns cast, others NULL."""
     have = set(old.columns)
     return old.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in new_schema.fields])
+
+
+def read_list(spark: SparkSession, path: str, field: str, item: str) -> DataFrame:
+    """The items of the array `field` of a JSON document, of the struct `item`; raises when it is missing or no array.
+    Items that are NULL drop; the caller filters those without the parts it needs."""
+    raw = spark.read.schema(f"`{field}` string").json(path, multiLine=True).take(1)
+    if not raw or not (raw[0][0] or "").lstrip().startswith("["):
+        raise SnapshotError(f"{path}: no array {field}")
+    return spark.read.schema(f"`{field}` array<struct<{item}>>").json(path, multiLine=True).select(F.inline(F.filter(field, lambda x: x.isNotNull())))

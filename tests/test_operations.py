@@ -115,3 +115,21 @@ def test_table_replaced_from_itself(spark, tmp_path):
 def test_carry_forward(spark):
     new = T.StructType([T.StructField("a", T.LongType()), T.StructField("c", T.StringType())])
     assert files.carry_forward(spark.createDataFrame([(1, "x")], "a int, b string"), new).collect() == [(1, None)]
+
+
+def test_lists_in_documents(spark, tmp_path):
+    (tmp_path / "w.json").write_text('{"meta": {"n": 2}, "companies": [{"name": "A", "ats": "x"}, null, {"name": "B"}]}')
+    (tmp_path / "bad.json").write_text('{"companies": {"name": "A"}}')
+    assert [tuple(r) for r in files.read_list(spark, str(tmp_path / "w.json"), "companies", "name string, ats string").collect()] == [("A", "x"), ("B", None)]
+    for name in ("bad.json", "none.json"):
+        with pytest.raises(Exception):
+            files.read_list(spark, str(tmp_path / name), "companies", "name string").collect()
+
+
+def test_quarantine_and_shares(spark):
+    led = spark.createDataFrame([("a", "resolved", "full", D(1)), ("b", "dead", None, D(1))], "name_key string, status string, matched_variant string, checked_at timestamp")
+    bad = spark.createDataFrame([("a", "r" * 500), ("a", "z"), ("zz", "x")], "name_key string, reason string")
+    got = {r.name_key: r for r in ledger.quarantine(led, bad, F.to_timestamp(F.lit("2026-02-01"))).collect()}
+    assert (got["a"].status, len(got["a"].matched_variant), got["b"].status) == ("quarantined", 120, "dead")
+    assert {r.s: r.share for r in A.shares(spark.createDataFrame([("x",), ("x",), (None,), ("y",)], "s string"), "s").collect()} == {"x": 0.5, "y": 0.25, None: 0.25}
+    assert [r[0] for r in spark.createDataFrame([(0.5,), (-1.0,), (2.0,)], "v double").select(F.length(A.bar(F.col("v")))).collect()] == [10, 0, 20]
