@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boardwright.functions.text import fold, key_of, porter, stem, text
+from boardwright.session import cut
 
 # Fixed values of the ranking function: saturation, length weight, title weight, the least idf, and the span of NEAR.
 K1, B, TITLE_WEIGHT, LEAST_IDF, NEAR = 1.2, 0.75, 8.0, 1e-6, 3
@@ -104,9 +105,11 @@ def bm25(index: DataFrame, stats: DataFrame, clauses: Sequence[Sequence[str]]) -
     """(doc, score) of all matching documents, better ones larger; the scores of matching clauses add up. No query, no rows."""
     if not clauses:
         return stats.select("doc", F.lit(0.0).alias("score")).where("false")
-    hit = matches(index, clauses)
     terms = sorted({w for c in clauses for w in c})
-    df = index.where(F.col("term").isin(terms)).groupBy("term").agg(F.count("*").alias("n"))
+    # the query's postings are read once, however many clauses look at them
+    own = cut(index.where(F.col("term").isin(terms)))
+    hit = matches(own, clauses)
+    df = own.groupBy("term").agg(F.count("*").alias("n"))
     whole = stats.agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
     idf = F.log((F.col("docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     # one row, and at most one row per query word: small by construction
