@@ -19,7 +19,7 @@ def engine(spark):
 def test_board(spark, engine):
     b = engine.score({"titles": "Software Engineer, Engineer", "boosts": "sql", "limit": 10})
     got = {r.url: r for r in b.jobs.collect()}
-    assert set(got) == {"u2", "u3", "u5"} or set(got) == {"u2", "u3"}
+    assert set(got) == {"u2", "u3", "u5"}
     assert got["u2"].points == 114 and got["u2"].why == "title, sql ×2" and sum(p.delta for p in got["u2"].parts) == 114
     assert all(r.n >= 1 for r in b.facets.collect())
     assert engine.score({"titles": ""}).jobs.count() == 0
