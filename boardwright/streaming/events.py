@@ -60,13 +60,15 @@ def sliding(events: DataFrame, width: str = "2 hours", step: str = "1 hour", lat
     return events.withWatermark("ts", late).groupBy(w.alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "n")
 
 
-def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
+    """Without a watermark, which would drop the rows of a backlog whose files aren't ordered by time: its state keeps every session."""
     w = F.session_window("ts", gap)
-    return events.withWatermark("ts", late).groupBy(w.alias("w"), "user_id").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "user_id", "n")
+    return events.groupBy(w.alias("w"), "user_id").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "user_id", "n")
 
 
-def deduplicated(events: DataFrame, keys: list[str], late: str = "1 hour") -> DataFrame:
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
+def deduplicated(events: DataFrame, keys: list[str]) -> DataFrame:
+    """One row a key over the whole stream, in whatever order its files come: its state keeps every key."""
+    return events.dropDuplicates(keys)
 
 
 def heartbeats(events: DataFrame) -> DataFrame:
