@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -13,8 +11,8 @@ from boardwright.session import collect_bounded
 
 RRF_K = 60
 PROBE_DEPTH = 200
-#: Probes are the query side: their number is bounded, and checked.
-MAX_PROBES = 10_000
+#: Probes are searched in blocks of about so many; a block that comes out larger than MAX_PROBES raises.
+PROBE_BLOCK, MAX_PROBES = 500, 10_000
 
 
 def _unit(a: np.ndarray) -> np.ndarray:
@@ -37,7 +35,12 @@ def _top_batches(blob, depth: int):
             sims = _unit(flat.reshape(len(ids), -1)) @ q.T
             for k in range(len(names)):
                 s, i = np.concatenate([best[k][0], sims[:, k]]), np.concatenate([best[k][1], ids])
-                order = np.lexsort((i, -s))[:depth]
+                # rounded as in the final order, so equal vectors are cut by id here too
+                r = np.round(s, 9)
+                if len(r) > depth:
+                    at = np.flatnonzero(r >= np.partition(r, -depth)[-depth])
+                    s, i, r = s[at], i[at], r[at]
+                order = np.lexsort((i, -r))[:depth]
                 best[k] = (s[order], i[order])
         for k, name in enumerate(names):
             if len(best[k][0]):
@@ -49,15 +52,23 @@ def _top_batches(blob, depth: int):
 def top_per_probe(vectors: DataFrame, id_: str, vector: str, probes: DataFrame, probe_id: str, probe_vector: str, depth: int = PROBE_DEPTH) -> DataFrame:
     """(probe, id, sim, rank0): the `depth` most similar vectors of every probe by cosine, ties by id, rank from 0.
 
-    NULL and empty vectors match nothing. Every partition sends at most depth rows a probe; the exact order is made over these.
+    NULL and empty vectors match nothing. Probes are searched in blocks, however many there are; in a block every
+    partition sends at most depth rows a probe, and the exact order is made over these.
     """
-    rows = collect_bounded(probes.where(F.size(probe_vector) > 0).select(probe_id, probe_vector), MAX_PROBES, "probes")
+    asked = probes.where(F.size(probe_vector) > 0).select(F.col(probe_id).cast("bigint").alias("probe"), F.col(probe_vector).alias("v"))
+    blocks = -(-asked.count() // PROBE_BLOCK)
     spark = vectors.sparkSession
     schema = "probe bigint, id bigint, sim double"
-    if not rows:
+    near = None
+    for k in range(blocks):
+        rows = collect_bounded(asked.where(F.pmod(F.xxhash64("probe"), F.lit(blocks)) == k), MAX_PROBES, "probes of a block")
+        for size in sorted({len(r[1]) for r in rows}):
+            same = [r for r in rows if len(r[1]) == size]
+            blob = spark.sparkContext.broadcast(([r[0] for r in same], _unit(np.array([r[1] for r in same], dtype=np.float64))))
+            got = vectors.where(F.size(vector) == size).select(F.col(id_).cast("bigint"), F.col(vector)).mapInArrow(_top_batches(blob, depth), schema)
+            near = got if near is None else near.unionByName(got)
+    if near is None:
         return spark.createDataFrame([], schema + ", rank0 int")
-    blob = spark.sparkContext.broadcast(([r[0] for r in rows], _unit(np.array([r[1] for r in rows], dtype=np.float64))))
-    near = vectors.where(F.size(vector) == len(rows[0][1])).select(F.col(id_).cast("bigint"), F.col(vector)).mapInArrow(_top_batches(blob, depth), schema)
     w = Window.partitionBy("probe").orderBy(F.desc(F.round("sim", 9)), "id")
     return near.withColumn("rank0", F.row_number().over(w) - 1).where(F.col("rank0") < depth)
 
@@ -67,16 +78,18 @@ def fuse(ranked: DataFrame, id_: str, rank0: str = "rank0", k: int = RRF_K) -> D
     return ranked.groupBy(id_).agg(F.sum(1.0 / (k + F.col(rank0))).alias("rrf"))
 
 
-def hybrid(lexical: DataFrame, dense: DataFrame, id_: str, group: Column | None, k: int, per_group: int = 3) -> DataFrame:
+def hybrid(lexical: DataFrame, dense: DataFrame, id_: str, group: Column | None, k: int, per_group: int = 3, groups: DataFrame | None = None) -> DataFrame:
     """Both arms (id, rank0) fused, at most per_group rows of a group, the first k; an empty arm leaves the other's order.
 
-    `group` is an expression over id; NULL groups aren't capped.
+    `group` is an expression over id and the columns of `groups` (one row an id); NULL groups aren't capped.
     """
     both = fuse(lexical.select(id_, "rank0").unionByName(dense.select(id_, "rank0")), id_)
+    if groups is not None:
+        both = both.join(groups, id_, "left")
     if group is not None:
         w = Window.partitionBy("__g").orderBy(F.desc(F.round("rrf", 12)), id_)
         both = both.withColumn("__g", group).withColumn("__n", F.row_number().over(w)).where(F.col("__g").isNull() | (F.col("__n") <= per_group)).drop("__g", "__n")
-    return both.orderBy(F.desc(F.round("rrf", 12)), id_).limit(k)
+    return both.select(id_, "rrf").orderBy(F.desc(F.round("rrf", 12)), id_).limit(k)
 
 
 def summary_text(title: str, root: str, company: str, team: str, category: str, location: str, tags: str, body: str, chars: int = 1800) -> Column:
@@ -93,5 +106,6 @@ def content_id(key: Column, summary: Column) -> Column:
     return F.sha1(F.concat(F.encode(key, "utf-8"), F.lit(b"\x00"), F.encode(summary, "utf-8")))
 
 
-def probes_from(vectors: DataFrame, id_: str, ids: Sequence[int]) -> DataFrame:
-    return vectors.where(F.col(id_).isin(*ids))
+def probes_from(vectors: DataFrame, id_: str, every: int) -> DataFrame:
+    """Every vector whose id is divisible by `every`."""
+    return vectors.where(F.col(id_) % every == 0)

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from boardwright.operators import board, dense, lexical, pool
+from boardwright.operators import dense, lexical, order, pool
 from boardwright.plans.listings import LATEST, jobs
 from boardwright.session import table
 
 WORDS = ["Engineer", "Accountant", "Registered Nurse"]
-PROBES = (3, 57, 101, 333)
+#: Every vector whose id is divisible by this is a search.
+EVERY = 50
 
 
 def _documents(spark, sf):
@@ -44,9 +44,9 @@ def index_reconcile(spark, sf):
     return lexical.postings(df, "url", "title").agg(F.countDistinct("doc").alias("indexed")).crossJoin(df.agg(F.count_if(F.col("title").rlike(r"[\p{L}\p{N}]")).alias("stored")))
 
 
-def _near(spark, sf, depth=50):
+def _near(spark, sf, depth=dense.PROBE_DEPTH):
     v = table(spark, sf, "embeddings")
-    return dense.top_per_probe(v, "vec_id", "embedding", dense.probes_from(v, "vec_id", PROBES), "vec_id", "embedding", depth)
+    return dense.top_per_probe(v, "vec_id", "embedding", dense.probes_from(v, "vec_id", EVERY), "vec_id", "embedding", depth)
 
 
 def knn_per_probe(spark, sf):
@@ -59,18 +59,14 @@ def rrf_probes(spark, sf):
 
 
 def hybrid_rrf(spark, sf):
-    """A lexical arm over documents (mentions of benefits) and a dense arm over the vectors of the same numbers."""
-    docs = table(spark, sf, "documents").select("doc_id", "board", F.regexp_count(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"\bteam")).alias("hits")).where("hits > 0")
-    top = docs.orderBy(F.desc("hits"), "doc_id").limit(dense.PROBE_DEPTH)
-    # a ranked list of at most 200 rows
-    lex = top.select(F.col("doc_id").alias("id"), (F.row_number().over(Window.orderBy(F.desc("hits"), "doc_id")) - 1).alias("rank0"))
-    fused = dense.fuse(_near(spark, sf), "id")
-    best = fused.orderBy(F.desc(F.round("rrf", 12)), "id").limit(dense.PROBE_DEPTH)
-    den = best.select("id", (F.row_number().over(Window.orderBy(F.desc(F.round("rrf", 12)), "id")) - 1).alias("rank0"))
-    boards = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.lower(F.trim("board")).alias("b"))
-    both = dense.fuse(lex.unionByName(den), "id").join(boards, "id", "left")
-    capped = board.cap_per_group(both, F.coalesce("b", F.concat(F.lit("id:"), F.col("id").cast("string"))), [F.desc(F.round("rrf", 12)), F.col("id")], 3)
-    return capped.orderBy(F.desc(F.round("rrf", 12)), "id").limit(60).select("id", F.round("rrf", 9).alias("rrf"))
+    """BM25 over the texts of documents and a dense arm over the vectors of the same numbers, at most three of a board."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", "board")
+    hits = lexical.bm25(lexical.postings(docs, "doc_id", "text"), lexical.doc_stats(docs, "doc_id", ["text"]), lexical.query_clauses(["Team"]))
+    lex = order.numbered(hits.select(F.col("doc").alias("id"), "score"), [F.desc(F.round("score", 9)), "id"], "rank0")
+    fused = dense.fuse(_near(spark, sf), "id").orderBy(F.desc(F.round("rrf", 12)), "id").limit(max(4 * 60, dense.PROBE_DEPTH))
+    den = order.numbered(fused, [F.desc(F.round("rrf", 12)), "id"], "rank0")
+    boards = docs.select(F.col("doc_id").alias("id"), F.lower(F.trim("board")).alias("b"))
+    return dense.hybrid(lex, den, "id", F.col("b"), 60, groups=boards).select("id", F.round("rrf", 9).alias("rrf"))
 
 
 def content_ids(spark, sf):
@@ -101,7 +97,7 @@ def _near_sql(a: str, b: str, i: int) -> str:
     return f"SELECT url, {i} AS clause FROM d, unnest(range(1, len(t) + 1)) AS u(x), unnest(range(1, len(t) + 1)) AS v(y) WHERE t[x] = '{a}' AND t[y] = '{b}' AND abs(x - y) <= 4"
 
 
-_V = f"""WITH p AS (SELECT vec_id AS probe, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id IN {PROBES}), s AS (SELECT probe, vec_id AS id, list_cosine_similarity(embedding::DOUBLE[], q) AS sim FROM embeddings, p),
+_V = f"""WITH p AS (SELECT vec_id AS probe, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id IN (3, 57, 101, 333)), s AS (SELECT probe, vec_id AS id, list_cosine_similarity(embedding::DOUBLE[], q) AS sim FROM embeddings, p),
 r AS (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY round(sim, 9) DESC, id) - 1 AS rank0 FROM s), k AS (SELECT * FROM r WHERE rank0 < 50), fused AS (SELECT id, sum(1.0::DOUBLE / (60 + rank0)) AS rrf FROM k GROUP BY id)"""
 _SUM = """concat_ws(chr(10), concat_ws(' · ', CASE WHEN trim(title) <> '' THEN title END, CASE WHEN lower(title_root) <> lower(title) AND trim(title_root) <> '' THEN title_root END),
  concat_ws(' · ', CASE WHEN trim(company) <> '' THEN 'Company: ' || company END, CASE WHEN trim(team) <> '' THEN 'Team: ' || team END, CASE WHEN trim(category) <> '' THEN 'Field: ' || category END, CASE WHEN trim(location) <> '' THEN 'Location: ' || location END),
