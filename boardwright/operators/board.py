@@ -28,7 +28,7 @@ QUALIFIED = {
 #: A literal that every branch of a phrase needs.
 QUALIFIED_GATES = {"agency": "agenc", "recruiting": "recruiting", "recruiter": "recruiter", "staffing": "staffing", "our client": "client"}
 COMPANY_ONLY = {"client"}
-FACETS = ("category", "employment_type", "remote", "seniority", "source")
+FACETS = ("category", "employment_type", "remote", "seniority", "salary_band", "state", "apply_via")
 
 
 def clean_list(value) -> list[str]:

@@ -67,21 +67,26 @@ def dedupe_listings(spark, sf):
     return got.select("place", F.length(X.text(F.col("body"))).alias("body_length"), X.norm_key(F.col("company")).alias("company_key"), X.norm_key(F.col("title")).alias("title_key"))
 
 
+def _facets(spark, sf):
+    stored = [f for f in board.FACETS if f != "apply_via"]
+    return jobs(spark, sf, ["url", *stored, "direct_apply"]).withColumn("apply_via", V.apply_via(F.col("direct_apply")))
+
+
 def facet_counts(spark, sf):
-    return board.facet_counts(jobs(spark, sf, ["url", *board.FACETS]))
+    return board.facet_counts(_facets(spark, sf))
 
 
 def facet_groups_shown(spark, sf):
-    counts = board.facet_counts(jobs(spark, sf, ["url", *board.FACETS]))
+    counts = board.facet_counts(_facets(spark, sf))
     return counts.groupBy("facet").agg(F.count("*").alias("n_values"), F.sum("n").alias("n_rows")).where("n_values >= 2")
 
 
 def facet_passes(spark, sf):
-    return jobs(spark, sf, ["url", *board.FACETS]).where(board.passes_facets(CHOSEN)).groupBy("category", "remote").agg(F.count("*").alias("n"))
+    return _facets(spark, sf).where(board.passes_facets(CHOSEN)).groupBy("category", "remote").agg(F.count("*").alias("n"))
 
 
 def facet_exemptions(spark, sf):
-    return board.exemptions(jobs(spark, sf, ["url", *board.FACETS]), CHOSEN)
+    return board.exemptions(_facets(spark, sf), CHOSEN)
 
 
 def seen_antijoin(spark, sf):
@@ -238,7 +243,7 @@ b AS (SELECT *, {_BEST} AS best, {_NEAR} AS near, {", ".join(f"{hits_sql(b, 'bl'
 c AS (SELECT *, CASE WHEN best > 0 THEN best WHEN near > 0 THEN 30 ELSE 0 END AS tier, {", ".join(f"[0, 8, 14, 18, 20][1 + least(h{i}, 4)] AS d{i}" for i in range(len(QUERY.boosts)))} FROM b),
 s AS (SELECT url, list_filter([{_PART.format("tier", "CASE WHEN best > 0 THEN 'title' ELSE 'related title' END")}, {", ".join(_PART.format(f"d{i}", f"'{b} ×' || h{i}") for i, b in enumerate(QUERY.boosts))}, {", ".join(_PART.format(f"p{i}", f"'-{p}'") for i, p in enumerate(QUERY.penalties))}], lambda x: x IS NOT NULL) AS parts FROM c),
 t AS (SELECT url, parts, CAST(coalesce(list_sum(list_transform(parts, lambda x: x.delta)), 0) AS INTEGER) AS points FROM s)"""
-_FACET = " UNION ALL ".join(f"SELECT '{f}' AS facet, CAST({f} AS VARCHAR) AS value FROM pool" for f in board.FACETS)
+_FACET = " UNION ALL ".join(f"SELECT '{f}' AS facet, CAST({f} AS VARCHAR) AS value FROM pool" for f in ("category", "employment_type", "remote", "seniority", "source"))
 _PASS = "(category IS NULL OR category = '' OR category IN ('Sales', 'Design', 'Education')) AND (remote IS NULL OR remote = '' OR remote IN ('remote', 'hybrid'))"
 _FILLED = {c: f"len({c}) > 0" for c in ("title_qualifiers", "locations", "remote_areas", "remote_regions", "tags")} | {c: f"{c} IS NOT NULL" for c in ("salary_min", "salary_max", "salary_estimated_min", "salary_estimated_max", "direct_apply", "fetched_at", "last_seen")}
 _TEXT = "title title_root title_level company team location city state country remote remote_basis remote_scope_raw body category seniority seniority_basis employment_type employment_type_raw salary salary_currency salary_period salary_basis salary_band source source_extra posted expires".split()
