@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from boardwright.functions.text import html_plain
 from boardwright.session import collect_bounded
 
 RRF_K = 60
@@ -92,14 +93,15 @@ def hybrid(lexical: DataFrame, dense: DataFrame, id_: str, group: Column | None,
     return both.select(id_, "rrf").orderBy(F.desc(F.round("rrf", 12)), id_).limit(k)
 
 
-def summary_text(title: str, root: str, company: str, team: str, category: str, location: str, tags: str, body: str, chars: int = 1800) -> Column:
-    """The text that stands for a listing: header lines from its fields, then the start of its body (what a vector is made of)."""
+def summary_text(title: str, root: str, qualifiers: str, company: str, team: str, category: str, location: str, tags: str, body: str, chars: int = 1800) -> Column:
+    """The text that stands for a listing: header lines from its fields (of qualifiers the first 4), then the start of its body
+    without markup (what a vector is made of)."""
     c = lambda n: F.when(F.trim(F.coalesce(F.col(n), F.lit(""))) != "", F.col(n))
     named = lambda label, n: F.concat(F.lit(label), c(n))
-    head = F.concat_ws(" · ", c(title), F.when(F.lower(F.col(root)) != F.lower(F.col(title)), c(root)))
+    head = F.concat_ws(" · ", c(title), F.when(F.lower(F.col(root)) != F.lower(F.col(title)), c(root)), F.when(F.size(qualifiers) > 0, F.array_join(F.slice(qualifiers, 1, 4), ", ")))
     line = F.concat_ws(" · ", named("Company: ", company), named("Team: ", team), named("Field: ", category), named("Location: ", location))
     tag = F.when(F.size(tags) > 0, F.concat(F.lit("Tags: "), F.array_join(F.slice(tags, 1, 8), ", ")))
-    return F.concat_ws("\n", head, line, tag, F.substring(F.coalesce(F.col(body), F.lit("")), 1, chars))
+    return F.concat_ws("\n", head, line, tag, F.substring(html_plain(F.col(body)), 1, chars))
 
 
 def content_id(key: Column, summary: Column) -> Column:

@@ -69,16 +69,17 @@ def hybrid_rrf(spark, sf):
     return dense.hybrid(lex, den, "id", F.col("b"), 60, groups=boards).select("id", F.round("rrf", 9).alias("rrf"))
 
 
+SUMMARY = ["title", "title_root", "title_qualifiers", "company", "team", "category", "location", "tags", "body"]
+
+
 def content_ids(spark, sf):
-    df = jobs(spark, sf, ["url", "title", "title_root", "company", "team", "category", "location", "tags", "body"])
-    s = dense.summary_text("title", "title_root", "company", "team", "category", "location", "tags", "body")
-    return df.select("url", dense.content_id(F.col("url"), s).alias("content_id"))
+    return jobs(spark, sf, ["url", *SUMMARY]).select("url", dense.content_id(F.col("url"), dense.summary_text(*SUMMARY)).alias("content_id"))
 
 
 def vector_sync(spark, sf):
     """Stored ids are those of listings seen before 2026 with their first title; the pool has moved on since."""
-    df = jobs(spark, sf, ["url", "title", "body", "last_seen"])
-    cid = dense.content_id(F.col("url"), F.concat_ws("\n", "title", F.substring("body", 1, 1800)))
+    df = jobs(spark, sf, ["url", *SUMMARY, "last_seen"])
+    cid = dense.content_id(F.col("url"), dense.summary_text(*SUMMARY))
     now = df.where(F.col("last_seen") >= F.to_timestamp(F.lit("2025-10-01"))).select("url", cid.alias("cid"))
     old = df.where(F.col("last_seen") < F.to_timestamp(F.lit("2026-03-01"))).select("url", F.when(F.length("url") % 7 == 0, F.lit("stale")).otherwise(cid).alias("cid"))
     return pool.sync_plan(now, old, "url", "cid").groupBy("action").agg(F.count("*").alias("n"))
