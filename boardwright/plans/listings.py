@@ -115,7 +115,7 @@ def norm_keys(spark, sf):
 
 
 def html_plain(spark, sf):
-    return jobs(spark, sf, ["url", "body"]).where(F.contains("body", F.lit("<"))).select("url", F.md5(X.html_plain(F.col("body"))).alias("digest"))
+    return jobs(spark, sf, ["url", "body"]).select("url", F.md5(X.html_plain(F.col("body"))).alias("digest"))
 
 
 def html_plain_text(spark, sf):
