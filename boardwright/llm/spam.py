@@ -1,8 +1,10 @@
 """Keyword-stuffed pages, link lists and tag lists (problem 10).
 
-Texts become sequences of function words, word classes and marks. An n-gram model of these classes, trained on the prose
-of the corpus itself, gives every token a surprisal; stretches whose perplexity is abnormally high or low are not prose,
-and a page of which most words lie in such stretches is flagged.
+Texts become sequences of function words and word classes. A trigram model of these classes, trained on the sentences of
+the corpus, gives every token a surprisal, and a cache of the page's own words says how far each content word was to be
+expected from what the page said before. Prose lies in the middle of both: links, tags and rows of a listing are
+abnormally improbable as sequences, repeated keywords abnormally predictable. A page of which most words lie in abnormal
+stretches is flagged.
 """
 
 from __future__ import annotations
@@ -16,37 +18,51 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boardwright.session import collect_bounded, cut
+from boardwright.session import cut
 
 # Function words by language.
 FUNCTION_WORDS = {
     "en": "the a an of to and in for on with at by from is are was were be been this that these those it its as or not but you your we our they their i my me he she his her has have had will would can could should do does did if when then so than who which what where how about into out up more most one all any each every after before while during against without per no only also just there us them its because even yet",
-    "de": "der die das den dem des ein eine einen einem einer eines und oder in im an am auf mit von vom zu zum zur für ist sind war wir sie ihr ihre unser unsere als auch sowie nach bei aus bis über unter dass nicht sich es ich du man werden wird haben hat noch nur wenn wie ab eng",
-    "fr": "le la les un une des du de et ou en dans pour avec sur par au aux est sont nous vous votre vos notre nos leur leurs ce cette ces qui que à chez se sa son ses plus ne pas il elle on dès sous entre mais si",
-    "es": "el la los las un una unos unas y o con por para en del al es son su sus nuestro nuestra nuestros se lo que como más de no si pero entre sobre desde hasta sin te le les muy ya",
+    "de": "der die das den dem des ein eine einen einem einer eines und oder in im an am auf mit von vom zu zum zur für ist sind war wir sie ihr ihre unser unsere als auch sowie nach bei aus bis über unter dass nicht sich es ich du man werden wird haben hat noch nur wenn wie ab eng wer was wo ob da so dann doch aber denn weil damit durch gegen ohne ihm ihn ihren ihrem ihrer ihnen unseren unserem unserer uns euch mein meine meinen dein sein seine seinen seinem seiner dieser diese dieses diesen diesem jeder jede jedes jeden alle allen alles kein keine keinen mehr sehr hier dort dazu dabei kann können muss müssen soll sollen will wollen darf dürfen würde waren wurde wurden sei bin bist hatte hatten mich mir dir dich selbst beim ins ans vor zwischen seit etwa je",
+    "fr": "le la les un une des du de et ou en dans pour avec sur par au aux est sont nous vous votre vos notre nos leur leurs ce cette ces qui que à chez se sa son ses plus ne pas il elle on dès sous entre mais si aussi très bien tout tous toute toutes cela ça y lui leurs mes tes ses mon ton ma ta je tu me te été être avoir ai as avons avez ont fait font peut peuvent doit doivent comme quand où dont sans vers chaque quel quelle quels quelles jusque après avant pendant depuis encore ni non afin n d l s c j qu",
+    "es": "el la los las un una unos unas y o con por para en del al es son su sus nuestro nuestra nuestros se lo que como más de no si pero entre sobre desde hasta sin te le les muy ya este esta estos estas ese esa esos esas eso esto ser estar fue era eran está están ha han he hay tiene tienen tener cada todo toda todos todas otro otra también cuando donde quien cual porque ni mi tu me nos os yo él ella ellos ellas usted ustedes hacia según durante tras aquí así solo sólo tan e u",
 }
-_TOKEN = re.compile(r"(?:https?:)?//[^\s<>\"')\]]+|www\.[^\s<>\"')\]]+|[#@]?[^\W_]+(?:['’\-][^\W_]+)*|\n+|[^\w\s]|_")
+#: A link of more than 200 characters and a chain of more than 100 hyphens go on as a token of their own, so that a token has under 256 words.
+_TOKEN = re.compile(r"(?:https?:)?//[^\s<>\"')\]]{1,200}|www\.[^\s<>\"')\]]{1,200}|[#@]?[^\W_]+(?:['’\-][^\W_]+){0,99}|\n+|[^\w\s]|_")
 _WORD = re.compile(r"[^\W_]+")
-#: Two neighbouring content words are a keyword phrase where their repeats make up this share of all words, at least so often.
-KEYWORD_SHARE, KEYWORD_COUNT = 0.18, 5
-#: Content words in a row, without a function word, that are told apart; sentences with so many in a row are not trained on.
-RUN = 9
+#: Content words in a row, without a function word between them, that are told apart.
+RUN = 40
 #: Tokens to each side over which surprisal is averaged.
 REACH = 10
-#: Robust deviations from the median prose stretch beyond which a stretch is abnormal.
-HIGH, LOW = 13.0, 5.0
-#: Share of a page's words in abnormal stretches from which it is flagged; stretches reach a little beyond the odd words.
-FLAG = 0.62
-MAX_NGRAMS = 5_000_000
+#: A stretch is abnormal from HIGH robust deviations above the median class surprisal of the corpus's sentences on, or where
+#: its content words cost under LOW of the median bits of sentences under the page's cache.
+HIGH, LOW = 6.0, 1 / 3
+#: Share of a page's words in abnormal stretches from which it is flagged: half.
+FLAG = 0.5
+#: The page's cache: how many words back it reaches, so that a passage repeated as a whole stays prose, the weight of the word
+#: alone against its pair with the word before it, of a new word against both, and the bits that a new word costs.
+MEMORY, CACHE_PAIR, CACHE_WORD, NEW_BITS = 50, 0.5, 4.0, 13
 
 # Codes of the classes: function words, content words by shape and place in their run, and marks.
 _FUNCTION = sorted({w for ws in FUNCTION_WORDS.values() for w in ws.split()})
-_NAMES = [*_FUNCTION, *(f"{c}{k}" for c in ("a", "Aa", "AA") for k in range(1, RUN + 1)), "K", "9", "URL", "TAG", "\n", "other", "start", *string.punctuation, *"–—…•·“”„«»¿¡€£"]
+_SHAPES = ("a", "Aa", "AA")
+_NAMES = [*_FUNCTION, *(f"{c}{k}" for c in _SHAPES for k in range(1, RUN + 1)), "9", "URL", "TAG", "\n", "other", "start", *string.punctuation, *"–—…•·“”„«»¿¡€£"]
 _CODE = {n: i for i, n in reversed(list(enumerate(_NAMES)))}
 V = len(_NAMES)
 _F = len(_FUNCTION)
-_LOWER, _TITLE, _UPPER = (_CODE[f"{c}1"] for c in ("a", "Aa", "AA"))
-_NEWLINE, _START, _KEY = _CODE["\n"], _CODE["start"], _CODE["K"]
+_LOWER, _TITLE, _UPPER = (_CODE[f"{c}1"] for c in _SHAPES)
+_NEWLINE, _START = _CODE["\n"], _CODE["start"]
+#: Two tokens back only the kind of class counts: function word, content word first, second or later in its run, number,
+#: end of a sentence, line break, other mark, link or tag. So there are at most K * V * V trigrams, under four million.
+_KIND = np.full(V, 7)
+_KIND[:_F] = 0
+_KIND[_F : _F + 3 * RUN] = 1 + np.minimum(np.arange(3 * RUN) % RUN, 2)
+for _names, _k in (("9", 4), (".!?", 5), ("\n", 6)):
+    _KIND[[_CODE[c] for c in _names]] = _k
+_KIND[[_CODE["URL"], _CODE["TAG"]]] = 8
+_KIND[_START] = 9
+K = 10
+_PROSE_BIT = 1 << 14
 
 
 def _table(codes) -> np.ndarray:
@@ -54,20 +70,20 @@ def _table(codes) -> np.ndarray:
 
 
 _IS_STOP = _table(_CODE[c] for c in ".!?\n")
+_IS_END = _table(_CODE[c] for c in ".!?")
 _IS_FUNCTION = _table(range(_F))
-_IS_ODD = _table(_CODE[c] for c in ("K", "URL", "TAG", "|", "<", "[", "#", f"a{RUN}", f"Aa{RUN}", f"AA{RUN}"))
-_IS_WORD = _table([*range(_LOWER + 3 * RUN), *(_CODE[c] for c in ("K", "9", "URL", "TAG"))])
+_IS_WORD = _table([*range(_F + 3 * RUN), *(_CODE[c] for c in ("9", "URL", "TAG"))])
 
 
 def _kind(token: str) -> tuple[int, int]:
-    """(code without run and keyword marks, number of words) of a token."""
+    """(code without the place in the run, number of words) of a token."""
     first, low = token[0], token.lower()
     if first == "\n":
         return _NEWLINE, 0
-    if first == "/" or low.startswith(("http", "www.")):
+    if (first == "/" and len(token) > 1) or low.startswith(("http:", "https:", "www.")):
         return _CODE["URL"], len(_WORD.findall(token))
     if first in "#@" and len(token) > 1:
-        return _CODE["TAG"], 1
+        return _CODE["TAG"], len(_WORD.findall(token))
     if first.isalnum():
         n = len(_WORD.findall(token))
         if low in _CODE and _CODE[low] < _F:
@@ -78,6 +94,18 @@ def _kind(token: str) -> tuple[int, int]:
     return _CODE.get(token, _CODE["other"]), 0
 
 
+def _lately(keys: np.ndarray, memory: int) -> np.ndarray:
+    """How often each key stood among the `memory` entries before."""
+    n = len(keys)
+    order = np.argsort(keys, kind="stable")
+    k = keys[order]
+    group = np.cumsum(np.concatenate([[False], k[1:] != k[:-1]]))
+    at = group * (n + memory) + order
+    out = np.empty(n, np.int64)
+    out[order] = np.arange(n) - np.searchsorted(at, at - memory)
+    return out
+
+
 class Classifier:
     """Class codes of whole batches; what it remembers of tokens is bounded."""
 
@@ -96,11 +124,13 @@ class Classifier:
         low = token.lower()
         self.code.append(code)
         self.words.append(n)
-        self.word_id.append(k if low == token else self.ids[low] if low in self.ids else self._add(low))
+        self.word_id.append(k)
+        if low != token:
+            self.word_id[k] = self.ids[low] if low in self.ids else self._add(low)
         return k
 
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(codes, words per token, first token of each text and the end)."""
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(codes, words per token, sixteenths of bits of the page's cache, first token of each text and the end)."""
         if len(self.code) > 400_000:
             self.reset()
         get, add = self.ids.get, self._add
@@ -114,40 +144,41 @@ class Classifier:
         ids = np.array(at, np.int64)
         start = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
         if not len(ids):
-            return np.zeros(0, np.int16), np.zeros(0, np.int64), start
+            return np.zeros(0, np.int16), np.zeros(0, np.int64), np.zeros(0, np.uint8), start
         code, size = np.array(self.code)[ids], np.array(self.words, np.int64)[ids]
         doc = np.repeat(np.arange(len(texts)), counts)
-        # keyword phrases: neighbouring content words, over marks, that repeat through a text
         w = np.nonzero(size > 0)[0]
-        wid, wdoc, content = np.array(self.word_id)[ids[w]], doc[w], code[w] >= _F
-        pair = (wdoc[1:] == wdoc[:-1]) & content[1:] & content[:-1]
-        i = np.nonzero(pair)[0]
-        keys = np.zeros(len(w), bool)
-        if len(i):
-            packed = (wdoc[i] << 42) | (wid[i] << 21) | wid[i + 1]
-            seen, inverse, n = np.unique(packed, return_inverse=True, return_counts=True)
-            total = np.bincount(doc, size, minlength=len(texts))
-            often = n >= np.maximum(KEYWORD_COUNT, KEYWORD_SHARE * total[seen >> 42] / 2)
-            hit = often[inverse]
-            marked = np.unique(np.concatenate([(wdoc[i][hit] << 21) | wid[i][hit], (wdoc[i][hit] << 21) | wid[i + 1][hit]]))
-            keys = np.isin((wdoc << 21) | wid, marked) & content
+        wid, wdoc = np.array(self.word_id)[ids[w]], doc[w]
+        content = code[w] >= _F
+        edge = np.concatenate([[True], wdoc[1:] != wdoc[:-1]])
+        # what the page's words just before say of each word: its pair with the word before it, and the word alone
+        one = np.unique(wdoc * len(self.code) + wid, return_inverse=True)[1]
+        word_n = _lately(one, MEMORY)
+        first = np.nonzero(edge)[0]
+        seen = np.minimum(np.arange(len(w)) - np.repeat(first, np.diff(np.concatenate([first, [len(w)]]))), MEMORY)
+        before = np.where(edge, -1, np.concatenate([[0], one[:-1]]))
+        pair_n = _lately((before + 1) * (one.max(initial=0) + 1) + one, MEMORY)
+        ctx_n = np.where(edge, 0, np.concatenate([[0], word_n[:-1]]))
+        p = (word_n + CACHE_WORD * 2.0**-NEW_BITS) / (seen + CACHE_WORD)
+        p = (pair_n + CACHE_PAIR * p) / (ctx_n + CACHE_PAIR)
+        bits = np.zeros(len(ids), np.uint8)
+        bits[w] = np.where(content, np.clip(np.round(-16 * np.log2(np.minimum(p, 1.0))), 0, 254), 255)
+        bits[size == 0] = 255
         # place of a content word in its run
-        run_words = np.where(code[w] >= _F, size[w], 0)
+        run_words = np.where(content, size[w], 0)
         acc = np.cumsum(run_words)
-        reset = (code[w] < _F) | np.concatenate([[True], wdoc[1:] != wdoc[:-1]])
-        base = np.maximum.accumulate(np.where(reset, acc - run_words, 0))
+        base = np.maximum.accumulate(np.where(~content | edge, acc - run_words, 0))
         place = np.clip(acc - base, 1, RUN)
         shaped = np.isin(code[w], (_LOWER, _TITLE, _UPPER))
-        new = np.where(shaped, code[w] + place - 1, code[w])
-        new = np.where(keys & shaped, _KEY, new)
-        code[w] = new
-        return code.astype(np.int16), size, start
+        code[w] = np.where(shaped, code[w] + place - 1, code[w])
+        return code.astype(np.int16), size, bits, start
 
 
-def _prose(code: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Which tokens stand in sentences with enough function words and no keywords or links: prose to train on.
+def _sentences(code: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Which tokens stand in sentences: spans of five words or more up to a full stop, a fifth of them function words, and
+    an eighth different ones.
 
-    `start` holds where each text begins, and the end.
+    Neither repeats nor links nor tags matter here. `start` holds where each text begins, and the end.
     """
     n = len(code)
     if not n:
@@ -159,9 +190,10 @@ def _prose(code: np.ndarray, start: np.ndarray) -> np.ndarray:
     first = np.nonzero(opens)[0]
     k = len(first)
     last = code[np.concatenate([first[1:], [n]]) - 1]
-    words, fun, odd = (np.bincount(seg, table[code], minlength=k) for table in (_IS_WORD, _IS_FUNCTION, _IS_ODD))
-    good = (words >= 5) & (fun >= 0.2 * words) & (odd == 0) & _IS_STOP[last] & (last != _NEWLINE)
-    # a line break between sentences belongs to the prose before it
+    words, fun = (np.bincount(seg, table[code], minlength=k) for table in (_IS_WORD, _IS_FUNCTION))
+    kinds = np.bincount(np.unique(seg[_IS_FUNCTION[code]] * V + code[_IS_FUNCTION[code]]) // V, minlength=k)
+    good = (words >= 5) & (fun >= 0.2 * words) & (kinds >= np.maximum(2, 0.125 * words)) & _IS_END[last]
+    # a line break between sentences belongs to the sentence before it
     alone = (last == _NEWLINE) & (np.bincount(seg, minlength=k) == 1)
     before = np.maximum.accumulate(np.where(alone, 0, np.arange(k)))
     text = np.searchsorted(start, first, side="right")
@@ -178,7 +210,7 @@ def _grams(code: np.ndarray, start: np.ndarray) -> np.ndarray:
     one[begin] = two[begin] = _START
     begin = begin[begin + 1 < len(c)] + 1
     two[begin] = _START
-    return (two * V + one) * V + c
+    return (_KIND[two] * V + one) * V + c
 
 
 def _classify_batches(batches):
@@ -186,40 +218,44 @@ def _classify_batches(batches):
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):
             part = batch.slice(at, 1000)
-            code, size, start = classify(part.column(1).to_pylist())
-            # the top bit of a size marks prose
-            size = (np.minimum(size, 127) | (_prose(code, start) << 7)).astype(np.uint8)
-            cut_ = [(code[a:b].tobytes(), size[a:b].tobytes()) for a, b in zip(start[:-1], start[1:])]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([c for c, _ in cut_], pa.binary()), pa.array([s for _, s in cut_], pa.binary())], names=["doc_id", "codes", "sizes"])
+            code, size, bits, start = classify(part.column(1).to_pylist())
+            code = (code | np.where(_sentences(code, start), _PROSE_BIT, 0)).astype(np.int16)
+            cols = [pa.array([x[a:b].tobytes() for a, b in zip(start[:-1], start[1:])], pa.binary()) for x in (code, size.astype(np.uint8), bits)]
+            yield pa.RecordBatch.from_arrays([part.column(0), *cols], names=["doc_id", "codes", "sizes", "cache"])
 
 
 def _stored(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(codes, sizes, starts) of the texts of a batch, one after the other."""
-    codes, sizes = batch.column("codes").to_pylist(), batch.column("sizes").to_pylist()
-    start = np.concatenate([[0], np.cumsum([len(s) for s in sizes])]).astype(np.int64)
-    return np.frombuffer(b"".join(codes), np.int16), np.frombuffer(b"".join(sizes), np.uint8), start
+    """(codes, whether in a sentence, starts) of the texts of a batch, one after the other."""
+    codes = batch.column("codes").to_pylist()
+    start = np.concatenate([[0], np.cumsum([len(s) // 2 for s in codes])]).astype(np.int64)
+    code = np.frombuffer(b"".join(codes), np.int16)
+    return code & (_PROSE_BIT - 1), code >= _PROSE_BIT, start
+
 
+def _bytes(batch, name: str) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column(name).to_pylist()), np.uint8)
 
-def _stretches(batch) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, starts) of the stretches of prose of more than five tokens."""
-    code, size, start = _stored(batch)
-    ok = size >= 128
+
+def _stretches(ok: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, starts) of the stretches of sentences of more than five tokens."""
     opens = ok & ~np.concatenate([[False], ok[:-1]])
     begin = start[:-1][start[:-1] < len(ok)]
     opens[begin] = ok[begin]
     at = np.nonzero(ok)[0]
+    if not len(at):
+        return at, np.zeros(1, np.int64)
     piece = np.cumsum(opens[at]) - 1
-    length = np.bincount(piece) if len(piece) else np.zeros(0, np.int64)
-    keep = (length > 5)[piece] if len(piece) else np.zeros(0, bool)
-    length = length[length > 5]
-    return code[at[keep]], np.concatenate([[0], np.cumsum(length)]).astype(np.int64)
+    length = np.bincount(piece)
+    keep = (length > 5)[piece]
+    return at[keep], np.concatenate([[0], np.cumsum(length[length > 5])]).astype(np.int64)
 
 
 def _count_batches(batches):
     for batch in batches:
-        code, start = _stretches(batch)
-        if len(code):
-            gram, n = np.unique(_grams(code, start), return_counts=True)
+        code, ok, start = _stored(batch)
+        at, start = _stretches(ok, start)
+        if len(at):
+            gram, n = np.unique(_grams(code[at], start), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n.astype(np.int64))], names=["gram", "n"])
 
 
@@ -228,7 +264,7 @@ class ProseModel:
 
     def __init__(self, gram: np.ndarray, n: np.ndarray):
         self.levels = []
-        for k in (1, V, V * V):  # unigrams, bigrams, trigrams by their last classes
+        for k in (1, V, K * V):  # unigrams, bigrams, trigrams by their last classes
             g, at = np.unique(gram % (k * V), return_inverse=True)
             c = np.bincount(at, n, minlength=len(g))
             ctx, at = np.unique(g // V, return_inverse=True)
@@ -254,38 +290,54 @@ class ProseModel:
         if not len(code):
             return np.zeros(0)
         gram, at = np.unique(_grams(code, start), return_inverse=True)
-        acc = np.concatenate([[0.0], np.cumsum(self.bits(gram)[at])])
-        k = np.arange(len(code))
-        length = np.diff(start)
-        lo = np.maximum(k - REACH, np.repeat(start[:-1], length))
-        hi = np.minimum(k + REACH + 1, np.repeat(start[1:], length))
-        return (acc[hi] - acc[lo]) / (hi - lo)
+        return _around(self.bits(gram)[at], np.ones(len(code)), start)
+
+
+def _around(x: np.ndarray, weight: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Weighted mean of x over the tokens within REACH of each, in the same stretch; infinite without weight."""
+    acc, mass = (np.concatenate([[0.0], np.cumsum(v)]) for v in (x * weight, weight))
+    k, length = np.arange(len(x)), np.diff(start)
+    lo = np.maximum(k - REACH, np.repeat(start[:-1], length))
+    hi = np.minimum(k + REACH + 1, np.repeat(start[1:], length))
+    m = mass[hi] - mass[lo]
+    return np.where(m > 0, (acc[hi] - acc[lo]) / np.maximum(m, 1), np.inf)
+
+
+def _expected(cache: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Bits of the content words around each token under the page's cache; infinite where there are under five."""
+    has = (cache < 255).astype(float)
+    bits = _around(cache / 16.0, has, start)
+    return np.where(_around(has, np.ones(len(has)), start) * (2 * REACH + 1) >= 5, bits, np.inf)
 
 
 def classified(documents: DataFrame) -> DataFrame:
-    """(doc_id, codes, sizes): the class sequence of every text, kept as a table, as three passes read it."""
+    """(doc_id, codes, sizes, cache): the class sequence of every text, kept as a table, as three passes read it."""
     kind = dict(documents.dtypes)["doc_id"]
-    return cut(documents.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(_classify_batches, f"doc_id {kind}, codes binary, sizes binary"))
+    return cut(documents.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(_classify_batches, f"doc_id {kind}, codes binary, sizes binary, cache binary"))
 
 
 def train(sequences: DataFrame) -> ProseModel:
-    """Counts over the prose of all documents; classes are a closed set, so the model's size doesn't follow the corpus."""
-    counts = sequences.select("codes", "sizes").mapInArrow(_count_batches, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-    rows = collect_bounded(counts, MAX_NGRAMS, "class n-grams")
-    return ProseModel(np.array([r["gram"] for r in rows], np.int64), np.array([r["n"] for r in rows], float))
+    """Counts over the sentences of all documents; there are at most K * V * V trigrams, so the model's size doesn't follow the corpus."""
+    counts = sequences.select("codes").mapInArrow(_count_batches, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    return ProseModel(counts.column("gram").to_numpy(), counts.column("n").to_numpy().astype(float))
 
 
 def _bins(blob):
-    """Histogram of the stretches of prose, by hundredths of a bit."""
+    """Histograms of the sentences by hundredths of a bit: 0 of classes, 1 of the page's cache."""
 
     def run(batches):
-        hist = np.zeros(10_000, np.int64)
+        hist = np.zeros((2, 10_000), np.int64)
         for batch in batches:
-            code, start = _stretches(batch)
-            s = blob.value.surprisals(code, start)[np.repeat(np.diff(start) > 2 * REACH, np.diff(start))]
-            hist += np.bincount(np.minimum((s * 100).astype(int), 9_999), minlength=10_000)
-        b = np.nonzero(hist)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(b.astype(np.int32)), pa.array(hist[b])], names=["bin", "n"])
+            code, ok, start = _stored(batch)
+            at, pieces = _stretches(ok, start)
+            if not len(at):
+                continue
+            long = np.repeat(np.diff(pieces) > 2 * REACH, np.diff(pieces))
+            for k, s in enumerate((blob.value.surprisals(code[at], pieces), _expected(_bytes(batch, "cache")[at], pieces))):
+                s = s[long & np.isfinite(s)]
+                hist[k] += np.bincount(np.minimum((s * 100).astype(int), 9_999), minlength=10_000)
+        kind, b = np.nonzero(hist)
+        yield pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(hist[kind, b])], names=["kind", "bin", "n"])
 
     return run
 
@@ -299,37 +351,42 @@ def _quantile(hist: list[tuple[int, int]], q: float) -> float:
     return 0.0
 
 
-def _scorer(blob, low: float, high: float):
+def bounds(sequences: DataFrame, model) -> tuple[float, float]:
+    """(class surprisal above which, cache bits under which) a stretch is abnormal; of a corpus without sentences, none is."""
+    rows = sequences.mapInArrow(_bins(model), "kind int, bin int, n bigint").groupBy("kind", "bin").agg(F.sum("n").alias("n")).collect()  # at most 20,000 bins
+    hist = [sorted((r["bin"], r["n"]) for r in rows if r["kind"] == k) for k in (0, 1)]
+    high = _quantile(hist[0], 0.5) + HIGH * max(0.05, (_quantile(hist[0], 0.84) - _quantile(hist[0], 0.16)) / 2) if hist[0] else math.inf
+    return high, LOW * _quantile(hist[1], 0.5) if hist[1] else -1.0
+
+
+def _scorer(blob, high: float, low: float):
     def run(batches):
         for batch in batches:
-            code, size, start = _stored(batch)
-            size = (size & 127).astype(np.int64)
-            s = blob.value.surprisals(code, start)
+            code, _, start = _stored(batch)
+            size = _bytes(batch, "sizes").astype(np.int64)
+            s, e = blob.value.surprisals(code, start), _expected(_bytes(batch, "cache"), start)
             length = np.diff(start)
             doc = np.repeat(np.arange(len(length)), length)
             total = lambda x: np.bincount(doc, x, minlength=len(length))  # noqa: E731, B023
             words = total(size)
-            share = total(size * ((s > high) | (s < low))) / np.maximum(words, 1)
+            shares = [total(size * odd) / np.maximum(words, 1) for odd in ((s > high) | (e < low), s > high, e < low)]
             bits = total(s) / np.maximum(length, 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(share), pa.array(bits), pa.array(words.astype(np.int64))], names=["doc_id", "spam_share", "bits", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, shares), pa.array(bits), pa.array(words.astype(np.int64))], names=["doc_id", "spam_share", "high_share", "low_share", "bits", "words"])
 
     return run
 
 
 def score_pages(documents: DataFrame) -> DataFrame:
-    """(doc_id, spam_share, bits, words): share of words in stretches of abnormal perplexity, and mean bits a token.
+    """(doc_id, spam_share, high_share, low_share, bits, words): share of words in abnormal stretches, in such of abnormally
+    high class perplexity and of abnormally low perplexity under the page's cache, and mean class bits a token.
 
-    NULL and empty texts have 0 words and share 0; without any prose in the corpus nothing is abnormal. Whole texts;
+    NULL and empty texts have 0 words and share 0; without any sentence in the corpus nothing is abnormal. Whole texts;
     repeated rows give repeated rows.
     """
-    spark = documents.sparkSession
     sequences = classified(documents)
-    model = spark.sparkContext.broadcast(train(sequences))
-    hist = sorted((r["bin"], r["n"]) for r in collect_bounded(sequences.mapInArrow(_bins(model), "bin int, n bigint").groupBy("bin").agg(F.sum("n").alias("n")), 10_000, "bins"))
-    mid = _quantile(hist, 0.5)
-    spread = max(0.05, (_quantile(hist, 0.84) - _quantile(hist, 0.16)) / 2)
-    low, high = (mid - LOW * spread, mid + HIGH * spread) if hist else (-1.0, math.inf)
-    return sequences.mapInArrow(_scorer(model, low, high), f"doc_id {dict(documents.dtypes)['doc_id']}, spam_share double, bits double, words bigint")
+    model = documents.sparkSession.sparkContext.broadcast(train(sequences))
+    schema = f"doc_id {dict(documents.dtypes)['doc_id']}, spam_share double, high_share double, low_share double, bits double, words bigint"
+    return sequences.mapInArrow(_scorer(model, *bounds(sequences, model)), schema)
 
 
 def spam_pages(documents: DataFrame) -> DataFrame:

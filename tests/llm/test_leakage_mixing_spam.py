@@ -69,3 +69,15 @@ def test_spam(spark):
     assert {r.doc_id for r in S.spam_pages(df).collect()} == set(bad)
     assert S.spam_pages(df.limit(0)).count() == 0
     assert S.spam_pages(spark.createDataFrame([(1, "a b c")], "doc_id bigint, text string")).count() == 0
+
+
+def test_spam_sides_and_long_tokens(spark):
+    prose = [(i, "\n".join(PROSE[(i + k) % 4] for k in range(6))) for i in range(80)]
+    stuffed = "Our welder jobs are the best welder jobs, so get the welder jobs now because welder jobs go fast. " * 12
+    links = "\n".join(f"* [welder Boston](http://x{i}.example/{i})" for i in range(40))
+    chain = "-".join(["word"] * 1_000)
+    df = spark.createDataFrame([*prose, (1000, stuffed), (1001, links), (1002, chain), (1003, "www." + "x/" * 5_000)], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in S.score_pages(df).collect()}
+    # repeated keywords in sentences are found by the low side alone, links by the high side
+    assert got[1000].low_share > 0.6 > got[1000].high_share and got[1001].high_share > 0.6
+    assert got[1002].words == 1_000 and got[1003].words > 4_000
