@@ -30,6 +30,40 @@ def test_blocks_of_items(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in L.leaked_passages(df, items).collect()} == {(0, 0), (1, 1), (2, 2)}
 
 
+def _longest(doc: str, item: str, least: int = 10):
+    a, b = L.words(doc), L.words(item)
+    best = (0, 0)
+    for i in range(len(a)):
+        for j in range(len(b)):
+            k = 0
+            while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k]:
+                k += 1
+            best = max(best, (k, -i))
+    return (best[0], -best[1]) if best[0] >= least else None
+
+
+@pytest.mark.parametrize("tight", [False, True])
+def test_leaks_against_brute_force(spark, monkeypatch, tight):
+    """Also with a table of bits that lets nearly everything pass, matches taken a few at a time, and many blocks of items."""
+    if tight:
+        monkeypatch.setattr(L, "MOST_BITS", 1 << 10)
+        monkeypatch.setattr(L, "MATCHES", 3)
+        monkeypatch.setattr(L, "SHARD_WORDS", 50)
+        monkeypatch.setattr(L, "BLOCK_CHARS", 400)
+    rng = np.random.default_rng(5)
+    text = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 40, n))
+    shared = text(12)
+    items = [(i, f"{text(15)} {shared} {text(9)}" if i % 2 else text(30)) for i in range(12)]
+    docs = []
+    for i in range(40):
+        t = items[int(rng.integers(12))][1].split()
+        a = int(rng.integers(0, len(t) - 9))
+        docs.append((i, f"{text(20)} {' '.join(t[a : a + int(rng.integers(8, 25))])} {text(5)}" if i % 4 else f"{text(7)} {shared} {text(3)} {shared}"))
+    want = {(d, i, *m) for d, x in docs for i, y in items if (m := _longest(x, y))}
+    got = L.leaked_passages(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    assert {tuple(r) for r in got.select("doc_id", "item_id", "match_words", "word_position").collect()} == want and len(want) > 60
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 3), min_size=1, max_size=60))
 def test_suffix_array(seq):
