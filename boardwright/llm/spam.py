@@ -15,6 +15,7 @@ import string
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,12 +34,12 @@ _WORD = re.compile(r"[^\W_]+")
 #: Content words in a row, without a function word between them, that are told apart.
 RUN = 40
 #: Tokens to each side over which surprisal is averaged.
-REACH = 10
+REACH = 5
 #: A stretch is abnormal from HIGH robust deviations above the median class surprisal of the corpus's sentences on, or where
 #: its content words cost under LOW of the median bits of sentences under the page's cache.
-HIGH, LOW = 6.0, 1 / 3
-#: Share of a page's words in abnormal stretches from which it is flagged: half.
-FLAG = 0.5
+HIGH, LOW = 5.0, 1 / 3
+#: Share of a page's words in abnormal stretches from which it is flagged; stretches reach a little beyond the odd words.
+FLAG = 0.55
 #: The page's cache: how many words back it reaches, so that a passage repeated as a whole stays prose, the weight of the word
 #: alone against its pair with the word before it, of a new word against both, and the bits that a new word costs.
 MEMORY, CACHE_PAIR, CACHE_WORD, NEW_BITS = 50, 0.5, 4.0, 13
@@ -95,17 +96,26 @@ def _kind(token: str) -> tuple[int, int]:
 
 
 def _lately(keys: np.ndarray, memory: int) -> np.ndarray:
-    """How often each key stood among the `memory` entries before."""
+    """How often each key (well mixed 64 bits, of which the place takes the lowest) stood among the `memory` entries before."""
     n = len(keys)
-    order = np.argsort(keys, kind="stable")
-    k = keys[order]
+    low = np.uint64((1 << max(1, int(n).bit_length())) - 1)
+    k = np.sort((keys & ~low) | np.arange(n, dtype=np.uint64))
+    place = (k & low).astype(np.int64)
+    k &= ~low
     group = np.cumsum(np.concatenate([[False], k[1:] != k[:-1]]))
-    at = group * (n + memory) + order
+    at = group * (n + memory) + place
     out = np.empty(n, np.int64)
-    out[order] = np.arange(n) - np.searchsorted(at, at - memory)
+    out[place] = np.arange(n) - np.searchsorted(at, at - memory)
     return out
 
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = x * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
+
+
 class Classifier:
     """Class codes of whole batches; what it remembers of tokens is bounded."""
 
@@ -152,12 +162,12 @@ class Classifier:
         content = code[w] >= _F
         edge = np.concatenate([[True], wdoc[1:] != wdoc[:-1]])
         # what the page's words just before say of each word: its pair with the word before it, and the word alone
-        one = np.unique(wdoc * len(self.code) + wid, return_inverse=True)[1]
+        one = _mix(_mix(wdoc.astype(np.uint64) + np.uint64(1)) + wid.astype(np.uint64))
         word_n = _lately(one, MEMORY)
         first = np.nonzero(edge)[0]
         seen = np.minimum(np.arange(len(w)) - np.repeat(first, np.diff(np.concatenate([first, [len(w)]]))), MEMORY)
-        before = np.where(edge, -1, np.concatenate([[0], one[:-1]]))
-        pair_n = _lately((before + 1) * (one.max(initial=0) + 1) + one, MEMORY)
+        before = np.where(edge, np.uint64(0), np.concatenate([one[:1], one[:-1]]))
+        pair_n = _lately(_mix(before + one * np.uint64(3)), MEMORY)
         ctx_n = np.where(edge, 0, np.concatenate([[0], word_n[:-1]]))
         p = (word_n + CACHE_WORD * 2.0**-NEW_BITS) / (seen + CACHE_WORD)
         p = (pair_n + CACHE_PAIR * p) / (ctx_n + CACHE_PAIR)
@@ -220,20 +230,27 @@ def _classify_batches(batches):
             part = batch.slice(at, 1000)
             code, size, bits, start = classify(part.column(1).to_pylist())
             code = (code | np.where(_sentences(code, start), _PROSE_BIT, 0)).astype(np.int16)
-            cols = [pa.array([x[a:b].tobytes() for a, b in zip(start[:-1], start[1:])], pa.binary()) for x in (code, size.astype(np.uint8), bits)]
+            cols = [_blobs(x, start) for x in (code, size.astype(np.uint8), bits)]
             yield pa.RecordBatch.from_arrays([part.column(0), *cols], names=["doc_id", "codes", "sizes", "cache"])
 
 
-def _stored(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(codes, whether in a sentence, starts) of the texts of a batch, one after the other."""
-    codes = batch.column("codes").to_pylist()
-    start = np.concatenate([[0], np.cumsum([len(s) // 2 for s in codes])]).astype(np.int64)
-    code = np.frombuffer(b"".join(codes), np.int16)
-    return code & (_PROSE_BIT - 1), code >= _PROSE_BIT, start
+def _blobs(x: np.ndarray, start: np.ndarray) -> pa.Array:
+    """One binary value a text of what lies one after the other."""
+    return pa.Array.from_buffers(pa.binary(), len(start) - 1, [None, pa.py_buffer((start * x.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
 
 
-def _bytes(batch, name: str) -> np.ndarray:
-    return np.frombuffer(b"".join(batch.column(name).to_pylist()), np.uint8)
+def _bytes(column: pa.Array, kind=np.uint8) -> np.ndarray:
+    """The values of a column of blobs, one after the other."""
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(kind) if data is not None and len(column) else np.zeros(0, kind)
+
+
+def _stored(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, whether in a sentence, starts) of the texts of a batch, one after the other."""
+    code = _bytes(batch.column("codes"), np.int16)
+    length = pc.binary_length(batch.column("codes")).to_numpy(zero_copy_only=False) // 2
+    return code & (_PROSE_BIT - 1), code >= _PROSE_BIT, np.concatenate([[0], np.cumsum(length)]).astype(np.int64)
 
 
 def _stretches(ok: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -251,63 +268,44 @@ def _stretches(ok: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _count_batches(batches):
+    counts = np.zeros(K * V * V, np.int64)
     for batch in batches:
         code, ok, start = _stored(batch)
         at, start = _stretches(ok, start)
-        if len(at):
-            gram, n = np.unique(_grams(code[at], start), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n.astype(np.int64))], names=["gram", "n"])
-
-
-class ProseModel:
-    """Interpolated trigram model (Witten-Bell) over class codes."""
-
-    def __init__(self, gram: np.ndarray, n: np.ndarray):
-        self.levels = []
-        for k in (1, V, K * V):  # unigrams, bigrams, trigrams by their last classes
-            g, at = np.unique(gram % (k * V), return_inverse=True)
-            c = np.bincount(at, n, minlength=len(g))
-            ctx, at = np.unique(g // V, return_inverse=True)
-            self.levels.append((g, c, ctx, np.bincount(at, c, minlength=len(ctx)), np.bincount(at, minlength=len(ctx)), k))
-
-    @staticmethod
-    def _find(keys: np.ndarray, values: np.ndarray, want: np.ndarray) -> np.ndarray:
-        if not len(keys):
-            return np.zeros(len(want))
-        i = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-        return np.where(keys[i] == want, values[i], 0)
-
-    def bits(self, gram: np.ndarray) -> np.ndarray:
-        p = np.full(len(gram), 1.0 / V)
-        for g, c, ctx, total, kinds, k in self.levels:
-            want = gram % (k * V)
-            t, d = self._find(ctx, total, want // V), self._find(ctx, kinds, want // V)
-            p = np.where(t > 0, (self._find(g, c, want) + d * p) / np.maximum(t + d, 1), p)
-        return -np.log2(p)
-
-    def surprisals(self, code: np.ndarray, start: np.ndarray) -> np.ndarray:
-        """Bits of each token, averaged over the tokens around it in the same stretch."""
-        if not len(code):
-            return np.zeros(0)
-        gram, at = np.unique(_grams(code, start), return_inverse=True)
-        return _around(self.bits(gram)[at], np.ones(len(code)), start)
-
-
-def _around(x: np.ndarray, weight: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Weighted mean of x over the tokens within REACH of each, in the same stretch; infinite without weight."""
-    acc, mass = (np.concatenate([[0.0], np.cumsum(v)]) for v in (x * weight, weight))
-    k, length = np.arange(len(x)), np.diff(start)
-    lo = np.maximum(k - REACH, np.repeat(start[:-1], length))
-    hi = np.minimum(k + REACH + 1, np.repeat(start[1:], length))
-    m = mass[hi] - mass[lo]
-    return np.where(m > 0, (acc[hi] - acc[lo]) / np.maximum(m, 1), np.inf)
-
-
-def _expected(cache: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Bits of the content words around each token under the page's cache; infinite where there are under five."""
-    has = (cache < 255).astype(float)
-    bits = _around(cache / 16.0, has, start)
-    return np.where(_around(has, np.ones(len(has)), start) * (2 * REACH + 1) >= 5, bits, np.inf)
+        np.add.at(counts, _grams(code[at], start), 1)
+    gram = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(counts[gram])], names=["gram", "n"])
+
+
+def surprisals(counts: np.ndarray) -> np.ndarray:
+    """Bits of every trigram under the interpolated model (Witten-Bell) of these counts."""
+    three = counts.reshape(K, V, V).astype(float)
+    p = np.full(V, 1.0 / V)
+    for c in (three.sum((0, 1)), three.sum(0), three):  # the class alone, after one class, after two
+        total, kinds = c.sum(-1, keepdims=True), (c > 0).sum(-1, keepdims=True)
+        p = np.where(total > 0, (c + kinds * p) / np.maximum(total + kinds, 1), p)
+    return -np.log2(p).astype(np.float32).ravel()
+
+
+def _windows(start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, end) of the tokens within REACH of each in the same stretch."""
+    length = np.diff(start)
+    k = np.arange(start[-1])
+    return np.maximum(k - REACH, np.repeat(start[:-1], length)), np.minimum(k + REACH + 1, np.repeat(start[1:], length))
+
+
+def _sums(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    acc = np.concatenate([[0], np.cumsum(x, dtype=np.int64 if x.dtype.kind in "ui" else float)])
+    return acc[hi] - acc[lo]
+
+
+def perplexities(bits: np.ndarray, code: np.ndarray, cache: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Around each token: mean bits of the classes, and of the content words under the page's cache (infinite under five of them)."""
+    lo, hi = _windows(start)
+    has = cache < 255
+    n = _sums(has.astype(np.uint8), lo, hi)
+    expected = np.where(n >= 5, _sums(np.where(has, cache, 0), lo, hi) / (16.0 * np.maximum(n, 1)), np.inf)
+    return _sums(bits[_grams(code, start)], lo, hi) / np.maximum(hi - lo, 1), expected
 
 
 def classified(documents: DataFrame) -> DataFrame:
@@ -316,10 +314,12 @@ def classified(documents: DataFrame) -> DataFrame:
     return cut(documents.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(_classify_batches, f"doc_id {kind}, codes binary, sizes binary, cache binary"))
 
 
-def train(sequences: DataFrame) -> ProseModel:
-    """Counts over the sentences of all documents; there are at most K * V * V trigrams, so the model's size doesn't follow the corpus."""
-    counts = sequences.select("codes").mapInArrow(_count_batches, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
-    return ProseModel(counts.column("gram").to_numpy(), counts.column("n").to_numpy().astype(float))
+def train(sequences: DataFrame) -> np.ndarray:
+    """Bits of all trigrams from counts over the sentences of all documents; of bounded size whatever the corpus."""
+    got = sequences.select("codes").mapInArrow(_count_batches, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(K * V * V)
+    counts[got.column("gram").to_numpy()] = got.column("n").to_numpy()
+    return surprisals(counts)
 
 
 def _bins(blob):
@@ -330,10 +330,8 @@ def _bins(blob):
         for batch in batches:
             code, ok, start = _stored(batch)
             at, pieces = _stretches(ok, start)
-            if not len(at):
-                continue
             long = np.repeat(np.diff(pieces) > 2 * REACH, np.diff(pieces))
-            for k, s in enumerate((blob.value.surprisals(code[at], pieces), _expected(_bytes(batch, "cache")[at], pieces))):
+            for k, s in enumerate(perplexities(blob.value, code[at], _bytes(batch.column("cache"))[at], pieces)):
                 s = s[long & np.isfinite(s)]
                 hist[k] += np.bincount(np.minimum((s * 100).astype(int), 9_999), minlength=10_000)
         kind, b = np.nonzero(hist)
@@ -363,8 +361,8 @@ def _scorer(blob, high: float, low: float):
     def run(batches):
         for batch in batches:
             code, _, start = _stored(batch)
-            size = _bytes(batch, "sizes").astype(np.int64)
-            s, e = blob.value.surprisals(code, start), _expected(_bytes(batch, "cache"), start)
+            size = _bytes(batch.column("sizes"))
+            s, e = perplexities(blob.value, code, _bytes(batch.column("cache")), start)
             length = np.diff(start)
             doc = np.repeat(np.arange(len(length)), length)
             total = lambda x: np.bincount(doc, x, minlength=len(length))  # noqa: E731, B023
