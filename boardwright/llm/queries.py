@@ -88,12 +88,12 @@ SELECT url_a, url_b FROM p JOIN n x ON x.url = url_a JOIN n y ON y.url = url_b W
 ORACLES = {
     "p4_found": _P4,
     # runs of ten-word sequences that follow each other in both texts, on one diagonal
-    "p8_longest_matches": f"""{_P8.rsplit("dg AS", 1)[0]}dg AS (SELECT doc_id, i, array_to_string(w[i:i+9], ' ') AS g FROM d, unnest(generate_series(1, len(w) - 9)) AS t(i)),
+    "p8_longest_matches": f"""{_P8.split("dg AS", 1)[0]}dg AS (SELECT doc_id, i, array_to_string(w[i:i+9], ' ') AS g FROM d, unnest(generate_series(1, len(w) - 9)) AS t(i)),
 bg AS (SELECT item_id, i AS j, array_to_string(w[i:i+9], ' ') AS g FROM b, unnest(generate_series(1, len(w) - 9)) AS t(i)),
 hit AS (SELECT DISTINCT doc_id, item_id, i, j FROM dg JOIN bg USING (g)),
 isle AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_id, i - j ORDER BY i) AS k FROM hit),
-run AS (SELECT doc_id, item_id, count(*) + 9 AS n, min(i) - 1 AS at FROM isle GROUP BY doc_id, item_id, i - j, k)
-SELECT doc_id, item_id, max(n) AS match_words, arg_min(at, -n * 1000000000 + at) AS word_position FROM run GROUP BY doc_id, item_id""",
+run AS (SELECT doc_id, item_id, count(*) + 9 AS n, min(i) - 1 AS place FROM isle GROUP BY doc_id, item_id, i - j, k)
+SELECT doc_id, item_id, max(n) AS match_words, arg_min(place, -n * 1000000000 + place) AS word_position FROM run GROUP BY doc_id, item_id""",
     "p8_found": f"{_P8} SELECT doc_id, item_id FROM hit",
     "p8_clean_counts": f"{_P8} SELECT lang, count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM hit) GROUP BY lang",
 }
