@@ -86,6 +86,26 @@ def test_mix(spark):
     assert M.mix_sources(df.limit(0), goals).plan.count() == 0 and M.mix_sources(df, goals.limit(0)).shares.count() == 0
 
 
+def test_mix_counts_a_document_once(spark):
+    rows = [(1, "a", "one two three four"), (1, "a", "one two three four"), (2, "A ", "five six"), (3, "b", "seven eight nine ten"), (3, "c", "other"), (3, "b", "seven")]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    goals = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 2)], "source string, target_share double, max_passes int")
+    mix = M.mix_sources(df, goals)
+    plan = mix.plan.collect()
+    assert sorted(r.doc_id for r in plan) == [1, 2, 3] and {r.doc_id: r.source for r in plan}[3] == "b"
+    shares = {r.source: r for r in mix.shares.collect()}
+    assert shares["b"].source_tokens == {r.doc_id: r.tokens for r in plan}[3] and sum(r.reached_share for r in shares.values()) == pytest.approx(1)
+
+
+def test_mix_near_the_cap_of_small_documents(spark):
+    docs = [(i, "a" if i % 2 else "b", " ".join(["token"] * (1 if i % 3 else 900))) for i in range(600)]
+    df = spark.createDataFrame(docs, "doc_id bigint, source string, text string")
+    goals = spark.createDataFrame([("a", 0.5, 3), ("b", 0.5, 3)], "source string, target_share double, max_passes int")
+    have = {r.source: r.source_tokens for r in M.mix_sources(df, goals).shares.collect()}
+    mix = M.mix_sources(df, goals, total_tokens=2 * 2.9999 * min(have.values()))
+    assert all(r.reached_share == pytest.approx(0.5, abs=0.01) for r in mix.shares.collect())
+
+
 def test_token_counts_with_long_texts(spark):
     df = spark.createDataFrame([(1, "s", "word " * 100_000), (2, "s", "<|endoftext|>"), (3, "s", None)], "doc_id bigint, source string, text string")
     got = {r.doc_id: r.tokens for r in M.token_counts(df).collect()}
