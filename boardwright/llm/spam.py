@@ -31,15 +31,17 @@ FUNCTION_WORDS = {
 #: A link of more than 200 characters and a chain of more than 100 hyphens go on as a token of their own, so that a token has under 256 words.
 _TOKEN = re.compile(r"(?:https?:)?//[^\s<>\"')\]]{1,200}|www\.[^\s<>\"')\]]{1,200}|[#@]?[^\W_]+(?:['’\-][^\W_]+){0,99}|\n+|[^\w\s]|_")
 _WORD = re.compile(r"[^\W_]+")
+#: Words of a sentence that is trained on, and the share of the corpus's tokens that a context must have to be trusted by half.
+SENTENCE, TRUST = (5, 60), 1e-3
 #: Content words in a row, without a function word between them, that are told apart.
 RUN = 40
 #: Tokens to each side over which surprisal is averaged.
 REACH = 5
 #: A stretch is abnormal from HIGH robust deviations above the median class surprisal of the corpus's sentences on, or where
 #: its content words cost under LOW of the median bits of sentences under the page's cache.
-HIGH, LOW = 5.0, 1 / 3
+HIGH, LOW = 5.5, 1 / 3
 #: Share of a page's words in abnormal stretches from which it is flagged; stretches reach a little beyond the odd words.
-FLAG = 0.55
+FLAG = 0.52
 #: The page's cache: how many words back it reaches, so that a passage repeated as a whole stays prose, the weight of the word
 #: alone against its pair with the word before it, of a new word against both, and the bits that a new word costs.
 MEMORY, CACHE_PAIR, CACHE_WORD, NEW_BITS = 50, 0.5, 4.0, 13
@@ -126,6 +128,7 @@ class Classifier:
         self.ids: dict[str, int] = {}
         self.code: list[int] = []
         self.words: list[int] = []
+        self.capital: list[bool] = []
         self.word_id: list[int] = []
 
     def _add(self, token: str) -> int:
@@ -134,13 +137,15 @@ class Classifier:
         low = token.lower()
         self.code.append(code)
         self.words.append(n)
+        self.capital.append(token[0].isupper() or token[0].isdigit())
         self.word_id.append(k)
         if low != token:
             self.word_id[k] = self.ids[low] if low in self.ids else self._add(low)
         return k
 
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(codes, words per token, sixteenths of bits of the page's cache, first token of each text and the end)."""
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(codes, words per token, whether it begins with a capital or a digit, sixteenths of bits of the page's cache, first
+        token of each text and the end)."""
         if len(self.code) > 400_000:
             self.reset()
         get, add = self.ids.get, self._add
@@ -154,7 +159,7 @@ class Classifier:
         ids = np.array(at, np.int64)
         start = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
         if not len(ids):
-            return np.zeros(0, np.int16), np.zeros(0, np.int64), np.zeros(0, np.uint8), start
+            return np.zeros(0, np.int16), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.uint8), start
         code, size = np.array(self.code)[ids], np.array(self.words, np.int64)[ids]
         doc = np.repeat(np.arange(len(texts)), counts)
         w = np.nonzero(size > 0)[0]
@@ -181,12 +186,12 @@ class Classifier:
         place = np.clip(acc - base, 1, RUN)
         shaped = np.isin(code[w], (_LOWER, _TITLE, _UPPER))
         code[w] = np.where(shaped, code[w] + place - 1, code[w])
-        return code.astype(np.int16), size, bits, start
+        return code.astype(np.int16), size, np.array(self.capital)[ids], bits, start
 
 
-def _sentences(code: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Which tokens stand in sentences: spans of five words or more up to a full stop, a fifth of them function words, and
-    an eighth different ones.
+def _sentences(code: np.ndarray, size: np.ndarray, capital: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Which tokens stand in sentences: from a capital or a number to a full stop, of a usual length, a fifth of the words
+    function words, and an eighth different ones.
 
     Neither repeats nor links nor tags matter here. `start` holds where each text begins, and the end.
     """
@@ -202,7 +207,11 @@ def _sentences(code: np.ndarray, start: np.ndarray) -> np.ndarray:
     last = code[np.concatenate([first[1:], [n]]) - 1]
     words, fun = (np.bincount(seg, table[code], minlength=k) for table in (_IS_WORD, _IS_FUNCTION))
     kinds = np.bincount(np.unique(seg[_IS_FUNCTION[code]] * V + code[_IS_FUNCTION[code]]) // V, minlength=k)
-    good = (words >= 5) & (fun >= 0.2 * words) & (kinds >= np.maximum(2, 0.125 * words)) & _IS_END[last]
+    head = np.full(k, n)
+    word = np.flatnonzero(size > 0)
+    np.minimum.at(head, seg[word], word)
+    opened = np.where(head < n, capital[np.minimum(head, n - 1)], False)
+    good = opened & (words >= SENTENCE[0]) & (words <= SENTENCE[1]) & (fun >= 0.2 * words) & (kinds >= np.maximum(2, 0.125 * words)) & _IS_END[last]
     # a line break between sentences belongs to the sentence before it
     alone = (last == _NEWLINE) & (np.bincount(seg, minlength=k) == 1)
     before = np.maximum.accumulate(np.where(alone, 0, np.arange(k)))
@@ -228,8 +237,8 @@ def _classify_batches(batches):
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):
             part = batch.slice(at, 1000)
-            code, size, bits, start = classify(part.column(1).to_pylist())
-            code = (code | np.where(_sentences(code, start), _PROSE_BIT, 0)).astype(np.int16)
+            code, size, capital, bits, start = classify(part.column(1).to_pylist())
+            code = (code | np.where(_sentences(code, size, capital, start), _PROSE_BIT, 0)).astype(np.int16)
             cols = [_blobs(x, start) for x in (code, size.astype(np.uint8), bits)]
             yield pa.RecordBatch.from_arrays([part.column(0), *cols], names=["doc_id", "codes", "sizes", "cache"])
 
@@ -278,12 +287,14 @@ def _count_batches(batches):
 
 
 def surprisals(counts: np.ndarray) -> np.ndarray:
-    """Bits of every trigram under the interpolated model (Witten-Bell) of these counts."""
+    """Bits of every trigram under the interpolated model of these counts: each context adds to the shorter one as far as it
+    is frequent, so that what follows within a rare context, such as a list, doesn't pass for usual.
+    """
     three = counts.reshape(K, V, V).astype(float)
+    prior = max(1.0, TRUST * counts.sum())
     p = np.full(V, 1.0 / V)
     for c in (three.sum((0, 1)), three.sum(0), three):  # the class alone, after one class, after two
-        total, kinds = c.sum(-1, keepdims=True), (c > 0).sum(-1, keepdims=True)
-        p = np.where(total > 0, (c + kinds * p) / np.maximum(total + kinds, 1), p)
+        p = (c + prior * p) / (c.sum(-1, keepdims=True) + prior)
     return -np.log2(p).astype(np.float32).ravel()
 
 
