@@ -8,10 +8,10 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,8 +60,7 @@ def _word_hashes(ws: list[str], known: dict[str, int]) -> np.ndarray:
     for w in ws:
         v = get(w)
         if v is None:
-            b = w.encode()
-            v = known[w] = (zlib.crc32(b) << 32) | zlib.crc32(b, 0x5BD1E995)
+            v = known[w] = xxhash.xxh3_64_intdigest(w)
         out.append(v)
     return np.array(out, np.uint64)
 
@@ -97,8 +96,10 @@ def shingle_hashes(text: str, size: int, known: dict[str, int]) -> np.ndarray:
 
 #: Entries of one bucket partition, 16 bytes each while they are sorted.
 PARTITION_ENTRIES = 4_000_000
-#: Text hashes up to so many (8 MB) may be broadcast; their number is counted first.
+#: Text hashes up to so many (8 MB) may be broadcast; their number is counted first, and more are joined by a shuffle.
 BROADCAST_REPS = 1_000_000
+#: Texts of one bucket whose pairs one task may list; a larger bucket is cut into blocks whose pairings are spread.
+BUCKET_TEXTS = 2_000
 _SEEN = 200_000
 
 
@@ -129,7 +130,7 @@ def _signer(bands: int, rows: int, size: int, parts: int, width: int):
                 continue
             k = c.band_keys(np.array(low))
             low.clear()
-            part = (band * split + ((k >> np.uint64(56)) % np.uint64(split)).astype(np.int64)) % parts
+            part = (band * split + ((k >> np.uint64(24)) % np.uint64(split)).astype(np.int64)) % parts
             raw = np.ascontiguousarray(k).view(np.uint8).reshape(len(reps), bands, 8)[:, :, :width]
             rep = np.array(reps, np.int64)
             found, blobs = [], []
@@ -144,13 +145,38 @@ def _signer(bands: int, rows: int, size: int, parts: int, width: int):
     return run
 
 
+def _pair_batches(blocks):
+    """Batches of the pairs of (left, right) blocks of sorted text hashes, or of one block with itself, row by row."""
+    a, b, waiting = [], [], 0
+
+    def emit():
+        x, y = np.concatenate(a), np.concatenate(b)
+        a.clear(), b.clear()
+        pair = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
+        return np.ascontiguousarray(pair[:, 0]), np.ascontiguousarray(pair[:, 1])
+
+    for left, right in blocks:
+        for k in range(len(left)):
+            other = left[k + 1 :] if right is None else right
+            if len(other):
+                a.append(np.full(len(other), left[k]))
+                b.append(other)
+                waiting += len(other)
+            if waiting > 500_000:
+                yield emit()
+                waiting = 0
+    if a:
+        yield emit()
+
+
 def _pairer(width: int):
-    """Pairs of different texts that share a band key, from all blobs of one bucket partition."""
+    """Pairs (rep_a, rep_b) of different texts that share a band key, from all blobs of one bucket partition; of buckets over
+    BUCKET_TEXTS the members (rep_a) with the bucket and the number of its blocks."""
 
     def run(batches):
-        reps, keys = [], []
+        reps, keys, part = [], [], 0
         for batch in batches:
-            for blob in batch.column("blob").to_pylist():
+            for p, blob in zip(batch.column("part").to_pylist(), batch.column("blob").to_pylist()):
                 m = int(np.frombuffer(blob, np.int64, 1)[0])
                 rep = np.frombuffer(blob, np.int64, m, 8)
                 n = np.frombuffer(blob, np.uint16, m, 8 + 8 * m)
@@ -159,6 +185,7 @@ def _pairer(width: int):
                 wide[:, :width] = raw
                 reps.append(np.repeat(rep, n))
                 keys.append(wide.view(np.uint64).ravel())
+                part = p
         if not reps:
             return
         rep, key = np.concatenate(reps), np.concatenate(keys)
@@ -176,30 +203,50 @@ def _pairer(width: int):
         if not len(key):
             return
         edge = np.nonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))[0]
-        a, b, waiting = [], [], 0
-
-        def emit():
-            x, y = np.concatenate(a), np.concatenate(b)
-            a.clear(), b.clear()
-            pair = np.unique(np.stack([x, y], 1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[:, 0])), pa.array(np.ascontiguousarray(pair[:, 1]))], names=["rep_a", "rep_b"])
-
         size = np.diff(edge)
-        for i in np.nonzero(size > 1)[0]:
-            bucket = rep[edge[i] : edge[i + 1]]
-            for k in range(len(bucket) - 1):  # row by row, so a large bucket never stands in memory as pairs
-                a.append(np.full(len(bucket) - 1 - k, bucket[k]))
-                b.append(bucket[k + 1 :])
-                waiting += len(bucket) - 1 - k
-                if waiting > 500_000:
-                    yield emit()
-                    waiting = 0
-        if a:
-            yield emit()
+        names = ["rep_a", "rep_b", "bucket", "blocks"]
+        none = lambda n, t: pa.nulls(n, t)
+        for x, y in _pair_batches((rep[edge[i] : edge[i + 1]], None) for i in np.nonzero((size > 1) & (size <= BUCKET_TEXTS))[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), none(len(x), pa.string()), none(len(x), pa.int32())], names=names)
+        for i in np.nonzero(size > BUCKET_TEXTS)[0]:
+            members = rep[edge[i] : edge[i + 1]]
+            blocks = -(-len(members) // BUCKET_TEXTS)
+            yield pa.RecordBatch.from_arrays([pa.array(members), none(len(members), pa.int64()), pa.array([f"{part}:{key[edge[i]]}"] * len(members)), pa.array(np.full(len(members), blocks, np.int32))], names=names)
 
     return run
 
 
+def _cell_batches(batches):
+    """Pairs of the texts of two blocks of a bucket; rows come sorted by cell (bucket, i, j) and hold a text and its block."""
+    cell, mine = None, {}
+
+    def pairs():
+        if cell is None:
+            return
+        i, j = cell[1:]
+        left = np.array(mine.get(i, []), np.int64)
+        right = None if i == j else np.array(mine.get(j, []), np.int64)
+        for x, y in _pair_batches([(left, right)]):
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["rep_a", "rep_b"])
+
+    for batch in batches:
+        for bucket, i, j, block, rep in zip(*(batch.column(k).to_pylist() for k in range(5))):
+            if (bucket, i, j) != cell:
+                yield from pairs()
+                cell, mine = (bucket, i, j), {}
+            mine.setdefault(block, []).append(rep)
+    yield from pairs()
+
+
+def _spread(hot: DataFrame) -> DataFrame:
+    """(rep_a, rep_b): all pairs of the texts of large buckets, each pairing of two blocks a cell of bounded size."""
+    block = F.pmod(F.xxhash64("rep_a"), F.col("blocks")).cast("int")
+    cells = hot.select("bucket", block.alias("block"), F.col("rep_a").alias("rep"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    cells = cells.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep")
+    tasks = int(hot.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cells.repartition(tasks, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_cell_batches, "rep_a bigint, rep_b bigint")
+
+
 def _verifier(size: int, threshold: float):
     """Exact Jaccard similarity of the two texts of each row."""
 
@@ -254,7 +301,8 @@ def near_duplicates(
 
     Equal texts are one from the start (`rep`, a 64-bit hash), so copies cost nothing later, however many. Texts that
     share a band are candidates; every candidate is verified by its exact shingle sets. Band keys travel packed, some
-    five bytes each, and are matched in as many partitions as bounded memory needs. Texts without words match nothing;
+    five bytes each, and are matched in as many partitions as bounded memory needs; the pairs of a large bucket are spread
+    over tasks. Texts without words match nothing;
     texts of fewer words than a shingle match by all their words. NULL keys don't count, NULL columns are blank. Chance
     to miss a pair of similarity s: (1 - s^rows)^bands.
     """
@@ -266,7 +314,11 @@ def near_duplicates(
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * bands // PARTITION_ENTRIES))
     width = min(8, max(4, math.ceil((2 * math.log2(n) - 5) / 8)))
     blobs = texts.select("rep", "text").mapInArrow(_signer(bands, rows, shingle, parts, width), "part int, blob binary")
-    candidates = cut(blobs.repartitionById(parts, "part").mapInArrow(_pairer(width), "rep_a bigint, rep_b bigint").distinct())
+    met = blobs.repartitionById(parts, "part").mapInArrow(_pairer(width), "rep_a bigint, rep_b bigint, bucket string, blocks int").distinct()
+    met = cut(met)
+    candidates, hot = met.where("bucket IS NULL").select("rep_a", "rep_b"), met.where("bucket IS NOT NULL")
+    if not hot.isEmpty():
+        candidates = cut(candidates.unionByName(_spread(hot)).distinct())
     needed = cut(candidates.select(F.explode(F.array("rep_a", "rep_b")).alias("rep")).distinct())
     few = needed.limit(BROADCAST_REPS + 1).count() <= BROADCAST_REPS
     one_each = texts.select("rep", "text").join(F.broadcast(needed) if few else needed, "rep", "left_semi").groupBy("rep").agg(F.first("text").alias("text"))
@@ -280,22 +332,27 @@ JOB_COLUMNS = ["title", "company", "location", "body"]
 
 def relisted_jobs(jobs: DataFrame) -> NearDuplicates:
     """Listings of one opening: at least half of their three-word sequences in common."""
-    return near_duplicates(jobs, "url", JOB_COLUMNS, shingle=3, threshold=0.5, bands=192, rows=7)
+    return near_duplicates(jobs, "url", JOB_COLUMNS, shingle=3, threshold=0.5, bands=192, rows=6)
+
 
+def classes(found: NearDuplicates) -> DataFrame:
+    """(key, class_id, links): one row per key, the smallest key that links lead to, and its number of links to other texts.
 
-def classes(found: NearDuplicates, rounds: int = 30) -> DataFrame:
-    """(key, class_id, links): one row per key, the smallest text hash linked to it, and its number of links to other texts."""
+    Labels are the smallest key of a text with that text's hash, so pointers can be followed; copies stay one text.
+    """
+    named = cut(found.members.groupBy("rep").agg(F.min("key").alias("key")))
     links = cut(found.links.select("rep_a", "rep_b"))
     both = cut(links.unionByName(links.select(F.col("rep_b").alias("rep_a"), F.col("rep_a").alias("rep_b"))))
-    labels = cut(both.groupBy(F.col("rep_a").alias("rep")).agg(F.least(F.min("rep_b"), F.first("rep_a")).alias("label")))
-    for _ in range(rounds):
+    degree = both.groupBy(F.col("rep_a").alias("rep")).agg(F.count("*").alias("links"))
+    labels = cut(named.join(degree.select("rep"), "rep").select("rep", F.struct("key", "rep").alias("label")))
+    while True:  # labels only fall, and jumps halve the way
         near = both.join(labels.select(F.col("rep").alias("rep_b"), "label"), "rep_b").groupBy(F.col("rep_a").alias("rep")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "rep", "left").select("rep", F.least("label", F.coalesce("near", "label")).alias("label"), F.col("label").alias("old"))
+        step = labels.join(near, "rep").select("rep", F.least("label", "near").alias("label"), F.col("label").alias("old"))
         # pointer jumping: the label of the label
-        jump = step.join(step.select(F.col("rep").alias("label"), F.col("label").alias("far")), "label", "left").select("rep", F.least("label", F.coalesce("far", "label")).alias("label"), "old")
-        jump = cut(jump)
+        far = step.select(F.col("rep").alias("at"), F.col("label").alias("far"))
+        jump = cut(step.withColumn("at", F.col("label.rep")).join(far, "at").select("rep", F.least("label", "far").alias("label"), "old"))
         labels = jump.select("rep", "label")
-        if jump.where("label <> old").limit(1).count() == 0:
+        if jump.where("label <> old").isEmpty():
             break
-    degree = both.groupBy(F.col("rep_a").alias("rep")).agg(F.count("*").alias("links"))
-    return found.members.join(labels, "rep", "left").join(degree, "rep", "left").select("key", F.coalesce("label", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    of = named.join(labels, "rep", "left").join(degree, "rep", "left").select("rep", F.coalesce("label.key", "key").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    return found.members.join(of, "rep").select("key", "class_id", "links")

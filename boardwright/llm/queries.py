@@ -21,6 +21,12 @@ def p4_found(spark, sf):
     return pairs.select(F.col("key_a").alias("url_a"), F.col("key_b").alias("url_b"))
 
 
+def p4_listing_classes(spark, sf):
+    """One row per url: its class, and to how many listings of another text it is linked."""
+    got = neardup.classes(neardup.relisted_jobs(table(spark, sf, "jobs")))
+    return got.select(F.col("key").alias("url"), "class_id", "links")
+
+
 def p4_document_classes(spark, sf):
     got = neardup.classes(neardup.near_duplicates(table(spark, sf, "documents"), "doc_id", ["text"]))
     return got.select(F.col("key").alias("doc_id"), "class_id", "links")
@@ -39,6 +45,11 @@ def p7_found(spark, sf):
     return names.linked_names(table(spark, sf, "companies"), table(spark, sf, "jobs"))
 
 
+def p7_employers(spark, sf):
+    """One row per ledger row: its employer's smallest name_key, and how many ledger rows that employer has."""
+    return names.ledger_classes(table(spark, sf, "companies"), table(spark, sf, "jobs"))
+
+
 def p8_found(spark, sf):
     return leakage.leaked_passages(table(spark, sf, "documents"), table(spark, sf, "benchmark")).select("doc_id", "item_id")
 
@@ -69,7 +80,7 @@ def p10_scores(spark, sf):
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_misses, p4_found, p4_document_classes, p6_found, p6_strengths, p7_found, p8_found, p8_longest_matches, p8_clean_counts, p9_mix_plan, p9_mix_shares, p10_found, p10_scores)
+    for f in (p1_found, p1_misses, p4_found, p4_listing_classes, p4_document_classes, p6_found, p6_strengths, p7_found, p7_employers, p8_found, p8_longest_matches, p8_clean_counts, p9_mix_plan, p9_mix_shares, p10_found, p10_scores)
 }
 
 _PLAIN = "lower(strip_accents(nfc_normalize(text)))"
@@ -80,13 +91,27 @@ b AS (SELECT item_id, regexp_extract_all({_PLAIN}, '[\\p{{L}}\\p{{N}}]+') AS w F
 dg AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+9], ' ') AS g FROM d, unnest(generate_series(1, len(w) - 9)) AS t(i)),
 bg AS (SELECT DISTINCT item_id, array_to_string(w[i:i+9], ' ') AS g FROM b, unnest(generate_series(1, len(w) - 9)) AS t(i)),
 hit AS (SELECT DISTINCT doc_id, item_id FROM dg JOIN bg USING (g))"""
-_P4 = """WITH j AS (SELECT DISTINCT url, regexp_extract_all(lower(concat_ws(' ', coalesce(title, ''), coalesce(company, ''), coalesce(location, ''), coalesce(body, ''))), '[\\p{L}\\p{N}\\p{M}]+') AS w FROM jobs),
-g AS (SELECT DISTINCT url, hash(array_to_string(w[i:i+2], ' ')) AS g FROM j, unnest(generate_series(1, len(w) - 2)) AS t(i)),
-n AS (SELECT url, count(*) AS n FROM g GROUP BY url),
-p AS (SELECT a.url AS url_a, b.url AS url_b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.url < b.url GROUP BY ALL)
-SELECT url_a, url_b FROM p JOIN n x ON x.url = url_a JOIN n y ON y.url = url_b WHERE c >= 0.5 * (x.n + y.n - c)"""
+def _near_sql(source: str, key: str, text: str, size: int, threshold: float, select: str) -> str:
+    """Similar texts by brute force: t (id, key, w), p (a, b) of different texts, both ways."""
+    return f"""WITH RECURSIVE k AS (SELECT DISTINCT {key} AS key, {text} AS txt FROM {source} WHERE {key} IS NOT NULL),
+t AS (SELECT txt, dense_rank() OVER (ORDER BY txt) AS id, key, regexp_extract_all(lower(txt), '[\\p{{L}}\\p{{N}}]+') AS w FROM k),
+u AS (SELECT DISTINCT id, w FROM t WHERE len(w) > 0),
+g AS (SELECT DISTINCT id, hash(array_to_string(w[i:i+{size - 1}], ' ')) AS g FROM u, unnest(generate_series(1, greatest(1, len(w) - {size - 1}))) AS x(i)),
+n AS (SELECT id, count(*) AS n FROM g GROUP BY id),
+c AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.id <> b.id GROUP BY ALL),
+p AS (SELECT a, b FROM c JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE c >= {threshold} * (x.n + y.n - c)),
+r AS (SELECT id AS a, id AS b FROM u UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a)
+{select}"""
+
+
+_LISTING = "concat_ws(' ', coalesce(title, ''), coalesce(company, ''), coalesce(location, ''), coalesce(body, ''))"
+_CLASSES = """SELECT t.key AS {key}, min(o.key) AS class_id, (SELECT count(*) FROM p WHERE p.a = t.id) AS links
+FROM t JOIN r ON r.a = t.id JOIN t o ON o.id = r.b GROUP BY t.key, t.id"""
+_PAIRS = """SELECT DISTINCT least(x.key, y.key) AS url_a, greatest(x.key, y.key) AS url_b FROM (SELECT a, b FROM p UNION SELECT id, id FROM u) AS q JOIN t x ON x.id = q.a JOIN t y ON y.id = q.b WHERE x.key <> y.key"""
 ORACLES = {
-    "p4_found": _P4,
+    "p4_found": _near_sql("jobs", "url", _LISTING, 3, 0.5, _PAIRS),
+    "p4_listing_classes": _near_sql("jobs", "url", _LISTING, 3, 0.5, _CLASSES.format(key="url")),
+    "p4_document_classes": _near_sql("documents", "doc_id", "coalesce(text, '')", 5, 0.8, _CLASSES.format(key="doc_id")),
     # runs of ten-word sequences that follow each other in both texts, on one diagonal
     "p8_longest_matches": f"""{_P8.split("dg AS", 1)[0]}dg AS (SELECT doc_id, i, array_to_string(w[i:i+9], ' ') AS g FROM d, unnest(generate_series(1, len(w) - 9)) AS t(i)),
 bg AS (SELECT item_id, i AS j, array_to_string(w[i:i+9], ' ') AS g FROM b, unnest(generate_series(1, len(w) - 9)) AS t(i)),

@@ -38,6 +38,39 @@ def test_links_against_brute_force(spark):
     assert clear <= got <= want and len(got) >= 0.96 * len(want)
 
 
+def test_recall_at_the_threshold(spark):
+    """Pairs of similarity 0.5 to 0.55, with the bands of the listings."""
+    rng = random.Random(8)
+    texts = []
+    for _ in range(300):
+        b = [f"v{rng.randrange(10**6)}" for _ in range(120)]
+        texts += [" ".join(b), " ".join([*b[:82], *(f"v{rng.randrange(10**6)}" for _ in range(38))])]
+    sets = [_set(t, 3) for t in texts]
+    want = {(i, i + 1) for i in range(0, 600, 2) if 0.5 <= len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) < 0.55}
+    df = spark.createDataFrame([(f"u{i}", None, None, None, t) for i, t in enumerate(texts)], "url string, title string, company string, location string, body string")
+    got = {(r.key_a, r.key_b) for r in N.relisted_jobs(df).key_pairs().collect()}
+    assert len(want) == 300 and len(got) >= 0.9 * len(want) and got <= {tuple(sorted((f"u{i}", f"u{j}"))) for i, j in want}
+
+
+def test_large_buckets_and_the_shuffle_join(spark, monkeypatch):
+    texts = _texts()
+    df = spark.createDataFrame(list(enumerate(texts)) + [(1000 + i, f"one two three four five six seven eight nine {i % 9}") for i in range(60)], "id int, body string")
+    run = lambda: {(r.key_a, r.key_b) for r in N.near_duplicates(df, "id", ["body"], shingle=3, threshold=0.5).key_pairs().collect()}
+    want = run()
+    monkeypatch.setattr(N, "BUCKET_TEXTS", 2)
+    assert run() == want
+    monkeypatch.setattr(N, "BROADCAST_REPS", 5)
+    assert run() == want
+
+
+def test_classes_of_a_long_chain(spark):
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words[3 * i : 3 * i + 60]) for i in range(60)]  # each like the next, the ends unlike
+    df = spark.createDataFrame([(500 - i, t) for i, t in enumerate(texts)] + [(9, "alone in the world with other words")], "id int, body string")
+    rows = {r.key: r for r in N.classes(N.near_duplicates(df, "id", ["body"], shingle=3, threshold=0.8, bands=160, rows=6)).collect()}
+    assert {r.class_id for k, r in rows.items() if k > 9} == {441} and rows[9].class_id == 9 and rows[9].links == 0 and rows[500].links == 2
+
+
 def test_copies_nulls_short_and_long_texts(spark):
     long = " ".join(f"word{i}" for i in range(20_000))
     data = [(1, "a b", None), (2, "a b", None), (2, "a b", None), (3, "A, b!", None), (4, "", None), (5, None, None), (6, "..", None), (7, long, None), (8, long + " end", None), (None, "a b", None)]
