@@ -33,7 +33,8 @@ def p4_document_classes(spark, sf):
 
 
 def p6_found(spark, sf):
-    got = ranking.strengths(table(spark, sf, "verdicts"), table(spark, sf, "entrants"), ties=False, order_effect=False, ridge=1e-9)
+    """The tie and order-effect model on the verdicts that count here: without ties, each half in both orders."""
+    got = ranking.strengths(table(spark, sf, "verdicts"), table(spark, sf, "entrants"), ties=False, ridge=1e-9, balanced=True)
     return got.select("slug", "rank_no")
 
 
@@ -41,6 +42,10 @@ def p6_strengths(spark, sf):
     return ranking.strengths(table(spark, sf, "verdicts"), table(spark, sf, "entrants"))
 
 
+def p6_intervals(spark, sf):
+    return ranking.intervals(table(spark, sf, "verdicts"), table(spark, sf, "entrants"))
+
+
 def p7_found(spark, sf):
     return names.linked_names(table(spark, sf, "companies"), table(spark, sf, "jobs"))
 
@@ -80,7 +85,7 @@ def p10_scores(spark, sf):
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_misses, p4_found, p4_listing_classes, p4_document_classes, p6_found, p6_strengths, p7_found, p7_employers, p8_found, p8_longest_matches, p8_clean_counts, p9_mix_plan, p9_mix_shares, p10_found, p10_scores)
+    for f in (p1_found, p1_misses, p4_found, p4_listing_classes, p4_document_classes, p6_found, p6_strengths, p6_intervals, p7_found, p7_employers, p8_found, p8_longest_matches, p8_clean_counts, p9_mix_plan, p9_mix_shares, p10_found, p10_scores)
 }
 
 _PLAIN = "lower(strip_accents(nfc_normalize(text)))"
@@ -108,7 +113,19 @@ _LISTING = "concat_ws(' ', coalesce(title, ''), coalesce(company, ''), coalesce(
 _CLASSES = """SELECT t.key AS {key}, min(o.key) AS class_id, (SELECT count(*) FROM p WHERE p.a = t.id) AS links
 FROM t JOIN r ON r.a = t.id JOIN t o ON o.id = r.b GROUP BY t.key, t.id"""
 _PAIRS = """SELECT DISTINCT least(x.key, y.key) AS url_a, greatest(x.key, y.key) AS url_b FROM (SELECT a, b FROM p UNION SELECT id, id FROM u) AS q JOIN t x ON x.id = q.a JOIN t y ON y.id = q.b WHERE x.key <> y.key"""
+_SLUG = "nullif(regexp_replace(lower(trim({})), '\\s*:free$', ''), '')"
+# minorise-maximise steps of the model in which a beats b with strength a over the sum of both
+_P6 = f"""WITH RECURSIVE e AS (SELECT slug, {_SLUG.format("slug")} AS k, row_number() OVER (ORDER BY {_SLUG.format("slug")}) AS i FROM entrants),
+v AS (SELECT verdict_id, {_SLUG.format("a")} AS a, {_SLUG.format("b")} AS b, {_SLUG.format("winner")} AS w FROM verdicts WHERE verdict_id IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY verdict_id ORDER BY a, b, CASE WHEN w = a THEN 1 WHEN w = b THEN 2 ELSE 3 END) AS nth FROM v WHERE a <> b AND (w = a OR w = b OR w IS NULL OR w IN ('tie', 'draw'))),
+c AS (SELECT x.i AS i, y.i AS j, count(*) AS n FROM o JOIN e x ON x.k = w JOIN e y ON y.k = CASE WHEN w = a THEN b ELSE a END WHERE nth = 1 AND w IN (a, b) GROUP BY ALL),
+g AS (SELECT x.i, y.i AS j, coalesce(p.n, 0) AS won, coalesce(p.n, 0) + coalesce(q.n, 0) AS met FROM e x CROSS JOIN e y LEFT JOIN c p ON p.i = x.i AND p.j = y.i LEFT JOIN c q ON q.i = y.i AND q.j = x.i),
+m AS (SELECT list(won ORDER BY i) AS won, list(met ORDER BY i) AS met FROM (SELECT i, sum(won)::DOUBLE AS won, list(met::DOUBLE ORDER BY j) AS met FROM g GROUP BY i)),
+s AS (SELECT 0 AS step, list_transform(won, lambda x: 1.0::DOUBLE) AS p FROM m
+  UNION ALL SELECT step + 1, list_transform(q, lambda x: x / list_sum(q)) FROM (SELECT step, list_transform(range(1, len(won) + 1), lambda i: won[i] / list_sum(list_transform(range(1, len(won) + 1), lambda j: met[i][j] / (p[i] + p[j])))) AS q FROM s, m WHERE step < 3000))
+SELECT slug, CAST(row_number() OVER (ORDER BY p[i] DESC, slug) AS INTEGER) AS rank_no FROM e, (SELECT p FROM s ORDER BY step DESC LIMIT 1)"""
 ORACLES = {
+    "p6_found": _P6,
     "p4_found": _near_sql("jobs", "url", _LISTING, 3, 0.5, _PAIRS),
     "p4_listing_classes": _near_sql("jobs", "url", _LISTING, 3, 0.5, _CLASSES.format(key="url")),
     "p4_document_classes": _near_sql("documents", "doc_id", "coalesce(text, '')", 5, 0.8, _CLASSES.format(key="doc_id")),
