@@ -1,13 +1,14 @@
 """Freely typed values mapped to the entries of a canonical list (problem 1).
 
-A symmetric-delete dictionary of the list is broadcast: every spelling of an entry is stored under itself and under what
-is left when up to two letters are deleted, so that a value finds all spellings within that edit distance by lookups of
-its own deletions. Hits are ranked by weighted Damerau-Levenshtein distance and by how often the data name the entry.
+A symmetric-delete dictionary of the list is built once and broadcast: every spelling of an entry is stored under itself
+and under what is left when up to two letters are deleted, so that a value finds all spellings within that edit distance by
+lookups of its own deletions. Hits are ranked by weighted Damerau-Levenshtein distance and by how often the data name the
+entry. A list of any length is taken in blocks of bounded size.
 """
 
 from __future__ import annotations
 
-import itertools
+import pickle
 import re
 import unicodedata
 from functools import lru_cache
@@ -16,12 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boardwright.session import collect_bounded
+from boardwright.session import collect_bounded, cut
 
-#: Lists up to this size are broadcast (some 100 deletions an entry).
-MAX_ENTRIES = 50_000
-#: Longer values mean no entry.
-MAX_LENGTH = 300
+#: Entries of a block of the list, whose dictionary is broadcast (some 100 deletions an entry).
+BLOCK_ENTRIES = 50_000
 DISTANCE = 2
 
 # Additions to a job title that don't change which title it is. Phrases first, then single words.
@@ -135,9 +134,11 @@ class SymmetricDelete:
         self.exact: dict[str, set] = {}
         self.index: dict[str, set[str]] = {}
         self.fuzzy: set[str] = set()
+        self.longest = 0
 
     def add(self, spelling: str, payload, fuzzy: bool = True) -> None:
         self.exact.setdefault(spelling, set()).add(payload)
+        self.longest = max(self.longest, len(spelling))
         if fuzzy and spelling not in self.fuzzy:
             self.fuzzy.add(spelling)
             for d in deletions(spelling, allowed(len(spelling))):
@@ -145,6 +146,8 @@ class SymmetricDelete:
 
     def find(self, text: str) -> list[tuple[float, object]]:
         """(weighted distance, payload) of all spellings near enough; exact ones alone if there are any."""
+        if len(text) > self.longest + DISTANCE:
+            return []  # too long for any
         if hit := self.exact.get(text):
             return [(0.0, p) for p in hit]
         k = min(DISTANCE, allowed(len(text) + 1))
@@ -157,7 +160,17 @@ class SymmetricDelete:
         return out
 
 
-class TitleMap:
+_PHRASES = re.compile(r"\b(?:" + TITLE_PHRASES + r")\b")
+_ADDITIONS = set(TITLE_WORDS.split())
+
+
+class _Map:
+    def resolve(self, value: str) -> int:
+        hit = self.best(value)
+        return hit[3] if hit else 0
+
+
+class TitleMap(_Map):
     def __init__(self, entries: list[tuple[int, str]], frequency: dict[int, int]):
         self.frequency = frequency
         self.find = SymmetricDelete()
@@ -174,38 +187,30 @@ class TitleMap:
                     flat = n.replace(" ", "")
                     if flat not in self.find.exact:
                         self.find.add(flat, ref, fuzzy=len(flat) >= 7)
-        self.phrases = re.compile(r"\b(?:" + TITLE_PHRASES + r")\b")
-        self.words = set(TITLE_WORDS.split())
-        self.resolve = lru_cache(maxsize=300_000)(self._resolve)
-
-    def _options(self, word: str) -> list[str]:
-        return TITLE_SHORT[word].split("|") if word in TITLE_SHORT else [word]
 
-    def _resolve(self, value: str) -> int:
-        text = self.phrases.sub(" ", fold(value))
+    def _readings(self, words: list[str], dropped: set[str]) -> set[tuple[str, bool]]:
+        """(letters, whether an abbreviation is spelled out) of all ways to read the words that an entry is long enough for."""
+        most = self.find.longest + DISTANCE
+        states = {("", False)}
+        for w in words:
+            options = [(w, False)] + ([(o, True) for o in TITLE_SHORT[w].split("|")] if w in TITLE_SHORT else [])
+            if w in dropped:
+                options = [("", False)] + (options if w in TITLE_EITHER else [])
+            states = {(t, short or more) for text, short in states for o, more in options if len(t := text + o.replace(" ", "")) <= most}
+        return states - {("", False), ("", True)}
+
+    def best(self, value: str) -> tuple | None:
+        """(distance, 0, -frequency, entry) of the best hit."""
+        text = _PHRASES.sub(" ", fold(value))
         words = [w for w in text.split() if not re.fullmatch(r"\d{3,}", w)]
-        kept = [w for w in words if w not in self.words]
-        tries = [kept]
-        either = [i for i, w in enumerate(words) if w in TITLE_EITHER][:4]
-        for n in range(1, len(either) + 1):
-            for some in itertools.combinations(either, n):
-                tries.append([w for i, w in enumerate(words) if w not in self.words or i in some])
-        if not kept:
-            tries.append(words)
-        best: list[tuple[float, int, int]] = []
-        for ws in tries:
-            if not ws or len(ws) > 8:
-                continue
-            plain = [(d, p) for d, p in self.find.find("".join(ws))]
-            options = [self._options(w) for w in ws]
-            if any(o != [w] for o, w in zip(options, ws)):
-                for combo in itertools.islice(itertools.product(*options), 32):
-                    plain += [(d + 0.05, p) for d, p in self.find.find("".join("".join(combo).split()))]
-            best += [(d, -self.frequency.get(p, 0), p) for d, p in plain]
-        return min(best)[2] if best else 0
-
-
-class PlaceMap:
+        readings = self._readings(words, _ADDITIONS)
+        if all(w in _ADDITIONS for w in words):
+            readings |= self._readings(words, set())
+        best = [(d + 0.05 * short, 0, -self.frequency.get(p, 0), p) for t, short in readings for d, p in self.find.find(t)]
+        return min(best) if best else None
+
+
+class PlaceMap(_Map):
     def __init__(self, entries: list[tuple[int, str, str, str, str]], frequency: dict[int, int]):
         self.frequency = frequency
         self.labels = {e[1] for e in entries}
@@ -242,7 +247,6 @@ class PlaceMap:
                 regions.add(k.replace(" ", ""), k)
         self.regions = regions
         self.longest = max((len(k.split()) for k in self.names), default=1)
-        self.resolve = lru_cache(maxsize=300_000)(self._resolve)
 
     def _around(self, words: tuple[str, ...], ref: int) -> bool:
         """Whether the words around a city are names of its region or country, or additions."""
@@ -267,32 +271,38 @@ class PlaceMap:
                     return False
         return True
 
-    def _resolve(self, value: str) -> int:
+    def best(self, value: str) -> tuple | None:
+        """(distance, -words, -frequency, entry) of the best city whose surroundings fit it."""
         words = tuple(fold(value).split())
-        if not words or len(words) > 14:
-            return 0
-        best = []
+        most = self.find.longest + DISTANCE
+        best = None
         for i in range(len(words)):
-            for j in range(i + 1, min(len(words), i + 5) + 1):
-                for d, (ref, city) in self.find.find("".join(words[i:j])):
+            j, text = i, ""
+            while j < len(words) and len(text := text + words[j]) <= most:
+                j += 1
+                for d, (ref, city) in self.find.find(text):
                     if d > 0 and j - i > 1 and " " not in city:
                         continue  # a misspelt city of one word doesn't take in the word beside it
-                    rest = words[:i] + words[j:]
-                    if self._around(rest, ref):
-                        best.append((d, -(j - i), -self.frequency.get(ref, 0), ref))
-        return min(best)[3] if best else 0
+                    hit = (d, i - j, -self.frequency.get(ref, 0), ref)
+                    if (best is None or hit < best) and self._around(words[:i] + words[j:], ref):
+                        best = hit
+        return best
 
 
-def _mapper(blob):
+def _mapper(blob, scores: bool):
     def run(batches):
-        kind, entries, frequency = blob.value
-        m = {"title": lambda: TitleMap(entries, frequency), "place": lambda: PlaceMap(entries, frequency)}[kind]()
+        m = pickle.loads(blob.value)
+        best = lru_cache(maxsize=300_000)(m.best)
         for batch in batches:
-            out = []
-            for v in batch.column("__value").to_pylist():
-                out.append(None if v is None or v in m.labels else m.resolve(v) if len(v) <= MAX_LENGTH else 0)
-            keep = [i for i, n in enumerate(batch.schema.names) if n != "__value"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in keep], pa.array(out, pa.int64())], names=[*[batch.schema.names[i] for i in keep], "ref_id"])
+            values = batch.column("__value").to_pylist()
+            keep = [i for i, n in enumerate(batch.schema.names) if scores or n != "__value"]
+            if scores:
+                hits = [best(v) or (None, None, None, None) for v in values]
+                found = {n: pa.array([h[k] for h in hits], t) for k, (n, t) in enumerate((("d", pa.float64()), ("span", pa.int32()), ("rare", pa.int64()), ("ref", pa.int64())))}
+            else:
+                out = [None if v is None or v in m.labels else best(v) for v in values]
+                found = {"ref_id": pa.array([h[3] if h else None if v is None or v in m.labels else 0 for h, v in zip(out, values)], pa.int64())}
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in keep], *found.values()], names=[*[batch.schema.names[i] for i in keep], *found])
 
     return run
 
@@ -301,19 +311,37 @@ def map_values(df: DataFrame, column: str, canon: DataFrame, kind: str, keep: li
     """`keep` and ref_id: the entry that each value means, 0 for none; NULL for values that are blank or an entry to the letter.
 
     kind `title` reads canon (ref_id, label); `place` also city, region_code and country. One pass without a shuffle, so a
-    value that a third of the rows share costs nothing; values of over MAX_LENGTH characters mean no entry. Raises when
-    the list has more than MAX_ENTRIES rows. An empty list maps every value to 0.
+    value that a third of the rows share costs nothing. A list of more than BLOCK_ENTRIES entries is taken in blocks over
+    the distinct values, and the best hit of all blocks counts. Values of any length are read; an empty list maps every
+    value to 0.
     """
     spark = df.sparkSession
     cols = ["ref_id", "label"] + (["city", "region_code", "country"] if kind == "place" else [])
-    entries = [tuple(r) for r in collect_bounded(canon.where("ref_id IS NOT NULL AND label IS NOT NULL").select(*cols), MAX_ENTRIES, "canonical list")]
-    by_label = canon.select("ref_id", F.col("label").alias("__label"))
+    listed = canon.where("ref_id IS NOT NULL AND label IS NOT NULL").select(*cols)
+    blocks = max(1, -(-listed.count() // BLOCK_ENTRIES))
+    block = F.pmod(F.xxhash64("ref_id"), F.lit(blocks))
+    by_label = listed.select("ref_id", F.col("label").alias("__label"))
     named = df.select(F.col(column).alias("__label")).groupBy("__label").agg(F.count("*").alias("n")).join(by_label, "__label").groupBy("ref_id").agg(F.sum("n").alias("n"))
-    frequency = {r["ref_id"]: r["n"] for r in collect_bounded(named, MAX_ENTRIES, "entries")}
-    blob = spark.sparkContext.broadcast((kind, entries, frequency))
+    if blocks > 1:
+        named = cut(named)
+
+    def dictionary(k: int):
+        # a block has twice BLOCK_ENTRIES at most, but for chance beyond any reckoning
+        entries = [tuple(r) for r in collect_bounded(listed.where(block == k), 2 * BLOCK_ENTRIES, "a block of the canonical list")]
+        frequency = {r["ref_id"]: r["n"] for r in collect_bounded(named.where(block == k), 2 * BLOCK_ENTRIES, "a block of entries")}
+        return spark.sparkContext.broadcast(pickle.dumps((TitleMap if kind == "title" else PlaceMap)(entries, frequency)))
+
     src = df.select(*keep, F.when(F.trim(F.regexp_replace(column, r"[\s\x{00A0}]+", " ")) != "", F.col(column)).alias("__value"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "__value") + ", ref_id bigint"
-    return src.mapInArrow(_mapper(blob), schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "__value")
+    if blocks == 1:
+        return src.mapInArrow(_mapper(dictionary(0), False), f"{schema}, ref_id bigint")
+    values = cut(src.select("__value").where("__value IS NOT NULL").distinct().join(by_label.select(F.col("__label").alias("__value")).distinct(), "__value", "left_anti"))
+    hits = None
+    for k in range(blocks):
+        got = values.mapInArrow(_mapper(dictionary(k), True), "__value string, d double, span int, rare bigint, ref bigint")
+        hits = got if hits is None else hits.unionByName(got)
+    best = hits.groupBy("__value").agg(F.min(F.when(F.col("ref").isNotNull(), F.struct("d", "span", "rare", "ref"))).alias("m")).select("__value", F.coalesce("m.ref", F.lit(0)).alias("ref_id"))
+    return src.join(best, "__value", "left").drop("__value")
 
 
 def canonical_fields(jobs: DataFrame, canon_titles: DataFrame, canon_places: DataFrame) -> DataFrame:

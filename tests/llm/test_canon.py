@@ -24,6 +24,28 @@ def test_places():
     assert m.resolve("Portland") == 2  # the more frequent one
 
 
+def test_long_values():
+    """Beyond what earlier versions read: many words, many additions, very long texts."""
+    t = C.TitleMap(TITLES, {})
+    assert t.resolve("senior lead staff head chief associate remote night shift temp seasonal urgent contract accountant ii level") == 1
+    assert t.resolve("staff staff associate lead chief of staff contractor contract") == 3
+    assert t.resolve("remote " * 3000 + "Registered Nurse") == 4 and t.resolve("staff " * 400) == 0
+    p = C.PlaceMap(PLACES, {})
+    assert p.resolve("Greater Munich Metropolitan Area near downtown and suburbs, office location in the region of Bavaria, Germany, hybrid home office") == 5
+    assert p.resolve("remote " * 3000 + "Austin, TX") == 1 and p.resolve("remote " * 3000) == 0 and p.resolve("austin " * 2000) == 0
+
+
+def test_lists_in_blocks(spark, monkeypatch):
+    titles = spark.createDataFrame([(k, f"Occupation {w} Number {k}") for k, w in enumerate(f"{a}{b}{c}" for a in ("bal", "ker", "mot", "zin") for b in ("dar", "fel", "gos") for c in ("ta", "li"))], "ref_id bigint, label string")
+    typed = [(f"u{r.ref_id}", f"number {r.ref_id} ocupation {r.label.split()[1]}") for r in titles.collect()] + [("x", "nothing alike"), ("y", None), ("z", "Occupation baldarta Number 0")]
+    df = spark.createDataFrame(typed, "url string, title string")
+    run = lambda: {tuple(r) for r in C.map_values(df, "title", titles, "title", ["url"]).collect()}
+    want = run()
+    assert {(f"u{k}", k) for k in range(24)} <= want and ("x", 0) in want and ("y", None) in want and ("z", None) in want
+    monkeypatch.setattr(C, "BLOCK_ENTRIES", 7)
+    assert run() == want
+
+
 def _dl(a, b):
     d = {(i, 0): i for i in range(len(a) + 1)} | {(0, j): j for j in range(len(b) + 1)}
     for i in range(1, len(a) + 1):
