@@ -13,10 +13,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from boardwright.llm.hashing import WordHashes
 from boardwright.session import collect_bounded, cut
 
 #: Test items are searched in blocks of so many characters; a block is shipped to every task (at most 8 MB).
@@ -95,24 +95,6 @@ def _bound(seq, order, query, starts, words_, right: bool):
     return lo
 
 
-class WordHashes:
-    """64-bit hashes of the words of texts; what it remembers of words is bounded."""
-
-    def __init__(self):
-        self.known: dict[str, int] = {}
-
-    def __call__(self, text: str) -> np.ndarray:
-        if len(self.known) > 500_000:
-            self.known.clear()
-        out, get = [], self.known.get
-        for w in words(text):
-            h = get(w)
-            if h is None:
-                h = self.known[w] = xxhash.xxh3_64_intdigest(w)
-            out.append(h)
-        return np.array(out, np.uint64)
-
-
 def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     """A 64-bit hash of the n words from each place on."""
     k = max(0, len(h) - n + 1)
@@ -129,7 +111,7 @@ def _probes(gram: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _bit_batches(least: int, bits: int):
     def run(batches):
-        hashed = WordHashes()
+        hashed = WordHashes(words)
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 at = np.unique(np.concatenate(_probes(gram_hashes(hashed(text), least), bits)))
@@ -157,7 +139,7 @@ def _stretches(blob, least: int):
     """(doc_id, place, stretch): runs of words all of whose sequences may stand in an item."""
 
     def run(batches):
-        table, hashed = blob.value, WordHashes()
+        table, hashed = blob.value, WordHashes(words)
         for batch in batches:
             docs, places, found = [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -181,7 +163,7 @@ class _Items:
     """The word hashes of a block of test items, one after the other."""
 
     def __init__(self, items: list[tuple[int, str]], least: int):
-        hashed = WordHashes()
+        hashed = WordHashes(words)
         each = [(item, hashed(text)) for item, text in items]
         each = [(item, h) for item, h in each if len(h) >= least]
         size = np.array([len(h) for _, h in each], np.int64)

@@ -7,30 +7,31 @@ is the minimum of pi[(x + k) mod D] over the shingles x, so the coordinates of a
 from __future__ import annotations
 
 import math
-import re
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from boardwright.llm.hashing import WordHashes
 from boardwright.session import cut
 
-_WORD = re.compile(r"[^\W_]+")
 #: Size of the universe that both permutations act on.
 D = 1 << 16
 
 
 class Circulant:
-    """Signatures of `bands` x `rows` coordinates from the two permutations of a seed."""
+    """Signatures from the two permutations of a seed: bands of `rows` coordinates, each `stride` after the one before it.
 
-    def __init__(self, bands: int, rows: int, seed: int = 7):
-        self.bands, self.rows = bands, rows
+    Bands that overlap by a few coordinates find nearly as much as the same number of separate ones.
+    """
+
+    def __init__(self, bands: int, rows: int, seed: int = 7, stride: int | None = None):
+        self.bands, self.rows, self.stride = bands, rows, stride or rows
         rng = np.random.default_rng(seed)
         self.sigma = rng.permutation(D)
         pi = rng.permutation(D).astype(np.uint16)
-        k = bands * rows
+        k = (bands - 1) * self.stride + rows
         self.windows = np.lib.stride_tricks.sliding_window_view(np.concatenate([pi, pi[:k]]), k)
         self.mix = rng.integers(1, 2**63, size=rows, dtype=np.uint64) | np.uint64(1)
 
@@ -44,27 +45,14 @@ class Circulant:
 
     def band_keys(self, signatures: np.ndarray) -> np.ndarray:
         """One 64-bit key per band of every signature: its coordinates, mixed with the number of the band."""
-        s = signatures.reshape(-1, self.bands, self.rows)
-        key = np.arange(self.bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.zeros((len(s), 1), np.uint64)
+        key = np.arange(self.bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.zeros((len(signatures), 1), np.uint64)
         for k in range(self.rows):
-            key += s[:, :, k].astype(np.uint64) * self.mix[k]
+            key += signatures[:, k : k + (self.bands - 1) * self.stride + 1 : self.stride].astype(np.uint64) * self.mix[k]
         key ^= key >> np.uint64(31)
         key *= np.uint64(0xD6E8FEB86659FD93)
         return key ^ (key >> np.uint64(32))
 
 
-def _word_hashes(ws: list[str], known: dict[str, int]) -> np.ndarray:
-    if len(known) > 500_000:
-        known.clear()
-    out, get = [], known.get
-    for w in ws:
-        v = get(w)
-        if v is None:
-            v = known[w] = xxhash.xxh3_64_intdigest(w)
-        out.append(v)
-    return np.array(out, np.uint64)
-
-
 def _shingles(h: np.ndarray, size: int) -> np.ndarray:
     """Hash of the `size` words that begin at each place, as far as there are so many."""
     n = max(0, len(h) - size + 1)
@@ -76,10 +64,10 @@ def _shingles(h: np.ndarray, size: int) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
-def shingles_of_texts(texts: list[str], size: int, known: dict[str, int]) -> list[np.ndarray]:
+def shingles_of_texts(texts: list[str], size: int, known: WordHashes) -> list[np.ndarray]:
     """Hashes of the `size`-word sequences of each text, repeats and all; of fewer words than that, of all its words."""
-    words = [_WORD.findall(t.lower()) for t in texts]
-    h = _word_hashes([w for ws in words for w in ws], known)
+    words = [known.words(t) for t in texts]
+    h = known.of([w for ws in words for w in ws])
     whole = _shingles(h, size)
     out, at = [], 0
     for ws in words:
@@ -89,7 +77,7 @@ def shingles_of_texts(texts: list[str], size: int, known: dict[str, int]) -> lis
     return out
 
 
-def shingle_hashes(text: str, size: int, known: dict[str, int]) -> np.ndarray:
+def shingle_hashes(text: str, size: int, known: WordHashes) -> np.ndarray:
     """The set of a text's shingles, sorted."""
     return np.unique(shingles_of_texts([text], size, known)[0])
 
@@ -100,14 +88,14 @@ PARTITION_ENTRIES = 4_000_000
 BROADCAST_REPS = 1_000_000
 #: Texts of one bucket whose pairs one task may list; a larger bucket is cut into blocks whose pairings are spread.
 BUCKET_TEXTS = 2_000
-_SEEN = 200_000
+_SEEN, _RECENT = 200_000, 20_000
 
 
-def _signer(bands: int, rows: int, size: int, parts: int, width: int):
+def _signer(bands: int, rows: int, stride: int, size: int, parts: int, width: int):
     """Rows (part, blob): per batch and bucket partition, the text hashes and, text by text, `width` bytes of each band key."""
 
     def run(batches):
-        c, known, seen = Circulant(bands, rows), {}, set()
+        c, known, seen = Circulant(bands, rows, stride=stride), WordHashes(), set()
         split = max(1, -(-parts // bands))
         band = np.arange(bands)
         for batch in batches:
@@ -130,16 +118,22 @@ def _signer(bands: int, rows: int, size: int, parts: int, width: int):
                 continue
             k = c.band_keys(np.array(low))
             low.clear()
-            part = (band * split + ((k >> np.uint64(24)) % np.uint64(split)).astype(np.int64)) % parts
             raw = np.ascontiguousarray(k).view(np.uint8).reshape(len(reps), bands, 8)[:, :, :width]
             rep = np.array(reps, np.int64)
             found, blobs = [], []
-            for p in np.unique(part):
-                at = part == p
-                n = at.sum(1)
-                some = n > 0
-                found.append(int(p))
-                blobs.append(np.array([some.sum()], np.int64).tobytes() + rep[some].tobytes() + n[some].astype(np.uint16).tobytes() + raw[at].tobytes())
+            if split == 1:  # whole bands share a partition
+                for p in range(min(parts, bands)):
+                    some = raw[:, p::parts]
+                    found.append(p)
+                    blobs.append(np.array([len(rep)], np.int64).tobytes() + rep.tobytes() + np.full(len(rep), some.shape[1], np.uint16).tobytes() + some.tobytes())
+            else:
+                part = (band * split + ((k >> np.uint64(24)) % np.uint64(split)).astype(np.int64)) % parts
+                for p in np.unique(part):
+                    at = part == p
+                    n = at.sum(1)
+                    some = n > 0
+                    found.append(int(p))
+                    blobs.append(np.array([some.sum()], np.int64).tobytes() + rep[some].tobytes() + n[some].astype(np.uint16).tobytes() + raw[at].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
 
     return run
@@ -251,12 +245,12 @@ def _verifier(size: int, threshold: float):
     """Exact Jaccard similarity of the two texts of each row."""
 
     def run(batches):
-        known: dict[str, int] = {}
+        known = WordHashes()
         recent: dict[int, np.ndarray] = {}
 
         def hashes(rep, text):
             if rep not in recent:
-                if len(recent) > 2_000:
+                if len(recent) > _RECENT:
                     recent.clear()
                 recent[rep] = shingle_hashes(text, size, known)
             return recent[rep]
@@ -295,7 +289,7 @@ class NearDuplicates:
 
 
 def near_duplicates(
-    df: DataFrame, key: str, columns: list[str], shingle: int = 5, threshold: float = 0.8, bands: int = 64, rows: int = 7
+    df: DataFrame, key: str, columns: list[str], shingle: int = 5, threshold: float = 0.8, bands: int = 64, rows: int = 7, stride: int | None = None
 ) -> NearDuplicates:
     """Texts whose sets of `shingle`-word sequences have a Jaccard similarity of at least `threshold`.
 
@@ -304,7 +298,7 @@ def near_duplicates(
     five bytes each, and are matched in as many partitions as bounded memory needs; the pairs of a large bucket are spread
     over tasks. Texts without words match nothing;
     texts of fewer words than a shingle match by all their words. NULL keys don't count, NULL columns are blank. Chance
-    to miss a pair of similarity s: (1 - s^rows)^bands.
+    to miss a pair of similarity s: (1 - s^rows)^bands, a little more where bands overlap (stride < rows).
     """
     spark = df.sparkSession
     text = joined_text(columns)
@@ -313,7 +307,7 @@ def near_duplicates(
     n = max(2, df.count())
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * bands // PARTITION_ENTRIES))
     width = min(8, max(4, math.ceil((2 * math.log2(n) - 5) / 8)))
-    blobs = texts.select("rep", "text").mapInArrow(_signer(bands, rows, shingle, parts, width), "part int, blob binary")
+    blobs = texts.select("rep", "text").mapInArrow(_signer(bands, rows, stride or rows, shingle, parts, width), "part int, blob binary")
     met = blobs.repartitionById(parts, "part").mapInArrow(_pairer(width), "rep_a bigint, rep_b bigint, bucket string, blocks int").distinct()
     met = cut(met)
     candidates, hot = met.where("bucket IS NULL").select("rep_a", "rep_b"), met.where("bucket IS NOT NULL")
@@ -332,7 +326,7 @@ JOB_COLUMNS = ["title", "company", "location", "body"]
 
 def relisted_jobs(jobs: DataFrame) -> NearDuplicates:
     """Listings of one opening: at least half of their three-word sequences in common."""
-    return near_duplicates(jobs, "url", JOB_COLUMNS, shingle=3, threshold=0.5, bands=192, rows=6)
+    return near_duplicates(jobs, "url", JOB_COLUMNS, shingle=3, threshold=0.5, bands=320, rows=7, stride=4)
 
 
 def classes(found: NearDuplicates) -> DataFrame:

@@ -4,10 +4,11 @@ import numpy as np
 import pytest
 
 from boardwright.llm import neardup as N
+from boardwright.llm.hashing import WordHashes, plain_words
 
 
 def _set(text, k):
-    w = N._WORD.findall(text.lower())
+    w = plain_words(text)
     return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
 
 
@@ -99,3 +100,10 @@ def test_circulant_coordinates_estimate_jaccard():
     x = c.sigma[np.unique(pool_[:200] & np.uint64(N.D - 1)).astype(int)]
     pi = c.windows[:, 0]
     assert a[3] == pi[(x + 3) % N.D].min()
+
+
+def test_words_hash_alike_as_ascii_and_not():
+    text = "Plain_ASCII words, 12 of 'em; re-cut at every MARK\x1f\x7f."
+    w = WordHashes()
+    assert [x.decode() for x in w.words(text)] == plain_words(text)
+    assert (w(text) == w(text + " é")[:-1]).all() and len(set(w(text).tolist())) == len(set(plain_words(text)))
