@@ -14,7 +14,10 @@ from boardwright.schema import JOBS, RAW
 
 # The remote states a source may name, and words in a location that name no place.
 REMOTE_STATES = ("remote", "hybrid", "onsite")
-NO_PLACE = "anywhere|remote|remote only|fully remote|100% remote|work from home|wfh|home|home office|online|virtual|worldwide|global|nationwide|usa|us|u.s.|u.s|united states|united states of america|america|any|any location|flexible|no preference|n/a|none|-|tbd|everywhere"
+NO_PLACE = (
+    "", "remote", "remote only", "remote-only", "remote us", "remote (us)", "anywhere", "anywhere in the us", "anywhere in the united states", "any", "everywhere", "virtual", "wfh", "work from home",
+    "home based", "home-based", "telecommute", "nationwide", "national", "us", "usa", "u.s.", "u.s.a.", "united states", "no preference", "none", "n/a", "flexible", "open",
+)
 #: Words that say a posting is remote, and the phrases that take it back.
 REMOTE_WORDS = r"\b(fully remote|100% remote|remote position|remote role|work from home|remote opportunity)\b"
 NOT_REMOTE = r"\bnot (a |an )?(fully )?remote\b"
@@ -81,7 +84,7 @@ def with_fallback(found: DataFrame, wider) -> DataFrame:
 
 def search_place(c: Column) -> Column:
     """A location to search at: blank where the words name no place."""
-    return F.when(F.lower(F.trim(text(c))).isin(*NO_PLACE.split("|")), "").otherwise(F.trim(text(c)))
+    return F.when(F.lower(F.trim(text(c))).isin(*NO_PLACE), "").otherwise(F.trim(text(c)))
 
 
 def search_key(titles: Column, location: Column) -> Column:

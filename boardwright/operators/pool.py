@@ -13,9 +13,12 @@ BODY_CAP = 8000
 
 
 def latest(df: DataFrame, key: str, version: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
-    """The last written row of every key: only `columns` travel, and copies shrink before the shuffle. Blank keys drop."""
+    """The last written row of every key: only `columns` travel, and copies shrink before the shuffle. Blank keys drop.
+
+    Rows that tie in `version` are told apart by a hash over all columns, so the choice doesn't depend on row order.
+    """
     cols = [c for c in (columns or df.columns) if c != key]
-    rank = F.struct(*[F.col(c).alias(f"v{i}") for i, c in enumerate(version)], *[F.col(c).cast("string").alias(f"t{i}") for i, c in enumerate(cols[:6])])
+    rank = F.struct(*[F.col(c).alias(f"v{i}") for i, c in enumerate(version)], F.xxhash64(*cols).alias("h")) if cols else None
     rows = df.where(F.trim(text(F.col(key))) != "")
     if not cols:
         return rows.select(key).distinct()

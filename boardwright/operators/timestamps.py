@@ -210,9 +210,12 @@ def _normaliser(version: str, raw: dict[str, bytes]):
                 values = text.take(pa.array(rows))
                 pattern = "^" + "".join(rf"(?P<t{i}>[0-9]{{{len(t)}}})" if t[0] == "9" else rf"(?P<t{i}>\pL+)" if t == "A" else re.escape(t) for i, t in enumerate(tokens)) + "$"
                 cut = pc.extract_regex(values, pattern)
+                if cut.null_count:  # only the values that their own mask doesn't fit are unreadable
+                    fits = cut.is_valid()
+                    rows, cut = rows[fits.to_numpy(zero_copy_only=False)], cut.filter(fits)
+                    if not len(rows):
+                        continue
                 cols = [pc.struct_field(cut, f"t{i}") if t[0] in "9A" else None for i, t in enumerate(tokens)]
-                if cut.null_count:
-                    continue
                 letters = [c.to_pylist() for c, t in zip(cols, tokens) if t == "A"]
                 role_of = {w: _role(w) for ws in letters for w in set(ws)}
                 roles = ["".join(role_of[w] for w in ws) for ws in zip(*letters)] if letters else [""] * len(rows)

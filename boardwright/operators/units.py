@@ -93,7 +93,6 @@ def _is_word(ch: str) -> bool:
     return ch.isalpha() and ord(ch) < 0x2E80
 
 
-@lru_cache(maxsize=100_000)
 def segment(unit: str, before: str) -> tuple[tuple[str, object], ...]:
     """The cheapest decomposition of a unit string into (dimension, value); `before` is number or start.
 
@@ -101,9 +100,10 @@ def segment(unit: str, before: str) -> tuple[tuple[str, object], ...]:
     """
     n = len(unit)
     best: list[dict] = [{} for _ in range(n + 1)]
-    best[0][before] = (0.0, ())
+    best[0][before] = (0.0, None)  # cost, and the pieces as a chain (before, piece)
     for i in range(n):
-        for last, (cost, done) in list(best[i].items()):
+        here, best[i] = best[i], {}
+        for last, (cost, done) in here.items():
             if unit[i].isspace():
                 if last not in best[i + 1] or best[i + 1][last][0] > cost:
                     best[i + 1][last] = (cost, done)
@@ -116,14 +116,21 @@ def segment(unit: str, before: str) -> tuple[tuple[str, object], ...]:
                     inside = j < n and _is_word(unit[j - 1]) and _is_word(unit[j])
                     c = cost + _COST[dim] + _PRIOR.get((last, dim), 0.0) + (0 if not inside else 0.5 if dim in ("prefix", "currency") else 20)
                     if dim not in best[j] or best[j][dim][0] > c:
-                        best[j][dim] = (c, (*done, (dim, value)))
+                        best[j][dim] = (c, (done, (dim, value)))
             k = i + 1
             while k < n and _is_word(unit[k]) and _is_word(unit[i]):
                 k += 1
             c = cost + _COST["unknown"]
             if "unknown" not in best[k] or best[k]["unknown"][0] > c:
-                best[k]["unknown"] = (c, (*done, ("unknown", unit[i:k])))
-    return min(best[n].values(), key=lambda x: x[0])[1] if best[n] else ()
+                best[k]["unknown"] = (c, (done, ("unknown", unit[i:k])))
+    pieces, chain = [], min(best[n].values(), key=lambda x: x[0])[1] if best[n] else None
+    while chain:
+        chain, piece = chain
+        pieces.append(piece)
+    return tuple(reversed(pieces))
+
+
+_short_segment = lru_cache(maxsize=100_000)(segment)
 
 
 _NUMBER = re.compile(r"\d{1,3}(?:[    ]\d{3})+(?!\d)(?:[.,]\d{1,2}(?!\d))?|\d+(?:[.,'’]\d+)*")
@@ -144,7 +151,6 @@ def numeral(text: str, scaled_up: bool = False) -> float | None:
     return float(re.sub(r"[.,]", "", t))
 
 
-@lru_cache(maxsize=200_000)
 def parse_pay(text: str) -> tuple[float, float, str | None, str | None] | None:
     """(low, high, currency or $ or None, period or None) in the stated units; None without an amount above zero."""
     s = unicodedata.normalize("NFKC", text).lower().strip()
@@ -153,10 +159,10 @@ def parse_pay(text: str) -> tuple[float, float, str | None, str | None] | None:
     s = re.sub(r"\bevery 2 weeks\b", "every two weeks", s)
     s = re.sub(r"\balle 2 wochen\b", "alle zwei wochen", s)
     spans = [m.span() for m in _NUMBER.finditer(s)]
-    if not spans or len(spans) > 12:
+    if not spans:
         return None
     gaps = [s[: spans[0][0]], *[s[a[1] : b[0]] for a, b in zip(spans, spans[1:])], s[spans[-1][1] :]]
-    pieces = [segment(g, "number" if i else "start") for i, g in enumerate(gaps)]
+    pieces = [(_short_segment if len(g) <= 200 else segment)(g, "number" if i else "start") for i, g in enumerate(gaps)]
     amounts: list[tuple[float, float | None, int]] = []
     for i, (a, b) in enumerate(spans):
         left, right = pieces[i], pieces[i + 1]
@@ -166,7 +172,7 @@ def parse_pay(text: str) -> tuple[float, float, str | None, str | None] | None:
             continue
         prefix = right[0][1] if right and right[0][0] == "prefix" else next((v for d, v in right[:2] if d == "prefix"), None)
         value = numeral(s[a:b], prefix is not None and prefix >= 1e6)
-        if value is not None:
+        if value is not None and value < 2**53:  # a longer row of digits is no amount
             amounts.append((value, prefix, i))
     if not amounts:
         return None
@@ -194,17 +200,18 @@ def parse_pay(text: str) -> tuple[float, float, str | None, str | None] | None:
     return lo, hi, currency, period
 
 
+_short_pay = lru_cache(maxsize=200_000)(parse_pay)
+
+
 def _parse_batches(batches):
     for batch in batches:
-        got = [parse_pay(t) if t else None for t in batch.column("__pay").to_pylist()]
+        got = [(_short_pay if len(t) <= 200 else parse_pay)(t) if t else None for t in batch.column("__pay").to_pylist()]
         keep = [batch.column(i) for i, f in enumerate(batch.schema) if f.name != "__pay"]
         names = [f.name for f in batch.schema if f.name != "__pay"]
         col = lambda k, t: pa.array([g[k] if g else None for g in got], t)  # noqa: E731, B023
         yield pa.RecordBatch.from_arrays([*keep, col(0, pa.float64()), col(1, pa.float64()), col(2, pa.string()), col(3, pa.string())], names=[*names, "low", "high", "currency", "period"])
 
 
-#: Longer texts state no pay.
-MAX_LENGTH = 400
 #: Without any period, amounts from here on are yearly.
 YEARLY_FROM = 15_000
 
@@ -212,9 +219,9 @@ YEARLY_FROM = 15_000
 def parse_quantities(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """`keep` and low, high, currency, period as the text states them; NULLs where it states no amount above zero.
 
-    Handles NULL, blank and very long texts (all NULL). One pass without a shuffle.
+    Handles NULL and blank texts (NULL); long texts are read whole. One pass without a shuffle.
     """
-    src = df.select(*keep, F.when(F.length(text) <= MAX_LENGTH, F.col(text)).alias("__pay"))
+    src = df.select(*keep, F.col(text).alias("__pay"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "__pay") + ", low double, high double, currency string, period string"
     return src.mapInArrow(_parse_batches, schema)
 

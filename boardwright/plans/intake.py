@@ -53,7 +53,7 @@ W = f"WITH pool AS {LATEST}"
 _BAND = f"""coalesce(CASE WHEN salary_min > 0 AND upper(trim(coalesce(salary_currency, ''))) IN ('', 'USD') THEN CASE WHEN lower(trim(coalesce(salary_period, ''))) = '' THEN CASE WHEN salary_min >= 15000 THEN salary_min END ELSE salary_min * CASE lower(trim(salary_period)) WHEN 'year' THEN 1 WHEN 'month' THEN 12 WHEN 'week' THEN 52 WHEN 'hour' THEN 2080 WHEN 'day' THEN 260 END END END,
  CASE WHEN len(k) > 0 THEN list_min(list_concat(k, list_transform(p, lambda v: CASE WHEN v < 1000 THEN v * 1000 ELSE v END))) ELSE list_min(p) END)"""
 _DERIVED = "(regexp_matches(lower(coalesce(title, '')), '\\bremote\\b') OR regexp_matches(lower(coalesce(location, '')), '\\b(remote|anywhere)\\b') OR (regexp_matches(lower(coalesce(body, '')), '\\b(fully remote|100% remote|remote position|remote role|work from home|remote opportunity)\\b') AND NOT regexp_matches(lower(coalesce(body, '')), '\\bnot (a |an )?(fully )?remote\\b')))"
-_NOPLACE = ", ".join(f"'{x}'" for x in I.NO_PLACE.split("|"))
+_NOPLACE = "'', 'remote', 'remote only', 'remote-only', 'remote us', 'remote (us)', 'anywhere', 'anywhere in the us', 'anywhere in the united states', 'any', 'everywhere', 'virtual', 'wfh', 'work from home', 'home based', 'home-based', 'telecommute', 'nationwide', 'national', 'us', 'usa', 'u.s.', 'u.s.a.', 'united states', 'no preference', 'none', 'n/a', 'flexible', 'open'"
 _F1 = "CASE WHEN len(p) = 0 AND len(g) = 0 THEN 1.0::DOUBLE WHEN len(list_intersect(p, g)) = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(p, g)) / (len(p) + len(g)) END"
 ORACLES = {
     "normalised_listings": f"""{W}, a AS (SELECT *, list_transform(regexp_extract_all(coalesce(salary, ''), '{_KFIG}', 1), lambda x: try_cast(replace(x, ',', '') AS DOUBLE) * 1000) AS k, list_transform(regexp_extract_all(regexp_replace(coalesce(salary, ''), '{_KFIG}', ' ', 'g'), '[\\d,]{{3,}}'), lambda x: try_cast(replace(x, ',', '') AS DOUBLE)) AS p FROM pool), b AS (SELECT *, {_BAND} AS f FROM a)

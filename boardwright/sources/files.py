@@ -46,16 +46,49 @@ def read_partitions(spark: SparkSession, root: str, column: str, values: list[st
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Write beside and swap names, so that readers see the old table or the new one; a table may be made from itself."""
+    """Write beside and swap names: the new table is complete before the old one moves; a table may be made from itself.
+
+    Between the two renames a reader may find no table, as file systems replace no folder in one step; readers that can't
+    wait go through `current_table`. A rename that fails raises, puts the old table back and keeps both.
+    """
     spark = df.sparkSession
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
     new, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
     df.write.parquet(new)
     fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(hadoop(path)):
-        fs.rename(hadoop(path), hadoop(old))
-    fs.rename(hadoop(new), hadoop(path))
-    fs.delete(hadoop(old), True)
+    had = fs.exists(hadoop(path))
+    if had and not fs.rename(hadoop(path), hadoop(old)):
+        raise OSError(f"{path}: the old table could not be moved; the new one is {new}")
+    if not fs.rename(hadoop(new), hadoop(path)):
+        if had and not fs.rename(hadoop(old), hadoop(path)):
+            raise OSError(f"{path}: neither table could be moved back; they are {old} and {new}")
+        raise OSError(f"{path}: the new table could not be moved; it is {new}")
+    if had:
+        fs.delete(hadoop(old), True)
+
+
+def publish_table(df: DataFrame, path: str) -> str:
+    """Write a version of its own below `path` and then point to it with one small file, written beside and renamed over the
+    old pointer; readers of current_table see the old version or the new one, never neither. Gives the version's folder."""
+    spark = df.sparkSession
+    version = f"v-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{version}")
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(jvm.org.apache.hadoop.fs.Path(path).toUri(), conf)
+    beside, pointer = (jvm.org.apache.hadoop.fs.Path(f"{path}/{n}") for n in (f"_current.{version}", "_current"))
+    out = beside.getFileSystem(conf).create(beside, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(beside, pointer, options)
+    return f"{path}/{version}"
+
+
+def current_table(spark: SparkSession, path: str) -> DataFrame:
+    """The version that publish_table pointed to last."""
+    version = spark.read.text(f"{path}/_current", wholetext=True).first()[0].strip()
+    return spark.read.parquet(f"{path}/{version}")
 
 
 def append_log(df: DataFrame, path: str, most_bytes: int = 4096, trim: str = "top") -> None:

@@ -32,3 +32,11 @@ def test_yearly(spark):
     got = {tuple(r) for r in U.yearly_pay(jobs, feeds, units).collect()}
     assert got == {("1", 36550, 36550), ("2", 50000, 50000), ("3", 45136, 45136), ("5", 21700, 21700)}
     assert U.yearly_pay(jobs.limit(0), feeds, units).count() == 0
+
+
+def test_long_texts_are_read_whole():
+    words = "we are a friendly team of makers and menders who like to plan ahead " * 40
+    assert U.parse_pay(f"$50,000 per year. {words}")[:2] == (50000, 50000)
+    assert U.parse_pay("Team A: $21 per hour; " + "; ".join(f"step {i}: ${20 + i} per hour" for i in range(1, 30)))[3] == "hour"
+    assert U.parse_pay(" " * 3000 + "58.000 EUR" + " " * 3000)[:3] == (58000, 58000, "EUR")
+    assert U.segment("m" + " " * 50_000, "number") == (("prefix", 1e6),)
