@@ -99,6 +99,12 @@ def rows_in_order(df: DataFrame, key: str, asked: Sequence[str]) -> DataFrame:
     return df.where(F.col(key).isin(*asked)).join(want, key).orderBy("pos")
 
 
+def check_keys(asked: DataFrame, df: DataFrame, key: str) -> DataFrame:
+    """(key, found): the asked keys, once each, and whether the table has them; however many are asked. Blank keys drop."""
+    want = asked.where(F.trim(text(F.col(key))) != "").select(key).distinct()
+    return want.join(df.select(F.col(key), F.lit(True).alias("found")).distinct(), key, "left").select(key, F.coalesce("found", F.lit(False)).alias("found"))
+
+
 def liveness(jobs: DataFrame, statuses: DataFrame, now: Column) -> DataFrame:
     """Listings after probes (url, http_status): gone ones drop, answering ones are seen now, others stay as they are."""
     s = statuses.groupBy("url").agg(F.max("http_status").alias("__s"))

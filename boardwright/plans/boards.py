@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from boardwright.api import Engine
+from boardwright.operators import board
 from boardwright.plans.listings import AS_OF, LATEST, hits_sql, jobs, key_sql, tier_sql
 from boardwright.plans.retrieval import _D
 from boardwright.session import ensure_checkpoint_dir, table
@@ -54,11 +55,12 @@ def csv_roundtrip(spark, sf):
 
 
 def log_lines(spark, sf):
-    """A log of listings per source with at most as many titles as fit into 600 bytes."""
+    """A log line per employer with its first 60 urls, of which as many stay as fit into 600 bytes."""
     root = _folder(spark)
-    tops = jobs(spark, sf, ["url", "source", "title"]).where("title IS NOT NULL").groupBy("source").agg(F.array_sort(F.collect_list("url")).alias("all")).select("source", F.slice("all", 1, 30).alias("top"))
+    rows = jobs(spark, sf, ["url", "company"]).where("company IS NOT NULL")
+    tops = board.cap_per_group(rows, F.col("company"), ["url"], 60).groupBy("company").agg(F.array_sort(F.collect_list("url")).alias("top"))
     files.append_log(tops, root, most_bytes=600)
-    return files.read_lines(spark, root, "source string, top array<string>").where("_corrupt_record IS NULL").select("source", (F.size("top") > 2).alias("some"))
+    return files.read_lines(spark, root, "company string, top array<string>").where("_corrupt_record IS NULL").select("company", F.size("top").alias("kept"))
 
 
 def stream_import(spark, sf):
@@ -87,11 +89,13 @@ _PAY = "(CASE WHEN salary_min > 0 AND upper(trim(coalesce(salary_currency, '')))
 _SERVABLE = "upper(trim(coalesce(salary_currency, ''))) IN ('', 'USD') AND upper(trim(coalesce(country, ''))) IN ('', 'US') AND (remote_areas IS NULL OR len(remote_areas) = 0 OR len(list_filter(remote_areas, lambda a: upper(a) = 'US' OR starts_with(upper(a), 'US-'))) > 0)"
 ORACLES = {
     "board_delivered": f"{_BOARD} SELECT url, CAST(points AS INTEGER) AS points FROM top",
-    "board_facets": f"{_BOARD} SELECT facet, value, count(*) AS n FROM ({' UNION ALL '.join(f'''SELECT '{f}' AS facet, CAST({f} AS VARCHAR) AS value FROM top''' for f in ('category', 'employment_type', 'remote', 'seniority', 'source'))}) WHERE value <> '' GROUP BY ALL",
+    "board_facets": f"{_BOARD} SELECT facet, value, count(*) AS n FROM ({' UNION ALL '.join(f'''SELECT '{f}' AS facet, CAST({f} AS VARCHAR) AS value FROM top''' for f in ('category', 'employment_type', 'remote', 'seniority', 'salary_band', 'state'))} UNION ALL SELECT 'apply_via', CASE WHEN direct_apply THEN 'employer' WHEN NOT direct_apply THEN 'aggregator' ELSE '' END FROM top) WHERE value <> '' GROUP BY ALL",
     "search_loose": f"{_RANKED.replace('{0}', '''AND w = 'accountant' ''')} SELECT url FROM rk JOIN pool USING (url) WHERE coalesce(remote, '') NOT IN ('onsite', 'hybrid') AND coalesce({_PAY}, 60000) >= 60000 ORDER BY rank LIMIT 40",
     "pool_stats": f"{W} SELECT count(*) AS pool, max(posted) AS newest_posted, epoch_us(max(last_seen)) AS last_us, count(DISTINCT company) AS companies FROM pool",
     "partition_subset": f"{W} SELECT source, count(*) AS n FROM pool WHERE source IN ('rolewire', 'werkpfad') GROUP BY source",
     "csv_roundtrip": "SELECT status, count(*) AS n, CAST(sum(roles) AS BIGINT) AS roles FROM companies GROUP BY status",
-    "log_lines": f"{W} SELECT source, count(*) > 2 AS some FROM pool WHERE title IS NOT NULL GROUP BY source",
+    "log_lines": f"""{W}, r AS (SELECT company, url, row_number() OVER (PARTITION BY company ORDER BY url) AS n FROM pool WHERE company IS NOT NULL),
+s AS (SELECT company, n, sum(strlen(url) + 3) OVER (PARTITION BY company ORDER BY n) AS bytes FROM r WHERE n <= 60)
+SELECT company, CAST(count(*) FILTER (strlen('{{"company":' || to_json(company) || ',"top":[') + bytes - 1 + 2 < 600) AS INTEGER) AS kept FROM s GROUP BY company""",
     "stream_import": f"{W} SELECT url, coalesce(title, '') AS title FROM pool WHERE {_SERVABLE}",
 }

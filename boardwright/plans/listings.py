@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from boardwright.functions import text as X
 from boardwright.functions import vocab as V
-from boardwright.operators import analytics, board, pool
+from boardwright.operators import analytics, board, intake, order, pool
 from boardwright.session import table
 
 QUERY = board.Query.of(
@@ -62,8 +62,8 @@ def eligible_listings(spark, sf):
 
 
 def dedupe_listings(spark, sf):
-    df = jobs(spark, sf, ["url", "title", "company", "body"]).withColumn("place", F.length("url") * 1000 + F.ascii(F.substring("url", -1, 1)))
-    got = board.dedupe_listings(df.where("company IS NOT NULL"), "place")
+    df = order.numbered(jobs(spark, sf, ["url", "title", "company", "body"]), ["url"], "place", 1)
+    got = board.dedupe_listings(df, "place")
     return got.select("place", F.length(X.text(F.col("body"))).alias("body_length"), X.norm_key(F.col("company")).alias("company_key"), X.norm_key(F.col("title")).alias("title_key"))
 
 
@@ -119,7 +119,8 @@ def html_plain(spark, sf):
 
 
 def html_plain_text(spark, sf):
-    return jobs(spark, sf, ["url", "body"]).select("url", F.substring(X.html_plain_text(F.col("body")), 1, 240).alias("snippet"))
+    plain = X.html_plain_text(F.col("body"))
+    return jobs(spark, sf, ["url", "body"]).select("url", F.substring(plain, 1, 240).alias("snippet"), F.md5(plain).alias("digest"))
 
 
 def description_bullets(spark, sf):
@@ -170,12 +171,9 @@ def evict_survivors(spark, sf):
 
 
 def recommend_check(spark, sf):
-    """Of asked urls in their order, which are in the pool."""
-    df = jobs(spark, sf, ["url", "title"])
-    asked = [("https://nowhere.example/1", 0), ("https://nowhere.example/2", 2)]
-    extra = df.orderBy("url").limit(1).select("url", F.lit(1).alias("pos"))
-    want = spark.createDataFrame(asked, "url string, pos int").unionByName(extra)
-    return want.join(df, "url", "left").select("pos", F.col("title").isNotNull().alias("found"))
+    """Of all urls that snapshots name, which are in the pool and which are not."""
+    asked = table(spark, sf, "job_snapshots").select("url")
+    return intake.check_keys(asked, jobs(spark, sf, ["url"]), "url")
 
 
 def snapshot_meta(spark, sf):
@@ -243,7 +241,7 @@ b AS (SELECT *, {_BEST} AS best, {_NEAR} AS near, {", ".join(f"{hits_sql(b, 'bl'
 c AS (SELECT *, CASE WHEN best > 0 THEN best WHEN near > 0 THEN 30 ELSE 0 END AS tier, {", ".join(f"[0, 8, 14, 18, 20][1 + least(h{i}, 4)] AS d{i}" for i in range(len(QUERY.boosts)))} FROM b),
 s AS (SELECT url, list_filter([{_PART.format("tier", "CASE WHEN best > 0 THEN 'title' ELSE 'related title' END")}, {", ".join(_PART.format(f"d{i}", f"'{b} ×' || h{i}") for i, b in enumerate(QUERY.boosts))}, {", ".join(_PART.format(f"p{i}", f"'-{p}'") for i, p in enumerate(QUERY.penalties))}], lambda x: x IS NOT NULL) AS parts FROM c),
 t AS (SELECT url, parts, CAST(coalesce(list_sum(list_transform(parts, lambda x: x.delta)), 0) AS INTEGER) AS points FROM s)"""
-_FACET = " UNION ALL ".join(f"SELECT '{f}' AS facet, CAST({f} AS VARCHAR) AS value FROM pool" for f in ("category", "employment_type", "remote", "seniority", "source"))
+_FACET = " UNION ALL ".join(f"SELECT '{f}' AS facet, CAST({f} AS VARCHAR) AS value FROM pool" for f in ("category", "employment_type", "remote", "seniority", "salary_band", "state")) + " UNION ALL SELECT 'apply_via', CASE WHEN direct_apply THEN 'employer' WHEN NOT direct_apply THEN 'aggregator' ELSE '' END FROM pool"
 _PASS = "(category IS NULL OR category = '' OR category IN ('Sales', 'Design', 'Education')) AND (remote IS NULL OR remote = '' OR remote IN ('remote', 'hybrid'))"
 _FILLED = {c: f"len({c}) > 0" for c in ("title_qualifiers", "locations", "remote_areas", "remote_regions", "tags")} | {c: f"{c} IS NOT NULL" for c in ("salary_min", "salary_max", "salary_estimated_min", "salary_estimated_max", "direct_apply", "fetched_at", "last_seen")}
 _TEXT = "title title_root title_level company team location city state country remote remote_basis remote_scope_raw body category seniority seniority_basis employment_type employment_type_raw salary salary_currency salary_period salary_basis salary_band source source_extra posted expires".split()
@@ -270,7 +268,7 @@ ORACLES = {
     "title_tiers": f"{W}, a AS (SELECT url, {key_sql('title')} AS k1, {key_sql('title_root')} AS k2 FROM pool), b AS (SELECT url, {_BEST} AS best, {_NEAR} AS near FROM a) SELECT url, CAST(CASE WHEN best > 0 THEN best WHEN near > 0 THEN 30 ELSE 0 END AS INTEGER) AS points, best = 0 AND near > 0 AS related FROM b WHERE best > 0 OR near > 0",
     "term_counts": f"{W}, a AS (SELECT url, lower(coalesce(title, '') || ' ' || coalesce(body, '')) AS bl FROM pool), b AS (SELECT url, {', '.join(f'CAST({hits_sql(b, chr(98) + chr(108))} AS INTEGER) AS n{i}' for i, b in enumerate(QUERY.boosts))} FROM a) SELECT * FROM b WHERE n0 + n1 + n2 + n3 > 0",
     "eligible_listings": f"{W}, a AS (SELECT url, remote, lower(coalesce(title, '') || ' ' || coalesce(company, '')) AS he, {_DAY.format('posted')} AS day FROM pool) SELECT url FROM a WHERE {hits_sql('weekends', 'he')} = 0 AND {hits_sql('night shift', 'he')} = 0 AND remote = 'remote' AND (day IS NULL OR date_diff('day', day, DATE '{AS_OF}') <= 200)",
-    "dedupe_listings": f"{W}, a AS (SELECT url, body, {key_sql('company')} AS ck, {key_sql('title')} AS tk, CAST(length(url) * 1000 + ascii(right(url, 1)) AS INTEGER) AS place FROM pool WHERE company IS NOT NULL), g AS (SELECT CASE WHEN ck = '' AND tk = '' THEN 'url:' || url ELSE ck || '|' || tk END AS k, * FROM a) SELECT CAST(min(place) AS INTEGER) AS place, CAST(max(length(coalesce(body, ''))) AS INTEGER) AS body_length, min(ck) AS company_key, min(tk) AS title_key FROM g GROUP BY k",
+    "dedupe_listings": f"{W}, a AS (SELECT url, body, {key_sql('company')} AS ck, {key_sql('title')} AS tk, row_number() OVER (ORDER BY url) AS place FROM pool), g AS (SELECT CASE WHEN ck = '' AND tk = '' THEN 'url:' || url ELSE ck || '|' || tk END AS k, * FROM a) SELECT min(place) AS place, CAST(max(length(coalesce(body, ''))) AS INTEGER) AS body_length, min(ck) AS company_key, min(tk) AS title_key FROM g GROUP BY k",
     "facet_counts": f"{W} SELECT facet, value, count(*) AS n FROM ({_FACET}) WHERE value <> '' GROUP BY ALL",
     "facet_groups_shown": f"{W} SELECT facet, count(DISTINCT value) AS n_values, CAST(count(*) AS BIGINT) AS n_rows FROM ({_FACET}) WHERE value <> '' GROUP BY facet HAVING count(DISTINCT value) >= 2",
     "facet_passes": f"{W} SELECT category, remote, count(*) AS n FROM pool WHERE {_PASS} GROUP BY ALL",
@@ -280,8 +278,11 @@ ORACLES = {
     "sort_pay_page": f"{W} SELECT url, salary_min FROM pool ORDER BY coalesce(salary_min, 0) DESC, url LIMIT 50 OFFSET 50",
     "company_cap": f"{W} SELECT url, company FROM (SELECT *, row_number() OVER (PARTITION BY lower(trim(coalesce(company, ''))) ORDER BY last_seen DESC, url) AS r FROM pool) WHERE r <= 3",
     "norm_keys": f"{W} SELECT DISTINCT {key_sql('company')} AS company_key, {key_sql('title')} AS title_key FROM pool",
-    "html_plain": f"{W} SELECT url, md5({_HTML}) AS digest FROM pool WHERE contains(body, '<')",
-    "html_plain_text": f"{W} SELECT url, substr(trim(regexp_replace(regexp_replace(regexp_replace({_STRIPPED}, '<[^>]+>', ' ', 'g'), '</?[a-zA-Z][^>]*$', ' ', 'g'), '[\\s\\x{{00A0}}]+', ' ', 'g')), 1, 240) AS snippet FROM pool",
+    "html_plain": f"{W} SELECT url, md5({_HTML}) AS digest FROM pool",
+    "html_plain_text": f"{W} SELECT url, substr(plain, 1, 240) AS snippet, md5(plain) AS digest FROM (SELECT url, trim(regexp_replace(regexp_replace(regexp_replace({_STRIPPED}, '<[^>]+>', ' ', 'g'), '</?[a-zA-Z][^>]*$', ' ', 'g'), '[\\s\\x{{00A0}}]+', ' ', 'g')) AS plain FROM pool)",
+    "description_bullets": f"""{W}, a AS (SELECT url, lower(trim(coalesce(title, ''))) AS t, list_transform(regexp_extract_all(regexp_replace(coalesce(body, ''), '([.!?])\\s+', '\\1' || chr(1), 'g'), '[^' || chr(1) || ']+'), lambda s: regexp_replace(trim(s), '\\s+', ' ', 'g')) AS parts FROM pool),
+b AS (SELECT url, list_filter(parts, lambda s: length(s) >= 24 AND lower(s) <> t AND NOT starts_with(lower(s), t || '.') AND NOT starts_with(lower(s), t || ' ') AND length(regexp_replace(s, '[^0-9]', '', 'g')) <= length(s) * 0.25)[1:20] AS kept FROM a)
+SELECT url, count(*) AS n, CAST(sum(length(s)) AS BIGINT) AS chars FROM b, unnest(kept) AS u(s) GROUP BY url""",
     "vocabulary_fields": f"{W}, a AS (SELECT {_LOOK({**V.inverted(V.CATEGORIES)}, _CLEAN.format('category'))} AS category, {_LOOK(V.inverted(V.SENIORITY, own=False), _CLEAN.format('seniority'))} AS seniority, coalesce({_LOOK(V.inverted(V.EMPLOYMENT, own=False), key_sql('employment_type_raw'))}, '') AS employment, {_LOOK(V.inverted(V.STATES), key_sql('state'))} AS state, CASE WHEN direct_apply IS NULL THEN '' WHEN direct_apply THEN 'employer' ELSE 'aggregator' END AS via FROM pool) SELECT *, count(*) AS n FROM a GROUP BY ALL",
     "salary_fields": f"""{W}, a AS (SELECT url, salary_min, upper(trim(coalesce(salary_currency, ''))) AS cur, lower(trim(coalesce(salary_period, ''))) AS per, list_transform(regexp_extract_all(coalesce(salary, ''), '{_KFIG}', 1), lambda x: try_cast(replace(x, ',', '') AS DOUBLE) * 1000) AS k, list_transform({_PLAIN.format(f"regexp_replace(coalesce(salary, ''), '{_KFIG}', ' ', 'g')")}, lambda x: try_cast(replace(x, ',', '') AS DOUBLE)) AS p FROM pool),
 b AS (SELECT url, CASE WHEN len(k) > 0 THEN list_min(list_concat(k, list_transform(p, lambda v: CASE WHEN v < 1000 THEN v * 1000 ELSE v END))) ELSE list_min(p) END AS first_figure, CASE WHEN salary_min > 0 AND cur IN ('', 'USD') THEN CASE WHEN per = '' THEN CASE WHEN salary_min >= 15000 THEN salary_min END ELSE salary_min * CASE per WHEN 'year' THEN 1 WHEN 'month' THEN 12 WHEN 'week' THEN 52 WHEN 'hour' THEN 2080 WHEN 'day' THEN 260 END END END AS yearly FROM a),
@@ -292,7 +293,7 @@ c AS (SELECT *, coalesce(yearly, first_figure) AS f FROM b) SELECT url, first_fi
     "upsert_merge": f"""WITH o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY last_seen DESC, fetched_at DESC) AS rn FROM jobs WHERE last_seen < TIMESTAMPTZ '2026-01-01 00:00:00+00') WHERE rn = 1), n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY last_seen DESC) AS rn FROM jobs WHERE last_seen >= TIMESTAMPTZ '2026-01-01 00:00:00+00') WHERE rn = 1)
 SELECT coalesce(o.url, n.url) AS url, CASE WHEN n.url IS NOT NULL THEN n.title ELSE o.title END AS title, CASE WHEN o.url IS NOT NULL THEN epoch_us(o.fetched_at) ELSE epoch_us(TIMESTAMPTZ '{NOW}+00') END AS first_us, CASE WHEN n.url IS NOT NULL THEN epoch_us(TIMESTAMPTZ '{NOW}+00') ELSE epoch_us(o.last_seen) END AS last_us FROM o FULL OUTER JOIN n ON o.url = n.url""",
     "evict_survivors": f"{W}, a AS (SELECT url, last_seen, source, {_DAY.format('posted')} AS day FROM pool) SELECT url FROM a WHERE last_seen >= TIMESTAMPTZ '{NOW}+00' - CASE WHEN source IN {POLLED} THEN INTERVAL 30 DAY ELSE INTERVAL 120 DAY END AND (day IS NULL OR day >= DATE '{AS_OF}' - 200) ORDER BY last_seen DESC, url LIMIT 400",
-    "recommend_check": f"{W} SELECT CAST(pos AS INTEGER) AS pos, title IS NOT NULL AS found FROM (SELECT 'https://nowhere.example/1' AS url, 0 AS pos UNION ALL SELECT 'https://nowhere.example/2', 2 UNION ALL (SELECT url, 1 FROM pool ORDER BY url LIMIT 1)) LEFT JOIN pool USING (url)",
+    "recommend_check": f"{W} SELECT DISTINCT url, url IN (SELECT url FROM pool) AS found FROM job_snapshots WHERE trim(coalesce(url, '')) <> ''",
     "snapshot_meta": f"SELECT count(*) AS n, count(*) FILTER (({_REASON}) = 'admitted') AS servable, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources FROM jobs",
     "fill_rates": f"{W}, a AS ({' UNION ALL '.join(f'''SELECT '{c}' AS field, count(*) FILTER ({x}) AS filled, count(*) AS rows FROM pool''' for c, x in _FILLED.items())}) SELECT field, filled, rows, round(filled / rows, 6) AS rate FROM a",
     "richest_rows": f"{W} SELECT url, CAST({' + '.join(f'(CASE WHEN {x} THEN 1 ELSE 0 END)' for x in _FILLED.values())} AS INTEGER) AS filled FROM pool ORDER BY filled DESC, url LIMIT 20",

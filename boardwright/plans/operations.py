@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from boardwright.functions import text as X
 from boardwright.operators import analytics as A
+from boardwright.operators import intake as I
 from boardwright.operators import ledger, pool
 from boardwright.plans.listings import LATEST, jobs, key_sql
 from boardwright.session import table
+from boardwright.sources import files
 from boardwright.streaming import events as S
 
 NOW = "2026-07-01 00:00:00"
@@ -131,30 +133,39 @@ def props_json(spark, sf):
 def judge_kappa(spark, sf):
     """Two raters: how a listing's remote state is written and what its title says."""
     df = jobs(spark, sf, ["url", "title", "remote"])
-    a = F.when(F.col("remote") == "remote", "remote").otherwise("other")
+    a = F.when(F.col("remote") == "remote", "remote").when(F.col("remote").isNotNull(), "other").otherwise("unsaid")
     b = F.when(F.lower("title").rlike(r"\bremote\b"), "remote").otherwise("other")
-    got = A.kappa(df.where("remote IS NOT NULL").select(a.alias("a"), b.alias("b")), "a", "b")
+    got = A.kappa(df.select(a.alias("a"), b.alias("b")), "a", "b")
     return got.select("n", F.round("agreement", 6).alias("agreement"), F.round("kappa", 6).alias("kappa"))
 
 
 def _slug(c):
-    return F.regexp_replace(F.lower(F.trim(c)), ":free$", "")
+    key = F.regexp_replace(F.lower(F.trim(c)), r"\s*:free$", "")
+    return F.when(key != "", key)
+
+
+def _decided(spark, sf):
+    """(a, b, w): the verdicts with a winner, each verdict_id once, of copies that differ the smallest."""
+    v = table(spark, sf, "verdicts").where("verdict_id IS NOT NULL").select("verdict_id", _slug("a").alias("a"), _slug("b").alias("b"), _slug("winner").alias("w")).where("a <> b")
+    o = F.when(F.col("w") == F.col("a"), 1).when(F.col("w") == F.col("b"), 2).when(F.col("w").isNull() | F.col("w").isin("tie", "draw"), 3)
+    once = v.withColumn("o", o).where("o IS NOT NULL").groupBy("verdict_id").agg(F.min(F.struct("a", "b", "o", "w")).alias("s")).select("s.*")
+    return once.where("o < 3").select("a", "b", "w")
 
 
 def pairwise_wins(spark, sf):
-    v = table(spark, sf, "verdicts").select("verdict_id", _slug("a").alias("a"), _slug("b").alias("b"), _slug("winner").alias("w")).where("a <> b AND (w = a OR w = b)").distinct()
+    v = _decided(spark, sf)
     sides = v.select(F.explode(F.array(F.struct(F.col("w").alias("slug"), F.lit(1).alias("win")), F.struct(F.when(F.col("w") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("slug"), F.lit(0).alias("win")))).alias("s")).select("s.*")
     return sides.groupBy("slug").agg(F.sum("win").alias("wins"), F.count("*").alias("played"), F.round(F.sum("win") / F.count("*"), 6).alias("win_rate"))
 
 
 def both_orders(spark, sf):
-    """Pairs judged in both orders, and how often the same entrant leads in both."""
-    v = table(spark, sf, "verdicts").select("verdict_id", _slug("a").alias("a"), _slug("b").alias("b"), _slug("winner").alias("w")).where("a <> b AND (w = a OR w = b)").distinct()
-    c = v.groupBy("a", "b").agg(F.count_if(F.col("w") == F.col("a")).alias("first"), F.count("*").alias("n"))
+    """Pairs judged in both orders, and the entrant that leads in both, if one does."""
+    c = _decided(spark, sf).groupBy("a", "b").agg(F.count_if(F.col("w") == F.col("a")).alias("first"), F.count("*").alias("n"))
     d = c.select(F.col("b").alias("a"), F.col("a").alias("b"), (F.col("n") - F.col("first")).alias("first2"), F.col("n").alias("n2"))
     j = c.where("a < b").join(d, ["a", "b"])
-    lead = F.when((F.col("first") * 2 > F.col("n")) & (F.col("first2") * 2 > F.col("n2")), F.col("a")).when((F.col("first") * 2 < F.col("n")) & (F.col("first2") * 2 < F.col("n2")), F.col("b"))
-    return j.select("a", "b", lead.alias("leader"))
+    # the letter that leads in each order, as a judge would say it; the second order has the sides swapped
+    said = lambda won, n, yes, no: F.when(F.col(won) * 2 > F.col(n), f'{{"winner": "{yes}"}}').when(F.col(won) * 2 < F.col(n), f'{{"winner": "{no}"}}')
+    return j.select("a", "b", I.judged(said("first", "n", "A", "B"), said("first2", "n2", "B", "A"), F.col("a"), F.col("b")).alias("leader"))
 
 
 def set_f1(spark, sf):
@@ -183,8 +194,9 @@ def health_gate(spark, sf):
 
 
 def carry_forward(spark, sf):
-    a, b = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance")), table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
-    return a.unionByName(b, allowMissingColumns=True).groupBy(F.col("balance").isNull().alias("carried")).agg(F.count("*").alias("n"))
+    """Suppliers carried into the columns of customers and put beside them: what suppliers don't have is NULL."""
+    a, b = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment")), table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))
+    return a.unionByName(files.carry_forward(b, a.schema)).groupBy(F.col("segment").isNull().alias("carried")).agg(F.count("*").alias("n"), F.min("name").alias("first_name"))
 
 
 def set_operations(spark, sf):
@@ -259,8 +271,9 @@ _EV = f"{W}, ev AS (SELECT DISTINCT company, split_part({_HOST}, '.', 1) AS ats,
 _ST = "lower(trim(status))"
 _JUNK = r"""CASE WHEN length(slug) < 2 OR length(slug) > 60 THEN 'length' WHEN regexp_matches(slug, '%[0-9A-Fa-f]{2}|[{} ]') THEN 'template-or-encoded' WHEN lower(slug) IN ('robots.txt','sitemap.xml','favicon.ico','index.html','404.html','embed','api','static','assets') THEN 'not-a-board-path'
  WHEN contains(slug, '.') AND lower(list_last(string_split(slug, '.'))) IN ('txt','xml','json','md','html','htm','ico','css','js','php','yml','yaml','csv','pdf','png','jpg','svg','map','gz','zip') THEN 'file-extension' END"""
-_SLUG = "regexp_replace(lower(trim({0})), ':free$', '')"
-_VER = f"v AS (SELECT DISTINCT verdict_id, {_SLUG.format('a')} AS a, {_SLUG.format('b')} AS b, {_SLUG.format('winner')} AS w FROM verdicts), u AS (SELECT * FROM v WHERE a <> b AND (w = a OR w = b))"
+_SLUG = "nullif(regexp_replace(lower(trim({})), '\\s*:free$', ''), '')"
+_VER = f"""v AS (SELECT verdict_id, {_SLUG.format('a')} AS a, {_SLUG.format('b')} AS b, {_SLUG.format('winner')} AS w FROM verdicts WHERE verdict_id IS NOT NULL),
+k AS (SELECT *, CASE WHEN w = a THEN 1 WHEN w = b THEN 2 WHEN w IS NULL OR w IN ('tie', 'draw') THEN 3 END AS o FROM v WHERE a <> b), u AS (SELECT a, b, w FROM (SELECT *, row_number() OVER (PARTITION BY verdict_id ORDER BY a, b, o, w) AS nth FROM k WHERE o IS NOT NULL) WHERE nth = 1 AND o < 3)"""
 _WORDS = "list_distinct(list_filter(string_split({0}, ' '), lambda x: x <> ''))"
 ORACLES = {
     "company_counts": f"{W} SELECT company, count(*) AS n FROM pool WHERE trim(coalesce(company, '')) <> '' GROUP BY company",
@@ -286,14 +299,14 @@ SELECT coalesce(c.name_key, s.name_key) AS name_key, CASE WHEN ns IS NULL THEN l
     "failure_shares": "SELECT event_type, count(*) AS n, round(count(*) FILTER (value < 5) / count(*), 6) AS weak, round(count(*) FILTER (value IS NULL OR value = 0) / count(*), 6) AS empty FROM events GROUP BY 1",
     "worst_searches": "SELECT event_id, value FROM events ORDER BY value, event_id LIMIT 25",
     "props_json": "WITH k AS (SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) SELECT k % 10 AS bucket, count(*) AS n, min(k) AS least, max(k) AS most FROM k GROUP BY 1",
-    "judge_kappa": f"{W}, r AS (SELECT remote = 'remote' AS a, regexp_matches(lower(coalesce(title, '')), '\\bremote\\b') AS b FROM pool WHERE remote IS NOT NULL), s AS (SELECT count(*) AS n, avg(CASE WHEN a = b THEN 1.0 ELSE 0.0 END) AS po, avg(a::INT) AS pa, avg(b::INT) AS pb FROM r) SELECT n, round(po, 6) AS agreement, round((po - (pa * pb + (1 - pa) * (1 - pb))) / (1 - (pa * pb + (1 - pa) * (1 - pb))), 6) AS kappa FROM s",
+    "judge_kappa": f"{W}, r AS (SELECT CASE WHEN remote = 'remote' THEN 'remote' WHEN remote IS NOT NULL THEN 'other' ELSE 'unsaid' END AS a, CASE WHEN regexp_matches(lower(coalesce(title, '')), '\\bremote\\b') THEN 'remote' ELSE 'other' END AS b FROM pool), s AS (SELECT count(*) AS n, avg(CASE WHEN a = b THEN 1.0 ELSE 0.0 END) AS po, avg((a = 'remote')::INT) * avg((b = 'remote')::INT) + avg((a = 'other')::INT) * avg((b = 'other')::INT) AS pe FROM r) SELECT n, round(po, 6) AS agreement, round((po - pe) / (1 - pe), 6) AS kappa FROM s",
     "pairwise_wins": f"WITH {_VER}, s AS (SELECT w AS slug, 1 AS win FROM u UNION ALL SELECT CASE WHEN w = a THEN b ELSE a END, 0 FROM u) SELECT slug, CAST(sum(win) AS BIGINT) AS wins, count(*) AS played, round(sum(win) / count(*), 6) AS win_rate FROM s GROUP BY slug",
     "both_orders": f"WITH {_VER}, c AS (SELECT a, b, count(*) FILTER (w = a) AS f, count(*) AS n FROM u GROUP BY a, b) SELECT x.a AS a, x.b AS b, CASE WHEN x.f * 2 > x.n AND (y.n - y.f) * 2 > y.n THEN x.a WHEN x.f * 2 < x.n AND (y.n - y.f) * 2 < y.n THEN x.b END AS leader FROM c x JOIN c y ON x.a = y.b AND x.b = y.a WHERE x.a < x.b",
     "set_f1": f"{W}, w AS (SELECT url, {_WORDS.format(key_sql('title_root'))} AS p, {_WORDS.format(key_sql('title'))} AS g FROM pool) SELECT url, round(CASE WHEN len(p) = 0 AND len(g) = 0 THEN 1.0::DOUBLE WHEN len(list_intersect(p, g)) = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(p, g)) / (len(p) + len(g)) END, 6) AS f1 FROM w",
     "hallucination": f"{W}, w AS (SELECT lower(coalesce(title, '')) AS t, list_filter(string_split({key_sql('title_root')}, ' '), lambda x: x <> '') AS ws FROM pool WHERE trim(title_root) <> '') SELECT CAST(sum(len(ws)) AS BIGINT) AS words, CAST(sum(len(list_filter(ws, lambda x: NOT contains(t, left(x, 4))))) AS BIGINT) AS unsupported FROM w",
     "concentration_gate": f"{W}, c AS (SELECT company, count(*) AS c FROM pool WHERE trim(coalesce(company, '')) <> '' GROUP BY company) SELECT count(*) AS employers, CAST(sum(c) AS BIGINT) AS rows, round(max(c) / sum(c), 6) AS top_share FROM c",
     "health_gate": f"{W} SELECT count(*) AS pool, round(avg(CASE WHEN trim(coalesce(title_root, '')) <> '' THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS root_fill, count(DISTINCT source) AS sources, round(avg(CASE WHEN contains(location, 'US') THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS local_share FROM pool",
-    "carry_forward": "SELECT balance IS NULL AS carried, count(*) AS n FROM (SELECT c_acctbal AS balance FROM customer UNION ALL SELECT NULL FROM supplier) GROUP BY 1",
+    "carry_forward": "SELECT segment IS NULL AS carried, count(*) AS n, min(name) AS first_name FROM (SELECT c_name AS name, c_mktsegment AS segment FROM customer UNION ALL SELECT s_name, NULL FROM supplier) GROUP BY 1",
     "set_operations": "SELECT 'both' AS part, count(*) AS n, CAST(coalesce(sum(k), 0) AS BIGINT) AS total FROM (SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier) UNION ALL SELECT 'customers only', count(*), CAST(coalesce(sum(k), 0) AS BIGINT) FROM (SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier) UNION ALL SELECT 'either', count(*), CAST(coalesce(sum(k), 0) AS BIGINT) FROM (SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier)",
     "revenue_cube": "SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)",
     "pricing_summary": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2",

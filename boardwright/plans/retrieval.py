@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from boardwright.operators import dense, lexical, order, pool
-from boardwright.plans.listings import LATEST, jobs
+from boardwright.plans.listings import _HTML, LATEST, jobs
 from boardwright.session import table
 
 WORDS = ["Engineer", "Accountant", "Registered Nurse"]
@@ -98,11 +98,11 @@ def _near_sql(a: str, b: str, i: int) -> str:
     return f"SELECT url, {i} AS clause FROM d, unnest(range(1, len(t) + 1)) AS u(x), unnest(range(1, len(t) + 1)) AS v(y) WHERE t[x] = '{a}' AND t[y] = '{b}' AND abs(x - y) <= 4"
 
 
-_V = f"""WITH p AS (SELECT vec_id AS probe, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id IN (3, 57, 101, 333)), s AS (SELECT probe, vec_id AS id, list_cosine_similarity(embedding::DOUBLE[], q) AS sim FROM embeddings, p),
-r AS (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY round(sim, 9) DESC, id) - 1 AS rank0 FROM s), k AS (SELECT * FROM r WHERE rank0 < 50), fused AS (SELECT id, sum(1.0::DOUBLE / (60 + rank0)) AS rrf FROM k GROUP BY id)"""
-_SUM = """concat_ws(chr(10), concat_ws(' · ', CASE WHEN trim(title) <> '' THEN title END, CASE WHEN lower(title_root) <> lower(title) AND trim(title_root) <> '' THEN title_root END),
+_V = f"""WITH p AS (SELECT vec_id AS probe, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT probe, vec_id AS id, list_cosine_similarity(embedding::DOUBLE[], q) AS sim FROM embeddings, p),
+r AS (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY round(sim, 9) DESC, id) - 1 AS rank0 FROM s), k AS (SELECT * FROM r WHERE rank0 < 200), fused AS (SELECT id, sum(1.0::DOUBLE / (60 + rank0)) AS rrf FROM k GROUP BY id)"""
+_SUM = """concat_ws(chr(10), concat_ws(' · ', CASE WHEN trim(title) <> '' THEN title END, CASE WHEN lower(title_root) <> lower(title) AND trim(title_root) <> '' THEN title_root END, CASE WHEN len(title_qualifiers) > 0 THEN array_to_string(title_qualifiers[1:4], ', ') END),
  concat_ws(' · ', CASE WHEN trim(company) <> '' THEN 'Company: ' || company END, CASE WHEN trim(team) <> '' THEN 'Team: ' || team END, CASE WHEN trim(category) <> '' THEN 'Field: ' || category END, CASE WHEN trim(location) <> '' THEN 'Location: ' || location END),
- CASE WHEN len(tags) > 0 THEN 'Tags: ' || array_to_string(tags[1:8], ', ') END, substr(coalesce(body, ''), 1, 1800))"""
+ CASE WHEN len(tags) > 0 THEN 'Tags: ' || array_to_string(tags[1:8], ', ') END, substr({html}, 1, 1800))""".format(html=_HTML)
 ORACLES = {
     "bm25_titles": _D + _BM,
     "near_matches": f"{_D} SELECT DISTINCT url, CAST(clause AS INTEGER) AS clause FROM ({_near_sql('senior', 'manager', 0)} UNION ALL {_near_sql('software', 'engineer', 1)})",
@@ -110,10 +110,13 @@ ORACLES = {
     "index_reconcile": f"{_D} SELECT count(*) FILTER (len(t) > 0) AS indexed, (SELECT count(*) FROM pool WHERE regexp_matches(title, '[\\p{{L}}\\p{{N}}]')) AS stored FROM d",
     "knn_per_probe": f"{_V} SELECT probe, id, round(sim, 5) AS sim, CAST(rank0 AS INTEGER) AS rank0 FROM k",
     "rrf_probes": f"{_V} SELECT id, round(rrf, 9) AS rrf FROM fused ORDER BY round(rrf, 12) DESC, id LIMIT 40",
-    "hybrid_rrf": f"""{_V}, h AS (SELECT doc_id, len(regexp_extract_all(lower(coalesce(text, '')), '\\bteam')) AS hits FROM documents), l AS (SELECT doc_id AS id, row_number() OVER (ORDER BY hits DESC, doc_id) - 1 AS rank0 FROM h WHERE hits > 0 ORDER BY rank0 LIMIT 200),
-e AS (SELECT id, row_number() OVER (ORDER BY round(rrf, 12) DESC, id) - 1 AS rank0 FROM fused ORDER BY rank0 LIMIT 200), b AS (SELECT id, sum(1.0::DOUBLE / (60 + rank0)) AS rrf FROM (SELECT * FROM l UNION ALL SELECT * FROM e) GROUP BY id),
+    "hybrid_rrf": f"""{_V}, h AS (SELECT doc_id, board, {_TOK.format('text')} AS t FROM documents), m AS (SELECT count(*) AS docs, avg(len(t)) AS mean FROM h),
+f AS (SELECT doc_id, len(t) AS len, len(list_filter(t, lambda x: x = 'team')) AS tf FROM h), n AS (SELECT count(*) AS n FROM f WHERE tf > 0),
+g AS (SELECT doc_id, CASE WHEN ln((docs - n + 0.5) / (n + 0.5)) > 0 THEN ln((docs - n + 0.5) / (n + 0.5)) ELSE 1e-6 END * (8.0 * tf) * 2.2 / (8.0 * tf + 1.2 * (0.25 + 0.75 * len / mean)) AS score FROM f, n, m WHERE tf > 0),
+l AS (SELECT doc_id AS id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) - 1 AS rank0 FROM g),
+e AS (SELECT id, row_number() OVER (ORDER BY round(rrf, 12) DESC, id) - 1 AS rank0 FROM fused ORDER BY rank0 LIMIT 240), b AS (SELECT id, sum(1.0::DOUBLE / (60 + rank0)) AS rrf FROM (SELECT * FROM l UNION ALL SELECT * FROM e) GROUP BY id),
 c AS (SELECT b.*, row_number() OVER (PARTITION BY coalesce(lower(trim(board)), 'id:' || id) ORDER BY round(rrf, 12) DESC, id) AS rn FROM b LEFT JOIN documents ON doc_id = id) SELECT id, round(rrf, 9) AS rrf FROM c WHERE rn <= 3 ORDER BY round(rrf, 12) DESC, id LIMIT 60""",
     "content_ids": f"WITH pool AS {LATEST} SELECT url, sha1(encode(url) || '\\x00'::BLOB || encode({_SUM})) AS content_id FROM pool",
-    "vector_sync": f"""WITH pool AS {LATEST}, p AS (SELECT *, sha1(encode(url) || '\\x00'::BLOB || encode(concat_ws(chr(10), title, substr(body, 1, 1800)))) AS cid FROM pool), a AS (SELECT url, cid FROM p WHERE last_seen >= TIMESTAMPTZ '2025-10-01 00:00:00+00'), b AS (SELECT url, CASE WHEN length(url) % 7 = 0 THEN 'stale' ELSE cid END AS cid FROM p WHERE last_seen < TIMESTAMPTZ '2026-03-01 00:00:00+00')
+    "vector_sync": f"""WITH pool AS {LATEST}, p AS (SELECT *, sha1(encode(url) || '\\x00'::BLOB || encode({_SUM})) AS cid FROM pool), a AS (SELECT url, cid FROM p WHERE last_seen >= TIMESTAMPTZ '2025-10-01 00:00:00+00'), b AS (SELECT url, CASE WHEN length(url) % 7 = 0 THEN 'stale' ELSE cid END AS cid FROM p WHERE last_seen < TIMESTAMPTZ '2026-03-01 00:00:00+00')
 SELECT action, count(*) AS n FROM (SELECT CASE WHEN b.url IS NULL THEN 'new' WHEN a.url IS NULL THEN 'gone' WHEN a.cid <> b.cid THEN 'changed' END AS action FROM a FULL OUTER JOIN b ON a.url = b.url) WHERE action IS NOT NULL GROUP BY action""",
 }
