@@ -6,8 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from boardwright.api import Engine
-from boardwright.operators import board
+from boardwright.api import INDEXED, Engine, stored_index
+from boardwright.operators import board, dense, order
 from boardwright.plans.listings import AS_OF, LATEST, hits_sql, jobs, key_sql, tier_sql
 from boardwright.plans.retrieval import _D
 from boardwright.session import ensure_checkpoint_dir, table
@@ -17,8 +17,10 @@ from boardwright.streaming.imports import import_snapshots
 DOC = {"titles": ["Engineer", "Accountant"], "boosts": ["kubernetes", "sql"], "rank_down": ["phlebotomy"], "limit": 100}
 
 
-def _engine(spark, sf):
-    return Engine(jobs(spark, sf), as_of=F.to_date(F.lit(AS_OF)), stemmed=False)
+def _engine(spark, sf, **kw):
+    """Over the index that stands in the shared folder for this state of the table; the first search writes it."""
+    index = stored_index(spark, jobs(spark, sf, ["url", *INDEXED]), f"{sf}/jobs.parquet", ensure_checkpoint_dir(spark), stemmed=False)
+    return Engine(jobs(spark, sf), as_of=F.to_date(F.lit(AS_OF)), stemmed=False, index=index, **kw)
 
 
 def board_delivered(spark, sf):
@@ -29,6 +31,16 @@ def board_facets(spark, sf):
     return _engine(spark, sf).score(DOC).facets
 
 
+def board_candidates(spark, sf):
+    """Lexical and dense arms of one search, fused. The n-th listing by url has vector n; every vector with an id divisible
+    by 50 is a query vector."""
+    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    at = order.numbered(jobs(spark, sf, ["url"]), ["url"], "vec_id")
+    engine = _engine(spark, sf, vectors=at.join(vectors, "vec_id").select("url", "embedding"))
+    probes = dense.probes_from(vectors, "vec_id", 50).select(F.col("vec_id").alias("probe_id"), F.col("embedding").alias("probe"))
+    return engine.candidates({"titles": DOC["titles"], "remote_only": True}, probes, 50).select("url", F.round("rrf", 9).alias("rrf"))
+
+
 def search_loose(spark, sf):
     return _engine(spark, sf).search(["Accountant"], remote_only=True, salary_floor=60_000).select("url")
 
@@ -73,7 +85,7 @@ def stream_import(spark, sf):
     return spark.read.parquet(f"{root}/store").select("url", "title")
 
 
-QUERIES = {f.__name__: f for f in (board_delivered, board_facets, search_loose, pool_stats, partition_subset, csv_roundtrip, log_lines, stream_import)}
+QUERIES = {f.__name__: f for f in (board_delivered, board_facets, board_candidates, search_loose, pool_stats, partition_subset, csv_roundtrip, log_lines, stream_import)}
 
 _RANKED = _D + """, q(w) AS (VALUES ('engineer'), ('accountant')), f AS (SELECT url, w, len, len(list_filter(t, lambda x: x = w)) AS tf FROM d, q), n AS (SELECT w, count(*) AS n FROM f WHERE tf > 0 GROUP BY w),
 i AS (SELECT w, CASE WHEN ln((docs - n + 0.5) / (n + 0.5)) > 0 THEN ln((docs - n + 0.5) / (n + 0.5)) ELSE 1e-6 END AS idf, mean FROM n, av), sc AS (SELECT url, sum(idf * (8.0 * tf) * 2.2 / (8.0 * tf + 1.2 * (0.25 + 0.75 * len / mean))) AS score FROM f JOIN i USING (w) WHERE tf > 0 {0} GROUP BY url),
@@ -90,6 +102,18 @@ _SERVABLE = "upper(trim(coalesce(salary_currency, ''))) IN ('', 'USD') AND upper
 ORACLES = {
     "board_delivered": f"{_BOARD} SELECT url, CAST(points AS INTEGER) AS points FROM top",
     "board_facets": f"{_BOARD} SELECT facet, value, count(*) AS n FROM ({' UNION ALL '.join(f'''SELECT '{f}' AS facet, CAST({f} AS VARCHAR) AS value FROM top''' for f in ('category', 'employment_type', 'remote', 'seniority', 'salary_band', 'state'))} UNION ALL SELECT 'apply_via', CASE WHEN direct_apply THEN 'employer' WHEN NOT direct_apply THEN 'aggregator' ELSE '' END FROM top) WHERE value <> '' GROUP BY ALL",
+    "board_candidates": f"""{_RANKED.replace('{0}', '')}, g AS (SELECT pool.*, rank, {key_sql('company')} AS ck, {key_sql('title')} AS k1 FROM rk JOIN pool USING (url) WHERE remote = 'remote'),
+gk AS (SELECT *, CASE WHEN ck = '' AND k1 = '' THEN 'url:' || url ELSE ck || '|' || k1 END AS gk FROM g),
+dd AS (SELECT url, min(rank) OVER (PARTITION BY gk) AS slot, row_number() OVER (PARTITION BY gk ORDER BY length(coalesce(body, '')) DESC, rank) AS rn FROM gk),
+lex AS (SELECT url, row_number() OVER (ORDER BY slot, url) - 1 AS rank0 FROM dd WHERE rn = 1),
+num AS (SELECT url, remote, row_number() OVER (ORDER BY url) - 1 AS vec_id FROM pool), vec AS (SELECT url, vec_id AS id, embedding::DOUBLE[] AS e FROM num JOIN embeddings USING (vec_id) WHERE remote = 'remote'),
+pr AS (SELECT vec_id AS probe, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 = 0),
+sim AS (SELECT probe, url, id, row_number() OVER (PARTITION BY probe ORDER BY round(list_cosine_similarity(e, q), 9) DESC, id) - 1 AS rank0 FROM vec, pr),
+den0 AS (SELECT url, id, sum(1.0::DOUBLE / (60 + rank0)) AS rrf FROM sim WHERE rank0 < 200 GROUP BY url, id), den1 AS (SELECT * FROM den0 ORDER BY round(rrf, 12) DESC, id LIMIT 200),
+den AS (SELECT url, row_number() OVER (ORDER BY round(rrf, 12) DESC, url) - 1 AS rank0 FROM den1),
+b AS (SELECT url, sum(1.0::DOUBLE / (60 + rank0)) AS rrf FROM (SELECT * FROM lex UNION ALL SELECT * FROM den) GROUP BY url),
+c AS (SELECT url, rrf, row_number() OVER (PARTITION BY coalesce(nullif(lower(trim(company)), ''), url) ORDER BY round(rrf, 12) DESC, url) AS rn FROM b JOIN pool USING (url))
+SELECT url, round(rrf, 9) AS rrf FROM c WHERE rn <= 3 ORDER BY round(rrf, 12) DESC, url LIMIT 50""",
     "search_loose": f"{_RANKED.replace('{0}', '''AND w = 'accountant' ''')} SELECT url FROM rk JOIN pool USING (url) WHERE coalesce(remote, '') NOT IN ('onsite', 'hybrid') AND coalesce({_PAY}, 60000) >= 60000 ORDER BY rank LIMIT 40",
     "pool_stats": f"{W} SELECT count(*) AS pool, max(posted) AS newest_posted, epoch_us(max(last_seen)) AS last_us, count(DISTINCT company) AS companies FROM pool",
     "partition_subset": f"{W} SELECT source, count(*) AS n FROM pool WHERE source IN ('rolewire', 'werkpfad') GROUP BY source",

@@ -44,6 +44,19 @@ def index_reconcile(spark, sf):
     return lexical.postings(df, "url", "title").agg(F.countDistinct("doc").alias("indexed")).crossJoin(df.agg(F.count_if(F.col("title").rlike(r"[\p{L}\p{N}]")).alias("stored")))
 
 
+def index_upkeep(spark, sf):
+    """(term, titles) of an index kept up: built over the listings of 2025, then told of all rows seen since."""
+    df = table(spark, sf, "jobs").select("url", "title", "location", "body", "last_seen", "fetched_at")
+    at = F.to_timestamp(F.lit("2026-01-01"))
+    old = pool.latest(df.where(F.col("last_seen") < at), "url", ["last_seen", "fetched_at"])
+    new = pool.latest(df.where(F.col("last_seen") >= at), "url", ["last_seen", "fetched_at"])
+    cols = ["title", "location", "body"]
+    index, totals = lexical.build_index(old, "url", "title", cols)
+    index, totals = lexical.update_index(index, totals, old.join(new.select("url"), "url", "left_semi"), new, "url", "title", cols)
+    terms = index.groupBy("term").agg(F.count("*").alias("titles"), F.sum("length").cast("bigint").alias("lengths"))
+    return terms.unionByName(totals.select(F.lit("*").alias("term"), F.col("docs").alias("titles"), F.col("tokens").cast("bigint").alias("lengths")))
+
+
 def _near(spark, sf, depth=dense.PROBE_DEPTH):
     v = table(spark, sf, "embeddings")
     return dense.top_per_probe(v, "vec_id", "embedding", dense.probes_from(v, "vec_id", EVERY), "vec_id", "embedding", depth)
@@ -85,7 +98,7 @@ def vector_sync(spark, sf):
     return pool.sync_plan(now, old, "url", "cid").groupBy("action").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (bm25_titles, bm25_stemmed, near_matches, match_count, index_reconcile, knn_per_probe, rrf_probes, hybrid_rrf, content_ids, vector_sync)}
+QUERIES = {f.__name__: f for f in (bm25_titles, bm25_stemmed, near_matches, match_count, index_reconcile, index_upkeep, knn_per_probe, rrf_probes, hybrid_rrf, content_ids, vector_sync)}
 
 _TOK = "regexp_extract_all(lower(strip_accents(coalesce({0}, ''))), '[\\p{{L}}\\p{{N}}]+')"
 _D = f"WITH pool AS {LATEST}, d AS (SELECT url, {_TOK.format('title')} AS t, len({_TOK.format('title')}) + len({_TOK.format('location')}) + len({_TOK.format('body')}) AS len FROM pool), av AS (SELECT count(*) AS docs, avg(len) AS mean FROM d)"
@@ -108,6 +121,7 @@ ORACLES = {
     "near_matches": f"{_D} SELECT DISTINCT url, CAST(clause AS INTEGER) AS clause FROM ({_near_sql('senior', 'manager', 0)} UNION ALL {_near_sql('software', 'engineer', 1)})",
     "match_count": f"{_D} SELECT count(*) AS n FROM d WHERE list_has_any(t, ['engineer', 'accountant', 'nurse'])",
     "index_reconcile": f"{_D} SELECT count(*) FILTER (len(t) > 0) AS indexed, (SELECT count(*) FROM pool WHERE regexp_matches(title, '[\\p{{L}}\\p{{N}}]')) AS stored FROM d",
+    "index_upkeep": f"{_D} SELECT term, count(*) AS titles, CAST(sum(len) AS BIGINT) AS lengths FROM (SELECT DISTINCT url, len, unnest(t) AS term FROM d) GROUP BY term UNION ALL SELECT '*', count(*), CAST(sum(len) AS BIGINT) FROM d",
     "knn_per_probe": f"{_V} SELECT probe, id, round(sim, 5) AS sim, CAST(rank0 AS INTEGER) AS rank0 FROM k",
     "rrf_probes": f"{_V} SELECT id, round(rrf, 9) AS rrf FROM fused ORDER BY round(rrf, 12) DESC, id LIMIT 40",
     "hybrid_rrf": f"""{_V}, h AS (SELECT doc_id, board, {_TOK.format('text')} AS t FROM documents), m AS (SELECT count(*) AS docs, avg(len(t)) AS mean FROM h),
