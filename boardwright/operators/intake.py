@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boardwright.functions import vocab as V
+from boardwright.functions.surface import sorted_set
 from boardwright.functions.text import text
 from boardwright.operators.pool import BODY_CAP
 from boardwright.schema import JOBS, RAW
@@ -63,9 +64,27 @@ def normalise(raw: DataFrame, now: Column) -> DataFrame:
     return raw.select(*cols)
 
 
-def union_sources(sources: Mapping[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+def snapshot_meta(raw: DataFrame, admitted: Column, errors: DataFrame | None = None, most: int = 5) -> DataFrame:
+    """One row on a snapshot: n, servable (rows that intake admits), the sources that sent rows, in order, and of `errors`
+    (source, error) the first few with how many more there are."""
+    one = raw.agg(F.count("*").alias("n"), F.count_if(admitted).alias("servable"), sorted_set(F.collect_set("source")).alias("sources"))
+    if errors is None:
+        return one.withColumn("errors", F.array().cast("array<string>"))
+    said = errors.select(F.concat_ws(": ", "source", "error").alias("e"))
+    some = said.orderBy("e").limit(most).agg(F.array_sort(F.collect_list("e")).alias("some"))
+    left = said.agg(F.greatest(F.count("*") - most, F.lit(0)).alias("left"))
+    more = F.when(F.col("left") > 0, F.concat("some", F.array(F.format_string("… and %d more", F.col("left"))))).otherwise(F.col("some"))
+    return one.crossJoin(some).crossJoin(left).select("n", "servable", "sources", more.alias("errors"))
+
+
+def union_sources(sources: Mapping[str, DataFrame | Exception]) -> tuple[DataFrame, DataFrame]:
     """(rows, report): the union of what sources sent, each row with its source, and (source, n, why) for all of them:
-    a source without rows is reported as empty."""
+    a source without rows is reported as empty. A source that failed comes as its exception: the others go on, and the report
+    says quota, no_key or error with its kind."""
+    failed = {n: e for n, e in sources.items() if isinstance(e, Exception)}
+    sources = {n: df for n, df in sources.items() if n not in failed}
+    if not sources:
+        raise ValueError("every source failed: " + ", ".join(failed))
     rows = None
     for name, df in sources.items():
         part = df.withColumn("source", F.lit(name))
@@ -74,9 +93,19 @@ def union_sources(sources: Mapping[str, DataFrame]) -> tuple[DataFrame, DataFram
     asked = spark.createDataFrame([(n,) for n in sources], "source string")
     counts = rows.groupBy("source").agg(F.count("*").alias("n"))
     report = asked.join(counts, "source", "left").select("source", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n").isNull(), "empty").otherwise("").alias("why"))
+    if failed:
+        report = report.unionByName(spark.createDataFrame([(n, 0, why_failed(e)) for n, e in failed.items()], "source string, n bigint, why string"))
     return rows, report
 
 
+def why_failed(error: Exception) -> str:
+    """quota, no_key or error with its kind, by what a failure says."""
+    said = str(error).lower()
+    if any(w in said for w in ("quota", "run out of searches", "429", "limit")):
+        return "quota"
+    return "no_key" if "key" in said and any(w in said for w in ("missing", "no ", "invalid", "unset")) else f"error:{type(error).__name__}"
+
+
 def with_fallback(found: DataFrame, wider) -> DataFrame:
     """The rows found, or those of a wider search where there are none."""
     return wider() if found.isEmpty() else found

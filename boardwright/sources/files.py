@@ -32,6 +32,44 @@ def read_meta(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(f"meta struct<{schema}>").json(path, multiLine=True).select("meta.*")
 
 
+_META: dict[tuple, list] = {}
+
+
+def cached_meta(spark: SparkSession, path: str, schema: str) -> dict | None:
+    """The `meta` of a snapshot as a dict, read again only when the file has changed; the last 64 files are remembered."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    state = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(hadoop)
+    key = (path, state.getModificationTime(), state.getLen(), schema)
+    if key not in _META:
+        if len(_META) >= 64:
+            _META.pop(next(iter(_META)))
+        _META[key] = read_meta(spark, path, schema).take(1)
+    return _META[key][0].asDict(recursive=True) if _META[key] else None
+
+
+def read_files(spark: SparkSession, paths: list[str], schema: T.StructType | None = None) -> DataFrame:
+    """A table from an explicit list of Parquet files; an empty list raises, as it would read nothing by mistake."""
+    if not paths:
+        raise SnapshotError("no files to read")
+    return (spark.read.schema(schema) if schema else spark.read).parquet(*paths)
+
+
+def read_cases(spark: SparkSession, folder: str, schema: str, limit: int | None = None, ids: list[str] | None = None) -> DataFrame:
+    """Cases from a folder of JSON documents with an `id`, in its order; the named ones, or the first `limit`."""
+    df = spark.read.schema(schema).json(folder, multiLine=True, mode="FAILFAST")
+    df = df.where(F.col("id").isin(*ids)) if ids is not None else df
+    df = df.orderBy("id")
+    return df.limit(limit) if limit is not None else df
+
+
+def recent_lines(spark: SparkSession, path: str, schema: str, at: str, since: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(lines since a time, one row with the number of unreadable lines) of a log."""
+    rows = read_lines(spark, path, schema)
+    good = rows.where("_corrupt_record IS NULL").drop("_corrupt_record")
+    bad = spark.read.text(path).where("trim(value) <> ''").agg(F.count("*").alias("lines")).crossJoin(rows.select(*[c for c in rows.columns if c != "_corrupt_record"], "_corrupt_record").where("_corrupt_record IS NULL").agg(F.count(at).alias("good"))).select((F.col("lines") - F.col("good")).alias("unreadable"))
+    return (good.where(F.col(at) >= F.lit(since)) if since is not None else good), bad
+
+
 def read_lines(spark: SparkSession, path: str | list[str], schema: T.StructType | str, strict: bool = False) -> DataFrame:
     """JSON lines, plain or compressed (told by the suffix); bad lines raise if strict, else stay in _corrupt_record."""
     if strict:
@@ -91,8 +129,22 @@ def current_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{version}")
 
 
-def append_log(df: DataFrame, path: str, most_bytes: int = 4096, trim: str = "top") -> None:
-    """Append JSON lines of at most most_bytes: the list `trim` loses items from its end until a line fits, else the line drops."""
+def rotate_log(spark: SparkSession, path: str, most_bytes: int = 32 << 20) -> bool:
+    """Move a log of at least most_bytes aside, over the one moved before; whether it was moved. A log that isn't there stays so."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(hadoop(path)) or fs.getContentSummary(hadoop(path)).getLength() < most_bytes:
+        return False
+    fs.delete(hadoop(f"{path}.1"), True)
+    if not fs.rename(hadoop(path), hadoop(f"{path}.1")):
+        raise OSError(f"{path}: the log could not be moved")
+    return True
+
+
+def append_log(df: DataFrame, path: str, most_bytes: int = 4096, trim: str = "top", rotate_bytes: int = 32 << 20) -> None:
+    """Append JSON lines of at most most_bytes: the list `trim` loses items from its end until a line fits, else the line drops.
+    A log of rotate_bytes is moved aside first."""
+    rotate_log(df.sparkSession, path, rotate_bytes)
     others = [c for c in df.columns if c != trim]
     line = lambda n: F.to_json(F.struct(*others, F.slice(trim, F.lit(1), n).alias(trim)))
     fits = F.filter(F.sequence(F.lit(0), F.size(trim)), lambda n: F.octet_length(line(n)) < most_bytes)
@@ -116,3 +168,8 @@ def read_list(spark: SparkSession, path: str, field: str, item: str) -> DataFram
     if not raw or not (raw[0][0] or "").lstrip().startswith("["):
         raise SnapshotError(f"{path}: no array {field}")
     return spark.read.schema(f"`{field}` array<struct<{item}>>").json(path, multiLine=True).select(F.inline(F.filter(field, lambda x: x.isNotNull())))
+
+
+def write_report(df: DataFrame, path: str) -> None:
+    """A result as JSON lines in place of what stood there."""
+    df.write.mode("overwrite").json(path)
