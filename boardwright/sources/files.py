@@ -113,7 +113,7 @@ def publish_table(df: DataFrame, path: str) -> str:
     df.write.parquet(f"{path}/{version}")
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(jvm.org.apache.hadoop.fs.Path(path).toUri(), conf)
-    beside, pointer = (jvm.org.apache.hadoop.fs.Path(f"{path}/{n}") for n in (f"_current.{version}", "_current"))
+    beside, pointer = (jvm.org.apache.hadoop.fs.Path(f"{path}/{n}") for n in (f"current.{version}", "current"))
     out = beside.getFileSystem(conf).create(beside, True)
     out.write(bytearray(version.encode()))
     out.close()
@@ -125,7 +125,7 @@ def publish_table(df: DataFrame, path: str) -> str:
 
 def current_table(spark: SparkSession, path: str) -> DataFrame:
     """The version that publish_table pointed to last."""
-    version = spark.read.text(f"{path}/_current", wholetext=True).first()[0].strip()
+    version = spark.read.text(f"{path}/current", wholetext=True).first()[0].strip()
     return spark.read.parquet(f"{path}/{version}")
 
 
