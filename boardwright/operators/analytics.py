@@ -101,6 +101,12 @@ def mine_boards(df: DataFrame, url: str) -> DataFrame:
     return df.where(F.col(url).isNotNull()).groupBy(host.alias("host"), slug.alias("slug")).agg(F.min(url).alias("url")).where("host IS NOT NULL").withColumn("junk", slug_junk(F.col("slug")))
 
 
+def asked_for(counts: DataFrame, key: str, asked: Sequence[str]) -> DataFrame:
+    """(key, n, failed) of every key that was asked for: one that gave nothing failed."""
+    want = counts.sparkSession.createDataFrame([(k,) for k in asked], f"`{key}` string")
+    return want.join(counts.groupBy(key).agg(F.count("*").alias("n")), key, "left").select(key, F.coalesce("n", F.lit(0)).alias("n"), F.col("n").isNull().alias("failed"))
+
+
 def interleave(df: DataFrame, group: str, order: Sequence[str], budget: int) -> DataFrame:
     """Round robin over groups: the first of each, then the second of each, up to a budget."""
     w = Window.partitionBy(group).orderBy(*order)
@@ -113,16 +119,28 @@ def concentration(df: DataFrame, group: str) -> DataFrame:
     return counts.agg(F.count("*").alias("groups"), F.sum("c").alias("rows"), (F.max("c") / F.sum("c")).alias("top_share"))
 
 
-def asof_join(left: DataFrame, right: DataFrame, key: str, at: str, value: str) -> DataFrame:
-    """left with the latest `value` of `right` at or before each row's time: one shuffle and a running window."""
-    rows = left.withColumn("__side", F.lit(1)).withColumn("__v", F.lit(None).cast(dict(right.dtypes)[value]))
-    add = right.select(key, at, F.col(value).alias("__v"))
+def asof_join(left: DataFrame, right: DataFrame, key: str, at: str, value: str, bucket: str = "day", width: float = 1_000) -> DataFrame:
+    """left with the latest `value` of `right` at or before each row's time, of values at one time the largest; NULL values of
+    `right` don't count.
+
+    A key's rows are cut into buckets of time (of `width`, where times are numbers): the running window sees one bucket of a key, and what earlier buckets end
+    with comes from one row a bucket, so that a key with a third of all rows isn't one task's.
+    """
+    kind = dict(right.dtypes)[value]
+    slot = F.date_trunc(bucket, F.col(at)) if dict(left.dtypes)[at] in ("timestamp", "timestamp_ntz", "date") else F.floor(F.col(at) / width)
+    rows = left.withColumn("__side", F.lit(1)).withColumn("__v", F.lit(None).cast(kind))
+    add = right.where(F.col(value).isNotNull()).select(key, at, F.col(value).alias("__v"))
     for c in left.columns:
         if c not in (key, at):
             add = add.withColumn(c, F.lit(None).cast(dict(left.dtypes)[c]))
-    w = Window.partitionBy(key).orderBy(at, "__side").rowsBetween(Window.unboundedPreceding, 0)
-    both = rows.unionByName(add.withColumn("__side", F.lit(0)))
-    return both.withColumn(value, F.last("__v", ignorenulls=True).over(w)).where("__side = 1").drop("__side", "__v")
+    both = rows.unionByName(add.withColumn("__side", F.lit(0))).withColumn("__b", slot)
+    ends = both.groupBy(F.col(key).alias("__k"), F.col("__b").alias("__bb")).agg(F.max_by("__v", F.when(F.col("__side") == 0, F.struct(at, "__v"))).alias("__end"))
+    before = Window.partitionBy("__k").orderBy("__bb").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("__k", "__bb", F.last("__end", ignorenulls=True).over(before).alias("__carried"))
+    w = Window.partitionBy(key, "__b").orderBy(at, "__side", "__v").rowsBetween(Window.unboundedPreceding, 0)
+    run = both.withColumn("__now", F.last("__v", ignorenulls=True).over(w)).where("__side = 1")
+    met = run.join(ends, F.col(key).eqNullSafe(F.col("__k")) & F.col("__b").eqNullSafe(F.col("__bb")), "left")
+    return met.withColumn(value, F.coalesce("__now", "__carried")).select(*left.columns, value)
 
 
 def shares(df: DataFrame, group: str) -> DataFrame:

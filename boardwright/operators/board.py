@@ -168,6 +168,18 @@ def passes_facets(chosen: dict[str, Sequence[str]]) -> Column:
     return reduce(lambda a, b: a & b, tests, F.lit(True))
 
 
+def shown_rows(scored: DataFrame, seen: DataFrame, fit: int = 0, agencies: bool = False, floor: float | None = None, chosen: dict[str, Sequence[str]] | None = None) -> DataFrame:
+    """The rows of a board that its reader sees: not among `seen` urls (applied or dismissed), of at least `fit` points,
+    without staffing agencies in title and company unless asked, pay not stated under the floor, and the chosen facets."""
+    rows = scored.where(text(F.col("url")) != "").join(seen.select("url").distinct(), "url", "left_anti").where(F.col("points") >= fit)
+    if not agencies:
+        head = F.lower(F.concat_ws(" ", text(F.col("title")), text(F.col("company"))))
+        rows = rows.where(~reduce(lambda a, b: a | b, [head.rlike(QUALIFIED[k]) for k in ("agency", "recruiting", "recruiter", "staffing")]))
+    if floor is not None:
+        rows = rows.where(F.col("salary_min").isNull() | (F.col("salary_min") <= 0) | (F.col("salary_min") >= floor))
+    return rows.where(passes_facets(chosen)) if chosen else rows
+
+
 def exemptions(df: DataFrame, chosen: dict[str, Sequence[str]]) -> DataFrame:
     """(facet, n): rows that pass a chosen facet only because they have no label."""
     kept = df.where(passes_facets(chosen))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boardwright.functions.text import text
+from boardwright.operators.order import numbered
 
 BODY_CAP = 8000
 
@@ -74,11 +75,17 @@ def fresh_keys(fetches: DataFrame, key: str, at: str, now: Column, hours: int =
     return fetches.groupBy(key).agg(F.max(at).alias("fetched_at")).withColumn("fresh", F.col("fetched_at") > now - F.make_dt_interval(hours=F.lit(hours)))
 
 
-def shed(requests: DataFrame, at: str, order: Sequence[str], ceiling: int, zone: str = "America/New_York") -> DataFrame:
-    """Requests with their number in the zone's calendar day and whether the day's ceiling sheds them."""
+def shed(requests: DataFrame, at: str, order: Sequence[str], ceiling: int, zone: str = "America/New_York", spent: Column | None = None) -> DataFrame:
+    """Requests with their number in the zone's calendar day, whether the day's ceiling sheds them, and the reason to serve
+    them from the store: the ceiling, else `spent`, a source's monthly quota that is used up.
+
+    All requests are numbered by a range sort and a day counts on from its first number, so a busy day isn't one task's.
+    """
     day = F.to_date(F.from_utc_timestamp(F.col(at), zone))
-    w = Window.partitionBy("day").orderBy(at, *order)
-    return requests.withColumn("day", day).withColumn("nth", F.row_number().over(w)).withColumn("shed", F.col("nth") > ceiling)
+    rows = numbered(requests.withColumn("day", day), ["day", at, *order], "__i", 1)
+    first = rows.groupBy(F.col("day").alias("__day")).agg(F.min("__i").alias("__first"))
+    nth = (F.col("__i") - F.col("__first") + 1).cast("int")
+    return rows.join(first, F.col("day").eqNullSafe(F.col("__day"))).withColumn("nth", nth).withColumn("shed", F.col("nth") > ceiling).withColumn("reason", F.when(F.col("shed"), "live_search_limit").when(F.lit(False) if spent is None else spent, "monthly_source_limit")).drop("__i", "__first", "__day")
 
 
 def sync_plan(pool: DataFrame, vectors: DataFrame, key: str, content_id: str) -> DataFrame:

@@ -30,7 +30,9 @@ def _board(df: DataFrame) -> list[Column]:
 
 
 def unknown_boards(mined: DataFrame, known: Sequence[DataFrame]) -> DataFrame:
-    """Mined boards that none of the known tables has, letter case aside, each once (the smallest spelling)."""
+    """Mined boards that none of the known tables has, letter case aside, each once (the smallest spelling); rows without a
+    provider or a slug are no boards."""
+    mined = mined.where(F.col("ats").isNotNull() & (text(F.col("slug")) != ""))
     seen = None
     for k in known:
         part = k.select(*_board(k)).distinct()

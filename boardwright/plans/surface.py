@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from boardwright.functions import surface as U
 from boardwright.functions import text as X
-from boardwright.operators import board, dense, gates, intake, pool, stores, universe
-from boardwright.plans.listings import _SCORED, AS_OF, LATEST, POLLED, _board, hits_sql, jobs, key_sql, tier_sql
+from boardwright.operators import analytics, board, dense, gates, intake, pool, stores, universe
+from boardwright.plans.listings import _SCORED, AS_OF, LATEST, POLLED, QUERY, _board, hits_sql, jobs, key_sql, tier_sql
 from boardwright.plans.operations import _SLUG, _slug
 from boardwright.session import ensure_checkpoint_dir, table
 from boardwright.sources import files
@@ -72,6 +72,17 @@ def _log(spark, sf):
     return counts.join(tops, "company").select("company", "delivered", "score_max", "top", (n % 5 == 0).alias("probe"), F.when(n % 7 == 0, "fetch_error").alias("degraded"))
 
 
+def shown_board(spark, sf):
+    """What of the scored pool a reader sees who has applied to every listing of the first delivery."""
+    scored = board.scoreboard(board.eligible(jobs(spark, sf, ["url", "title", "title_root", "company", "body", "remote", "posted", "salary_min", "category"]), QUERY, F.to_date(F.lit(AS_OF))), QUERY)
+    seen = table(spark, sf, "job_snapshots").where("snapshot_no = 1").select("url")
+    return board.shown_rows(scored, seen, 14, floor=40_000, chosen={"category": ["Sales", "Design", "Software Engineering"]}).select("url", "points")
+
+
+def asked_providers(spark, sf):
+    return analytics.asked_for(_boards(spark, sf), "ats", ["leafboard", "workvane", "nosuchboard"])
+
+
 def search_rungs(spark, sf):
     return gates.rung_histogram(gates.demand(_log(spark, sf))).select("rung", "n", F.round("share", 6).alias("share"))
 
@@ -254,7 +265,7 @@ def file_list(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        location_words, shown_fields, fit_bands, settings_fragments, settings_checked, scalar_scores, unsupported_tags, search_rungs, search_failures, board_notices, completion_rates, release_gates, upkeep_gates, retired_backups, trial_funnel, tag_groups, meta_merge, profile_points, persona_pairs, provider_boards,
+        location_words, shown_fields, fit_bands, settings_fragments, settings_checked, scalar_scores, unsupported_tags, shown_board, asked_providers, search_rungs, search_failures, board_notices, completion_rates, release_gates, upkeep_gates, retired_backups, trial_funnel, tag_groups, meta_merge, profile_points, persona_pairs, provider_boards,
         unknown_boards, matched_names, names_still_open, resolved_batch, crawled_boards, board_names, verify_then_evict, vectors_applied, seen_sets, snapshot_report, log_since, file_list,
     )
 }
@@ -299,6 +310,9 @@ CASE WHEN salary_min > 0 THEN salary_min WHEN f > 0 THEN f END AS least FROM c""
     "scalar_scores": f"{W} SELECT url, CASE WHEN {_PLACE('concat_ws(chr(44) || chr(32), city, state)')} = {_PLACE('location')} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS place, CASE WHEN remote = 'remote' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS remote, CASE WHEN trunc(salary_min) = 50000 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS number FROM pool",
     "unsupported_tags": f"""{W}, a AS (SELECT url, tags, regexp_replace(lower(coalesce(body, '')), '[^a-z0-9 ]+', ' ', 'g') AS c FROM pool WHERE len(tags) > 0)
 SELECT url, array_to_string(list_filter(tags, lambda x: len(list_filter(string_split_regex(lower(x), '[^a-z0-9]+'), lambda w: w <> '' AND CASE WHEN length(w) < 3 THEN contains(' ' || c || ' ', ' ' || w || ' ') ELSE contains(c, left(w, 4)) END)) = 0), '|') AS unsupported FROM a""",
+    "shown_board": f"""{_SCORED} SELECT t.url AS url, points FROM t JOIN pool USING (url) WHERE points >= 14 AND t.url NOT IN (SELECT url FROM job_snapshots WHERE snapshot_no = 1 AND url IS NOT NULL) AND (salary_min IS NULL OR salary_min <= 0 OR salary_min >= 40000) AND (coalesce(category, '') = '' OR category IN ('Sales', 'Design', 'Software Engineering'))
+AND NOT regexp_matches(lower(coalesce(title, '') || ' ' || coalesce(company, '')), '\\b(staffing|recruiting|recruitment|employment|temp|talent)[\\s-]+agenc(y|ies)\\b|\\brecruiting[\\s-]+(agency|agencies|firm|company)\\b|\\b(third[\\s-]party|external|agency)[\\s-]+recruiting\\b|\\b(agency|third[\\s-]party|external|contract)[\\s-]+recruiter\\b|\\bstaffing[\\s-]+(agency|agencies|firm|company|solutions|services|partner)\\b')""",
+    "asked_providers": "SELECT v.ats AS ats, count(c.slug) AS n, count(c.slug) = 0 AS failed FROM (VALUES ('leafboard'), ('workvane'), ('nosuchboard')) AS v(ats) LEFT JOIN companies c ON c.ats = v.ats AND c.slug IS NOT NULL GROUP BY v.ats",
     "search_rungs": f"{_LOGGED}, d AS (SELECT tier AS rung, count(*) AS n FROM log WHERE NOT probe GROUP BY tier) SELECT rung, n, round(n / sum(n) OVER (), 6) AS share FROM d",
     "search_failures": f"{_LOGGED}, d AS (SELECT count(*) AS searches, count(*) FILTER (delivered = 0) AS empty, count(*) FILTER (delivered > 0 AND score_max < 55) AS weak, count(*) FILTER (degraded) AS degraded FROM log WHERE NOT probe) SELECT *, round(empty / searches, 6) AS empty_share, round(weak / searches, 6) AS weak_share, round(degraded / searches, 6) AS degraded_share FROM d",
     "board_notices": f"{_LOGGED} SELECT CASE WHEN length(company) % 4 = 0 THEN 'Note: a; b. ' ELSE '' END || CASE WHEN degraded THEN 'degraded' WHEN delivered < 3 THEN 'filling' ELSE '' END AS notice, count(*) AS n FROM log GROUP BY 1",
