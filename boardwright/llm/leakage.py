@@ -255,7 +255,7 @@ def leaked_passages(documents: DataFrame, benchmark: DataFrame, least_words: int
     salts = 8
     best = found.groupBy("run", "item_id").agg(F.max(F.struct("match_words", (-F.col("at")).alias("back"))).alias("m")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     held = passed.groupBy("run", "doc_id").agg(F.min("place").alias("place")).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-    met = held.join(best, ["run", "salt"]).select("doc_id", "item_id", F.struct(F.col("m.match_words").alias("match_words"), (F.col("m.back") - F.col("place")).alias("back")).alias("m"))
+    met = held.join(best.hint("merge"), ["run", "salt"]).select("doc_id", "item_id", F.struct(F.col("m.match_words").alias("match_words"), (F.col("m.back") - F.col("place")).alias("back")).alias("m"))
     return met.groupBy("doc_id", "item_id").agg(F.max("m").alias("m")).select("doc_id", "item_id", "m.match_words", (-F.col("m.back")).alias("word_position"))
 
 
