@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from boardwright.functions.text import norm_key, text
-from boardwright.functions.vocab import STATES, inverted
+from boardwright.functions.vocab import STATES
 
 #: How much of a location is read, and shown.
 LOCATION_CHARS, SHOWN_CHARS = 120, 60
@@ -145,7 +145,7 @@ def valid_settings(doc: Column) -> Column:
 
 def _words_by_code(c: Column) -> Column:
     """Words of a place with the names of states as their codes."""
-    codes = F.create_map(*[F.lit(x) for k, v in inverted(STATES).items() for x in (k, v.lower())])
+    codes = F.create_map(*[F.lit(x) for k, v in STATES.items() for x in (k, v.lower())])
     words = F.split(F.trim(F.regexp_replace(F.lower(text(c)), r"[^a-z0-9 ]+", " ")), r"\s+")
     return F.transform(words, lambda w: F.coalesce(F.try_element_at(codes, w), w))
 

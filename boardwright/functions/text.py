@@ -54,7 +54,10 @@ def has_term(term: str, lowered: Column) -> Column:
 
 
 def html_plain(c: Column) -> Column:
-    """Markup out, block ends as line breaks, nine entities, bold and heading marks removed, blanks collapsed."""
+    """Markup out, block ends as line breaks, nine entities, bold and heading marks removed, blanks collapsed.
+
+    Fixed values: the patterns, which decide what plain text is, and their order.
+    """
     t = F.regexp_replace(text(c), r"(?is)<(script|style)[^>]*>.*?</\1>", " ")
     t = F.regexp_replace(t, r"(?i)</(li|p|div|h[1-6]|tr|ul|ol)\s*>", "\n")
     t = F.regexp_replace(F.regexp_replace(t, r"(?i)<br\s*/?>", "\n"), r"<[^>]+>", " ")

@@ -57,7 +57,7 @@ _NOPLACE = "'', 'remote', 'remote only', 'remote-only', 'remote us', 'remote (us
 _F1 = "CASE WHEN len(p) = 0 AND len(g) = 0 THEN 1.0::DOUBLE WHEN len(list_intersect(p, g)) = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(p, g)) / (len(p) + len(g)) END"
 ORACLES = {
     "normalised_listings": f"""{W}, a AS (SELECT *, list_transform(regexp_extract_all(coalesce(salary, ''), '{_KFIG}', 1), lambda x: try_cast(replace(x, ',', '') AS DOUBLE) * 1000) AS k, list_transform(regexp_extract_all(regexp_replace(coalesce(salary, ''), '{_KFIG}', ' ', 'g'), '[\\d,]{{3,}}'), lambda x: try_cast(replace(x, ',', '') AS DOUBLE)) AS p FROM pool), b AS (SELECT *, {_BAND} AS f FROM a)
-SELECT url, coalesce(title, '') AS title, CASE WHEN remote IN ('remote', 'hybrid', 'onsite') THEN remote WHEN {_DERIVED} THEN 'remote' END AS remote, CASE WHEN remote IN ('remote', 'hybrid', 'onsite') THEN coalesce(nullif(remote_basis, ''), 'stated') WHEN {_DERIVED} THEN 'derived' END AS remote_basis, {_LOOK(V.inverted(V.CATEGORIES), _CLEAN.format('category'))} AS category, {_LOOK(V.inverted(V.SENIORITY, own=False), _CLEAN.format('seniority'))} AS seniority, {_LOOK(V.inverted(V.STATES), key_sql('state'))} AS state,
+SELECT url, coalesce(title, '') AS title, CASE WHEN remote IN ('remote', 'hybrid', 'onsite') THEN remote WHEN {_DERIVED} THEN 'remote' END AS remote, CASE WHEN remote IN ('remote', 'hybrid', 'onsite') THEN coalesce(nullif(remote_basis, ''), 'stated') WHEN {_DERIVED} THEN 'derived' END AS remote_basis, {_LOOK(V.CATEGORIES, _CLEAN.format('category'))} AS category, {_LOOK(V.SENIORITY, _CLEAN.format('seniority'))} AS seniority, {_LOOK(V.STATES, key_sql('state'))} AS state,
 CASE WHEN f IS NULL THEN '' WHEN f < 50000 THEN 'under-50k' WHEN f < 80000 THEN '50-80k' WHEN f < 120000 THEN '80-120k' WHEN f < 180000 THEN '120-180k' ELSE '180k-plus' END AS salary_band, coalesce(source, '') AS source, CAST(len(tags) AS INTEGER) AS n_tags, CAST(length(substr(coalesce(body, ''), 1, 8000)) AS INTEGER) AS body_length, epoch_us(TIMESTAMPTZ '{NOW}+00') AS first_us FROM b""",
     "source_report": f"{W} SELECT s AS source, count(url) AS n, CASE WHEN count(url) = 0 THEN 'empty' ELSE '' END AS why FROM (VALUES ('rolewire'), ('werkpfad'), ('nosuchfeed')) AS v(s) LEFT JOIN pool ON source = s GROUP BY s",
     "search_places": f"{W} SELECT lower(trim(coalesce(location, ''))) IN ({_NOPLACE}) OR trim(coalesce(location, '')) = '' AS no_place, count(*) AS n FROM pool GROUP BY 1",

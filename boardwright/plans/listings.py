@@ -283,7 +283,7 @@ ORACLES = {
     "description_bullets": f"""{W}, a AS (SELECT url, lower(trim(coalesce(title, ''))) AS t, list_transform(regexp_extract_all(regexp_replace(coalesce(body, ''), '([.!?])\\s+', '\\1' || chr(1), 'g'), '[^' || chr(1) || ']+'), lambda s: regexp_replace(trim(s), '\\s+', ' ', 'g')) AS parts FROM pool),
 b AS (SELECT url, list_filter(parts, lambda s: length(s) >= 24 AND lower(s) <> t AND NOT starts_with(lower(s), t || '.') AND NOT starts_with(lower(s), t || ' ') AND length(regexp_replace(s, '[^0-9]', '', 'g')) <= length(s) * 0.25)[1:20] AS kept FROM a)
 SELECT url, count(*) AS n, CAST(sum(length(s)) AS BIGINT) AS chars FROM b, unnest(kept) AS u(s) GROUP BY url""",
-    "vocabulary_fields": f"{W}, a AS (SELECT {_LOOK({**V.inverted(V.CATEGORIES)}, _CLEAN.format('category'))} AS category, {_LOOK(V.inverted(V.SENIORITY, own=False), _CLEAN.format('seniority'))} AS seniority, coalesce({_LOOK(V.inverted(V.EMPLOYMENT, own=False), key_sql('employment_type_raw'))}, '') AS employment, {_LOOK(V.inverted(V.STATES), key_sql('state'))} AS state, CASE WHEN direct_apply IS NULL THEN '' WHEN direct_apply THEN 'employer' ELSE 'aggregator' END AS via FROM pool) SELECT *, count(*) AS n FROM a GROUP BY ALL",
+    "vocabulary_fields": f"{W}, a AS (SELECT {_LOOK(V.CATEGORIES, _CLEAN.format('category'))} AS category, {_LOOK(V.SENIORITY, _CLEAN.format('seniority'))} AS seniority, coalesce({_LOOK(V.EMPLOYMENT, key_sql('employment_type_raw'))}, '') AS employment, {_LOOK(V.STATES, key_sql('state'))} AS state, CASE WHEN direct_apply IS NULL THEN '' WHEN direct_apply THEN 'employer' ELSE 'aggregator' END AS via FROM pool) SELECT *, count(*) AS n FROM a GROUP BY ALL",
     "salary_fields": f"""{W}, a AS (SELECT url, salary_min, upper(trim(coalesce(salary_currency, ''))) AS cur, lower(trim(coalesce(salary_period, ''))) AS per, list_transform(regexp_extract_all(coalesce(salary, ''), '{_KFIG}', 1), lambda x: try_cast(replace(x, ',', '') AS DOUBLE) * 1000) AS k, list_transform({_PLAIN.format(f"regexp_replace(coalesce(salary, ''), '{_KFIG}', ' ', 'g')")}, lambda x: try_cast(replace(x, ',', '') AS DOUBLE)) AS p FROM pool),
 b AS (SELECT url, CASE WHEN len(k) > 0 THEN list_min(list_concat(k, list_transform(p, lambda v: CASE WHEN v < 1000 THEN v * 1000 ELSE v END))) ELSE list_min(p) END AS first_figure, CASE WHEN salary_min > 0 AND cur IN ('', 'USD') THEN CASE WHEN per = '' THEN CASE WHEN salary_min >= 15000 THEN salary_min END ELSE salary_min * CASE per WHEN 'year' THEN 1 WHEN 'month' THEN 12 WHEN 'week' THEN 52 WHEN 'hour' THEN 2080 WHEN 'day' THEN 260 END END END AS yearly FROM a),
 c AS (SELECT *, coalesce(yearly, first_figure) AS f FROM b) SELECT url, first_figure, yearly, CASE WHEN f IS NULL THEN '' WHEN f < 50000 THEN 'under-50k' WHEN f < 80000 THEN '50-80k' WHEN f < 120000 THEN '80-120k' WHEN f < 180000 THEN '120-180k' ELSE '180k-plus' END AS band FROM c WHERE first_figure IS NOT NULL OR yearly IS NOT NULL""",

@@ -118,6 +118,14 @@ _SUM = """concat_ws(chr(10), concat_ws(' · ', CASE WHEN trim(title) <> '' THEN
  CASE WHEN len(tags) > 0 THEN 'Tags: ' || array_to_string(tags[1:8], ', ') END, substr({html}, 1, 1800))""".format(html=_HTML)
 ORACLES = {
     "bm25_titles": _D + _BM,
+    # the words of English titles that have the stems of engineer, accountant, registered and nurse
+    "bm25_stemmed": f"""{_D}, st AS (SELECT url, len, list_transform(t, lambda x: CASE WHEN x IN ('engineer', 'engineers', 'engineering', 'engineered', 'engine', 'engines') THEN 'engin' WHEN x IN ('accountant', 'accountants') THEN 'account' WHEN x IN ('account', 'accounts', 'accounting', 'accounted') THEN 'account' WHEN x IN ('register', 'registered', 'registering', 'registers') THEN 'regist' WHEN x IN ('nurse', 'nurses', 'nursing', 'nursed') THEN 'nurs' ELSE x END) AS t FROM d),
+df AS (SELECT w, count(*) AS n FROM st, (VALUES ('engin'), ('account'), ('regist'), ('nurs')) AS v(w) WHERE list_contains(t, w) GROUP BY w),
+i AS (SELECT w, CASE WHEN ln((docs - n + 0.5) / (n + 0.5)) > 0 THEN ln((docs - n + 0.5) / (n + 0.5)) ELSE 1e-6 END AS idf, mean FROM df, av),
+one AS (SELECT url, len, w, len(list_filter(t, lambda x: x = w)) AS tf FROM st, (VALUES ('engin'), ('account')) AS v(w)),
+two AS (SELECT url, len, x, y FROM st, unnest(range(1, len(t) + 1)) AS u(x), unnest(range(1, len(t) + 1)) AS v(y) WHERE t[x] = 'regist' AND t[y] = 'nurs' AND abs(x - y) <= 4),
+f AS (SELECT url, len, w, tf FROM one WHERE tf > 0 UNION ALL SELECT url, len, 'regist', count(DISTINCT x) FROM two GROUP BY url, len UNION ALL SELECT url, len, 'nurs', count(DISTINCT y) FROM two GROUP BY url, len)
+SELECT url, round(sum(idf * (8.0 * tf) * 2.2 / (8.0 * tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score FROM f JOIN i USING (w) GROUP BY url""",
     "near_matches": f"{_D} SELECT DISTINCT url, CAST(clause AS INTEGER) AS clause FROM ({_near_sql('senior', 'manager', 0)} UNION ALL {_near_sql('software', 'engineer', 1)})",
     "match_count": f"{_D} SELECT count(*) AS n FROM d WHERE list_has_any(t, ['engineer', 'accountant', 'nurse'])",
     "index_reconcile": f"{_D} SELECT count(*) FILTER (len(t) > 0) AS indexed, (SELECT count(*) FROM pool WHERE regexp_matches(title, '[\\p{{L}}\\p{{N}}]')) AS stored FROM d",
