@@ -51,7 +51,27 @@ _P2 = (
 _BOTH = "(SELECT * FROM jobs WHERE change_kind IS NOT NULL UNION ALL SELECT * FROM companies WHERE change_kind IS NOT NULL)"
 
 QUERIES = {"p2_found": p2_found, "p2_change_counts": p2_change_counts, "p3_found": p3_found, "p5_found": p5_found}
+_MONTHS = "jan:1 feb:2 fév:2 mar:3 mär:3 apr:4 avr:4 abr:4 may:5 mai:5 jun:6 jul:7 aug:8 ago:8 sep:9 oct:10 okt:10 nov:11 dec:12 dez:12 dic:12"
+_ZONES = "utc:0 gmt:0 z:0 est:-300 edt:-240 cst:-360 cdt:-300 mst:-420 mdt:-360 pst:-480 pdt:-420 bst:60 cet:60 cest:120 mez:60 mesz:120 ist:330 jst:540 aest:600 aedt:660"
+_MAP = lambda text: "MAP {" + ", ".join("'{}': {}".format(*p.split(":")) for p in text.split()) + "}"
+_MERIDIEM = "(\\d{1,2}:\\d{2}(?::\\d{2})?) ?([AaPp])[Mm]\\b"
+# dates, times and zones by expressions of their own; a time that occurs twice is tried an hour earlier
+_P3 = f"""WITH j AS (SELECT DISTINCT url, trim(posted) AS p, tz_name, date_order AS o FROM jobs LEFT JOIN feeds f ON lower(trim(jobs.source)) = lower(trim(f.source)) WHERE trim(coalesce(posted, '')) <> ''),
+k AS (SELECT *, regexp_extract(p, '^(\\d{{4}})[-/](\\d{{1,2}})[-/](\\d{{1,2}})([T ,].*)?$', ['y', 'm', 'd', 'r']) AS a, regexp_extract(p, '^(\\d{{4}})(\\d{{2}})(\\d{{2}})(T.*)?$', ['y', 'm', 'd', 'r']) AS b,
+ regexp_extract(p, '^(\\d{{1,2}})[-/.](\\d{{1,2}})[-/.](\\d{{4}}|\\d{{2}})( .*)?$', ['u', 'v', 'w', 'r']) AS c, regexp_extract(p, '^(\\p{{L}}+)\\.? (\\d{{1,2}}), (\\d{{4}})( .*)?$', ['m', 'd', 'y', 'r']) AS e, regexp_extract(p, '^(?:\\p{{L}}+, )?(\\d{{1,2}})\\.? (\\p{{L}}+)\\.? (\\d{{4}})([ ,].*)?$', ['d', 'm', 'y', 'r']) AS g FROM j),
+l AS (SELECT url, p, tz_name, CASE WHEN a.y <> '' THEN try_cast(a.y AS INT) WHEN b.y <> '' THEN try_cast(b.y AS INT) WHEN e.y <> '' THEN try_cast(e.y AS INT) WHEN g.y <> '' THEN try_cast(g.y AS INT) WHEN c.u <> '' THEN CASE WHEN length(c.w) = 4 THEN CASE WHEN o <> 'ymd' THEN try_cast(c.w AS INT) END WHEN o = 'ymd' THEN 2000 + try_cast(c.u AS INT) ELSE CASE WHEN try_cast(c.w AS INT) < 70 THEN 2000 ELSE 1900 END + try_cast(c.w AS INT) END END AS y,
+ CASE WHEN a.y <> '' THEN try_cast(a.m AS INT) WHEN b.y <> '' THEN try_cast(b.m AS INT) WHEN e.y <> '' THEN {_MAP(_MONTHS)}[lower(e.m[1:3])] WHEN g.y <> '' THEN {_MAP(_MONTHS)}[lower(g.m[1:3])] WHEN c.u <> '' THEN try_cast(CASE WHEN o = 'mdy' THEN c.u ELSE c.v END AS INT) END AS m,
+ CASE WHEN a.y <> '' THEN try_cast(a.d AS INT) WHEN b.y <> '' THEN try_cast(b.d AS INT) WHEN e.y <> '' THEN try_cast(e.d AS INT) WHEN g.y <> '' THEN try_cast(g.d AS INT) WHEN c.u <> '' THEN try_cast(CASE WHEN o = 'mdy' THEN c.v WHEN o = 'ymd' THEN c.w ELSE c.u END AS INT) END AS d,
+ CASE WHEN a.y <> '' THEN a.r WHEN b.y <> '' THEN b.r WHEN e.y <> '' THEN e.r WHEN g.y <> '' THEN g.r WHEN c.u <> '' THEN c.r END AS r FROM k),
+t AS (SELECT *, try(make_date(y, m, d)) AS day, regexp_extract(coalesce(r, ''), '(\\d{{1,2}}):(\\d{{2}})(?::(\\d{{2}}))?(?:[.,](\\d{{1,6}}))?', ['h', 'i', 's', 'f']) AS c, regexp_extract(coalesce(r, ''), '^T(\\d{{2}})(\\d{{2}})(\\d{{2}})', ['h', 'i', 's']) AS n, lower(regexp_extract(coalesce(r, ''), '{_MERIDIEM}', 2)) AS ap,
+ regexp_extract(coalesce(r, ''), ':\\d{{2}}(?:[.,]\\d+)? ?([+-])(\\d{{2}}):?(\\d{{2}})$', ['g', 'h', 'i']) AS off, regexp_extract(coalesce(r, ''), '([A-Z][A-Za-z]+/[A-Za-z_]+)', 1) AS reg, lower(regexp_extract(regexp_replace(coalesce(r, ''), '[AaPp][Mm]|Uhr', ' ', 'g'), '([A-Z]{{1,5}})\\]?$', 1)) AS ab FROM l),
+w AS (SELECT *, epoch_us(day::TIMESTAMP) + 1000000::BIGINT * (3600 * (CASE WHEN n.h <> '' THEN try_cast(n.h AS INT) WHEN c.h = '' THEN 0 WHEN ap = 'p' THEN try_cast(c.h AS INT) % 12 + 12 WHEN ap = 'a' THEN try_cast(c.h AS INT) % 12 ELSE try_cast(c.h AS INT) END) + 60 * coalesce(try_cast(CASE WHEN n.h <> '' THEN n.i ELSE c.i END AS INT), 0) + coalesce(try_cast(CASE WHEN n.h <> '' THEN n.s ELSE c.s END AS INT), 0)) + coalesce(try_cast(rpad(nullif(c.f, ''), 6, '0') AS BIGINT), 0) AS us FROM t WHERE day IS NOT NULL),
+z AS (SELECT url, us, CASE WHEN off.g <> '' THEN (try_cast(off.h AS INT) * 60 + try_cast(off.i AS INT)) * CASE off.g WHEN '-' THEN -1 ELSE 1 END WHEN ab <> '' AND reg = '' THEN {_MAP(_ZONES)}[ab] END AS minutes, CASE WHEN reg <> '' THEN reg ELSE tz_name END AS tz FROM w),
+i AS (SELECT url, us, minutes, tz, epoch_us(timezone(tz, make_timestamp(us))) AS one FROM z)
+SELECT DISTINCT url, CASE WHEN minutes IS NOT NULL THEN us - minutes::BIGINT * 60000000 WHEN epoch_us(timezone(tz, make_timestamptz(one - 3600000000))) = us THEN one - 3600000000 ELSE one END AS posted_us FROM i
+UNION SELECT url, p::BIGINT * CASE length(p) WHEN 10 THEN 1000000 WHEN 13 THEN 1000 ELSE 1 END FROM j WHERE regexp_matches(p, '^(\\d{{10}}|\\d{{13}}|\\d{{16}})$')"""
 ORACLES = {
+    "p3_found": _P3,
     "p2_found": f"{_P2} SELECT dataset, snapshot_no, rec_key, change_kind FROM {_BOTH}",
     "p2_change_counts": f"{_P2} SELECT dataset, snapshot_no, change_kind, count(*) AS n FROM {_BOTH} GROUP BY ALL",
 }
