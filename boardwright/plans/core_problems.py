@@ -70,8 +70,34 @@ z AS (SELECT url, us, CASE WHEN off.g <> '' THEN (try_cast(off.h AS INT) * 60 +
 i AS (SELECT url, us, minutes, tz, epoch_us(timezone(tz, make_timestamp(us))) AS one FROM z)
 SELECT DISTINCT url, CASE WHEN minutes IS NOT NULL THEN us - minutes::BIGINT * 60000000 WHEN epoch_us(timezone(tz, make_timestamptz(one - 3600000000))) = us THEN one - 3600000000 ELSE one END AS posted_us FROM i
 UNION SELECT url, p::BIGINT * CASE length(p) WHEN 10 THEN 1000000 WHEN 13 THEN 1000 ELSE 1 END FROM j WHERE regexp_matches(p, '^(\\d{{10}}|\\d{{13}}|\\d{{16}})$')"""
+_N = "(?:\\d{{1,3}}(?:[ \\x{{00A0}}\\x{{202F}}]\\d{{3}})+|\\d+(?:[.,''’]\\d+)*)"
+_UNIT = " ?(k|tsd|thousand|mio|mn|million|millions|m|lakhs?|lacs?|lac|l(?:pa)?|crores?|cr|万)"
+_GAP = "(?:[^0-9]{{0,6}}(?:-|–|—|~|〜|～| to | bis )[^0-9]{{0,6}})"
+
+
+def _amount(x: str, unit: str) -> str:
+    """A numeral with its prefix in dollars of whatever currency."""
+    t = f"regexp_replace({x}, '[^0-9.,]', '', 'g')"
+    plain = f"""CASE WHEN contains({t}, '.') AND contains({t}, ',') THEN CASE WHEN strpos(reverse({t}), '.') < strpos(reverse({t}), ',') THEN replace({t}, ',', '') ELSE replace(replace({t}, '.', ''), ',', '.') END
+ WHEN regexp_matches({t}, '^\\d+[.]\\d{{3}}$') AND {unit} IN ('m', 'mn', 'mio', 'million', 'millions') THEN {t} WHEN regexp_matches({t}, '[.,]\\d{{3}}$') OR len(regexp_extract_all({t}, '[.,]')) > 1 THEN regexp_replace({t}, '[.,]', '', 'g') ELSE replace({t}, ',', '.') END"""
+    factor = f"CASE WHEN {unit} IN ('k', 'tsd', 'thousand') THEN 1e3 WHEN {unit} IN ('m', 'mn', 'mio', 'million', 'millions') THEN 1e6 WHEN regexp_matches({unit}, '^(l|lpa|lac|lacs|lakh|lakhs)$') THEN 1e5 WHEN {unit} LIKE 'cr%' THEN 1e7 WHEN {unit} = '万' THEN 1e4 ELSE 1 END"
+    return f"try_cast({plain} AS DOUBLE) * {factor}"
+
+
+# pay by expressions of its own: one or two numerals with a prefix, a currency and a period by their words
+_P5 = f"""WITH j AS (SELECT DISTINCT url, lower(trim(nfc_normalize(salary))) AS s, f.currency AS fc, nullif(upper(trim(coalesce(salary_currency, ''))), '') AS sc, nullif(lower(trim(coalesce(salary_period, ''))), '') AS sp FROM jobs LEFT JOIN feeds f ON lower(trim(jobs.source)) = lower(trim(f.source)) WHERE regexp_matches(coalesce(salary, ''), '[0-9]')),
+k AS (SELECT *, regexp_extract(s, '({_N})(?:{_UNIT})?', ['n', 'u']) AS a, regexp_extract(s, '({_N})(?:{_UNIT}(?:[^a-z]|$))?(?:[^0-9]*?){_GAP}({_N})(?:{_UNIT}(?:[^a-z]|pa|$))?', ['n', 'u', 'n2', 'u2']) AS r FROM j WHERE NOT regexp_matches(s, 'match|bonuses|yrs\\)|401\\(k')),
+l AS (SELECT *, regexp_extract(s, '{_N}{_UNIT}(?:[^a-z]|pa\\b|$)', 1) AS u1 FROM k),
+m AS (SELECT *, CASE WHEN r.n2 <> '' THEN {_amount('r.n', 'r.u')} ELSE {_amount('a.n', 'u1')} END AS lo0, CASE WHEN r.n2 <> '' THEN {_amount('r.n2', 'r.u2')} END AS hi0, CASE WHEN r.n2 <> '' AND r.u = '' AND r.u2 <> '' THEN {_amount('r.n', 'r.u2')} END AS lo1, {_amount('r.n2', "''")} AS bare2, {_amount('r.n', "''")} AS bare1 FROM l),
+n AS (SELECT url, s, fc, sc, sp, CASE WHEN lo1 IS NOT NULL AND bare1 <= bare2 THEN lo1 ELSE lo0 END AS x, coalesce(hi0, lo0) AS y FROM m),
+o AS (SELECT url, CASE WHEN least(x, y) > 0 THEN least(x, y) ELSE greatest(x, y) END AS lo, greatest(x, y) AS hi,
+ CASE WHEN regexp_matches(s, 'us\\$|usd|us dollar') THEN 'USD' WHEN regexp_matches(s, 'ca?\\$|cad|cdn') THEN 'CAD' WHEN regexp_matches(s, 'au?\\$|aud') THEN 'AUD' WHEN regexp_matches(s, '€|eur') THEN 'EUR' WHEN regexp_matches(s, '£|gbp|pound') THEN 'GBP' WHEN regexp_matches(s, 'chf|sfr') THEN 'CHF' WHEN regexp_matches(s, '¥|円|jpy|yen') THEN 'JPY' WHEN regexp_matches(s, '₹|inr|\\brs|rupee') THEN 'INR' WHEN regexp_matches(s, '\\$|dollar') THEN CASE WHEN fc IN ('USD', 'CAD', 'AUD') THEN fc ELSE 'USD' END WHEN regexp_matches(s, '[0-9] ?(l|lpa|lac|lakh|cr|crore)') THEN 'INR' ELSE coalesce(sc, fc) END AS cur,
+ coalesce(CASE WHEN regexp_matches(s, 'fortnight|bi-?weekly|two weeks|2 weeks|other week|zwei wochen') THEN 'fortnight' WHEN regexp_matches(s, 'hour|/ ?h|\\bhr|p/h|\\bph\\b|stunde|std|stündlich|時給') THEN 'hour' WHEN regexp_matches(s, 'week|/wk|\\bpw\\b|p\\.w|woche|wöchentlich') THEN 'week' WHEN regexp_matches(s, 'month|/mo|pcm|p\\.m|monat|mtl|月') THEN 'month' WHEN regexp_matches(s, '\\bday|/day|daily|diem|tag|täglich|日給') THEN 'day' WHEN regexp_matches(s, 'year|/yr|\\byr|annum|annual|\\bpa\\b|lpa|p\\. ?a|jahr|jährlich|年') THEN 'year' END, sp, CASE WHEN CASE WHEN least(x, y) > 0 THEN least(x, y) ELSE greatest(x, y) END >= 15000 THEN 'year' END) AS per FROM n WHERE greatest(x, y) > 0)
+SELECT DISTINCT url, CAST(floor(round(lo * p.factor * c.factor, 6) + 0.5) AS BIGINT) AS usd_year_min, CAST(floor(round(hi * p.factor * c.factor, 6) + 0.5) AS BIGINT) AS usd_year_max FROM o JOIN pay_units p ON p.unit_kind = 'period' AND p.unit_code = per JOIN pay_units c ON c.unit_kind = 'currency' AND c.unit_code = cur"""
+_P5 = _P5.replace("{{", "{").replace("}}", "}")
 ORACLES = {
     "p3_found": _P3,
+    "p5_found": _P5,
     "p2_found": f"{_P2} SELECT dataset, snapshot_no, rec_key, change_kind FROM {_BOTH}",
     "p2_change_counts": f"{_P2} SELECT dataset, snapshot_no, change_kind, count(*) AS n FROM {_BOTH} GROUP BY ALL",
 }
