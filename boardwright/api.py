@@ -20,6 +20,8 @@ INDEXED = ["title", "location", "body"]
 #: What a pickiness word means as the least number of points, and words for a place that mean remote or any.
 PICKINESS = {"plenty": 5, "balanced": 12, "strong": 20}
 REMOTE_PLACES, ANY_PLACES = ("remote", "remote only", "remote-only"), ("anywhere", "any", "everywhere")
+# Weights of a search's own words in the older way of scoring; carried with its settings, used by no board.
+OLDER_WEIGHTS = {"title": 3, "boost": 5, "rank_down": 8}
 #: Staffing words that count against a listing where a search names none of its own; own choice, a parameter of Engine.
 STAFFING = ("staffing", "recruiting", "recruiter", "agency", "our client", "recruitment agency", "employment agency", "temp agency", "headhunter", "talent pool", "multiple clients", "third party")
 #: How many characters of a body each surface shows.
@@ -54,6 +56,8 @@ def settings(doc: dict) -> tuple[dict, list[str]]:
     age = doc.get("max_age_days")
     out["max_age_days"] = int(age) if isinstance(age, (int, float)) and not isinstance(age, bool) else None
     dropped = [e for e in board.clean_list(doc.get("exclude")) if e not in board.Query.of(doc).exclude]
+    titles, boosts = board.clean_list(doc.get("titles")), board.clean_list(doc.get("boosts"))
+    out["older_weights"] = {t: OLDER_WEIGHTS["title"] for t in titles} | {b: OLDER_WEIGHTS["boost"] for b in boosts}
     if dropped:
         notes.append("dropped exclusion(s) that would have deleted your own target role: " + ", ".join(dropped))
     return out, notes

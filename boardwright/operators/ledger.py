@@ -29,7 +29,10 @@ def due(companies: DataFrame, counts: DataFrame, now: Column, days: int = 90) ->
 
 
 def record(companies: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """The ledger after probes (name_key, outcome, at): attempts grow, resolved rows don't fall back, the last probe counts."""
+    """The ledger after probes (name_key, outcome, at): attempts grow, resolved rows don't fall back, the last probe counts.
+    Outcomes may bring a column `key`, such as a board's, under which a row is kept in place of its name."""
+    if "key" in outcomes.columns:
+        outcomes = outcomes.withColumn("name_key", F.coalesce(F.nullif("key", F.lit("")), "name_key"))
     table = F.create_map(*[F.lit(x) for kv in OUTCOMES.items() for x in kv])
     seen = outcomes.withColumn("new_status", F.try_element_at(table, F.col("outcome"))).where("new_status IS NOT NULL")
     seen = seen.groupBy("name_key").agg(F.max_by("new_status", F.struct("at", "new_status")).alias("new_status"), F.max("at").alias("at"), F.count("*").alias("tries"))

@@ -87,6 +87,12 @@ def search_rungs(spark, sf):
     return gates.rung_histogram(gates.demand(_log(spark, sf))).select("rung", "n", F.round("share", 6).alias("share"))
 
 
+def first_results(spark, sf):
+    """The first result of every search of the log."""
+    first = F.try_element_at("top", F.lit(1))
+    return _log(spark, sf).select("company", first["url"].alias("url"), first["tier"].alias("tier")).where("url IS NOT NULL")
+
+
 def search_failures(spark, sf):
     got = gates.search_failures(gates.demand(_log(spark, sf)))
     return got.select("searches", "empty", "weak", "degraded", *[F.round(f"{c}_share", 6).alias(f"{c}_share") for c in ("empty", "weak", "degraded")])
@@ -265,7 +271,7 @@ def file_list(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        location_words, shown_fields, fit_bands, settings_fragments, settings_checked, scalar_scores, unsupported_tags, shown_board, asked_providers, search_rungs, search_failures, board_notices, completion_rates, release_gates, upkeep_gates, retired_backups, trial_funnel, tag_groups, meta_merge, profile_points, persona_pairs, provider_boards,
+        location_words, shown_fields, fit_bands, settings_fragments, settings_checked, scalar_scores, unsupported_tags, shown_board, asked_providers, search_rungs, first_results, search_failures, board_notices, completion_rates, release_gates, upkeep_gates, retired_backups, trial_funnel, tag_groups, meta_merge, profile_points, persona_pairs, provider_boards,
         unknown_boards, matched_names, names_still_open, resolved_batch, crawled_boards, board_names, verify_then_evict, vectors_applied, seen_sets, snapshot_report, log_since, file_list,
     )
 }
@@ -314,6 +320,7 @@ SELECT url, array_to_string(list_filter(tags, lambda x: len(list_filter(string_s
 AND NOT regexp_matches(lower(coalesce(title, '') || ' ' || coalesce(company, '')), '\\b(staffing|recruiting|recruitment|employment|temp|talent)[\\s-]+agenc(y|ies)\\b|\\brecruiting[\\s-]+(agency|agencies|firm|company)\\b|\\b(third[\\s-]party|external|agency)[\\s-]+recruiting\\b|\\b(agency|third[\\s-]party|external|contract)[\\s-]+recruiter\\b|\\bstaffing[\\s-]+(agency|agencies|firm|company|solutions|services|partner)\\b')""",
     "asked_providers": "SELECT v.ats AS ats, count(c.slug) AS n, count(c.slug) = 0 AS failed FROM (VALUES ('leafboard'), ('workvane'), ('nosuchboard')) AS v(ats) LEFT JOIN companies c ON c.ats = v.ats AND c.slug IS NOT NULL GROUP BY v.ats",
     "search_rungs": f"{_LOGGED}, d AS (SELECT tier AS rung, count(*) AS n FROM log WHERE NOT probe GROUP BY tier) SELECT rung, n, round(n / sum(n) OVER (), 6) AS share FROM d",
+    "first_results": f"{_LOGGED}, head AS (SELECT company, arg_min(url, (-points, url)) AS url FROM sc GROUP BY company) SELECT head.company AS company, head.url AS url, tier FROM head JOIN top1 USING (company)",
     "search_failures": f"{_LOGGED}, d AS (SELECT count(*) AS searches, count(*) FILTER (delivered = 0) AS empty, count(*) FILTER (delivered > 0 AND score_max < 55) AS weak, count(*) FILTER (degraded) AS degraded FROM log WHERE NOT probe) SELECT *, round(empty / searches, 6) AS empty_share, round(weak / searches, 6) AS weak_share, round(degraded / searches, 6) AS degraded_share FROM d",
     "board_notices": f"{_LOGGED} SELECT CASE WHEN length(company) % 4 = 0 THEN 'Note: a; b. ' ELSE '' END || CASE WHEN degraded THEN 'degraded' WHEN delivered < 3 THEN 'filling' ELSE '' END AS notice, count(*) AS n FROM log GROUP BY 1",
     "completion_rates": f"WITH v AS (SELECT {_SLUG.format('a')} AS model, CASE WHEN {_SLUG.format('winner')} = {_SLUG.format('a')} THEN verdict_id % 9 + 1 END AS turns FROM verdicts) SELECT model, count(*) AS interviews, round(count(turns) / count(*), 6) AS completion_rate, round(avg(turns), 6) AS mean_turns FROM v WHERE model IS NOT NULL GROUP BY model",

@@ -62,3 +62,25 @@ def test_numbered(spark):
     got = numbered(df, ["k", "id"], "at").collect()
     assert [r.id for r in sorted(got, key=lambda r: r["at"])] == [r.id for r in df.orderBy("k", "id").collect()] and sorted(r["at"] for r in got) == list(range(1000))
     assert numbered(df.limit(0), ["k"], "at").count() == 0
+
+
+def test_settings_of_a_search():
+    from boardwright.api import settings
+
+    doc, notes = settings({"titles": ["AI/ML Engineer"], "exclude": ["ai ml engineer", "sales"], "boosts": "sql", "location": " Remote-only ", "max_age_days": True})
+    assert doc["remote_only"] is True and doc["location"] == "remote" and doc["max_age_days"] is None and "ai ml engineer" in notes[0] and "sales" not in notes[0]
+    assert doc["older_weights"] == {"ai/ml engineer": 3, "sql": 5}
+    assert settings({"location": "anywhere"})[0]["remote_only"] is False and settings({"location": "remote", "remote_only": False})[0]["remote_only"] is False
+    assert settings({"location": "Austin", "max_age_days": 30.5}) == ({"location": "Austin", "max_age_days": 30, "remote_only": False, "older_weights": {}}, [])
+
+
+def test_a_search_without_penalties_of_its_own(spark):
+    from boardwright.api import Engine
+
+    rows = [("u1", "Cook", None, "Acme staffing agency", "", None), ("u2", "Cook", None, "Client Co", "", None), ("u3", "Cook", None, "Plain", "", None)]
+    jobs = spark.createDataFrame(rows, "url string, title string, title_root string, company string, body string, location string").withColumn("remote", F.lit(None).cast("string")).withColumn("posted", F.lit(None).cast("string"))
+    board = Engine(jobs).score({"titles": ["cook"]}, degraded="fetch_error")
+    assert {r.url: r.points for r in board.jobs.collect()}["u3"] == 100 and {r.url for r in board.jobs.where("points < 100").collect()} == {"u1", "u2"}
+    assert board.meta() == {"count": 3, "pool": 3, "notes": [], "degraded": "fetch_error"}
+    own = Engine(jobs).score({"titles": ["cook"], "rank_down": ["plain"]})
+    assert {r.url: r.points for r in own.jobs.collect()} == {"u1": 100, "u2": 70, "u3": 70}
