@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -39,6 +40,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that nothing refers to any more: its cleaner waits for a garbage collection of
+    the driver, which on an idle driver can be far off, and until then they fill the executors' disks."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def collect_bounded(df: DataFrame, max_rows: int, what: str) -> list:
     """Collect a small reference side; raises beyond max_rows instead of taking part of it."""
     rows = df.limit(max_rows + 1).collect()
