@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boardwright.llm.hashing import WordHashes
-from boardwright.session import cut
+from boardwright.session import cut, release
 
 #: Size of the universe that both permutations act on.
 D = 1 << 16
@@ -83,7 +83,7 @@ def shingle_hashes(text: str, size: int, known: WordHashes) -> np.ndarray:
 
 
 #: Entries of one bucket partition, 16 bytes each while they are sorted.
-PARTITION_ENTRIES = 4_000_000
+PARTITION_ENTRIES = 6_000_000
 #: Text hashes up to so many (8 MB) may be broadcast; their number is counted first, and more are joined by a shuffle.
 BROADCAST_REPS = 1_000_000
 #: Texts of one bucket whose pairs one task may list; a larger bucket is cut into blocks whose pairings are spread.
@@ -310,6 +310,8 @@ def near_duplicates(
     blobs = texts.select("rep", "text").mapInArrow(_signer(bands, rows, stride or rows, shingle, parts, width), "part int, blob binary")
     met = blobs.repartitionById(parts, "part").mapInArrow(_pairer(width), "rep_a bigint, rep_b bigint, bucket string, blocks int").distinct()
     met = cut(met)
+    del blobs  # the band keys are done with
+    release(spark)
     candidates, hot = met.where("bucket IS NULL").select("rep_a", "rep_b"), met.where("bucket IS NOT NULL")
     if not hot.isEmpty():
         candidates = cut(candidates.unionByName(_spread(hot)).distinct())
