@@ -77,7 +77,7 @@ class Engine:
     """Queries over `jobs` (one row a url) and, if given, `vectors` (url, embedding, unit length not needed)."""
 
     def __init__(self, jobs: DataFrame, vectors: DataFrame | None = None, as_of: Column | None = None, stemmed: bool = True, index: tuple[DataFrame, DataFrame] | None = None, penalties: Sequence[str] = STAFFING):
-        self.penalties = list(penalties)
+        self.penalties, self.on_disk = list(penalties), index is not None
         self.jobs, self.vectors, self.as_of, self.stemmed = jobs, vectors, as_of if as_of is not None else F.current_date(), stemmed
         self.index, self.totals = index or lexical.build_index(jobs, "url", "title", INDEXED, stemmed)
 
@@ -92,7 +92,7 @@ class Engine:
 
     def retrieve(self, titles: Sequence[str]) -> DataFrame:
         """Every listing whose title matches, with its rank by BM25 (ties by url): never cut off before scoring."""
-        hits = lexical.bm25(self.index, self.totals, lexical.query_clauses(titles, self.stemmed))
+        hits = lexical.bm25(self.index, self.totals, lexical.query_clauses(titles, self.stemmed), self.on_disk)
         # the hits' scores alone are ranked, then joined to the listings; a semi join first, as it passes below the
         # choice of each listing's last row, so that only hits go through it
         ranked = order.numbered(hits, [F.desc(F.round("score", 9)), "doc"], "rank", 1).select(F.col("doc").alias("url"), "rank")

@@ -147,16 +147,18 @@ def matches(index: DataFrame, clauses: Sequence[Sequence[str | tuple[str, ...]]]
     return found
 
 
-def bm25(index: DataFrame, stats: DataFrame, clauses: Sequence[Sequence[str | tuple[str, ...]]]) -> DataFrame:
+def bm25(index: DataFrame, stats: DataFrame, clauses: Sequence[Sequence[str | tuple[str, ...]]], on_disk: bool = False) -> DataFrame:
     """(doc, score) of all matching documents, better ones larger; the scores of matching clauses add up. No query, no rows.
 
-    `stats` are the documents' lengths, or the totals of an index whose postings carry them.
+    `stats` are the documents' lengths, or the totals of an index whose postings carry them. An index that stands on disk,
+    sorted by term, is read once a clause; of another the query's postings are kept.
     """
     if not clauses:
         return index.select("doc", F.lit(0.0).alias("score")).where("false")
     words = list(dict.fromkeys(_parts(w) for c in clauses for w in c))
     # the query's postings are read once, however many clauses look at them
-    own = cut(index.where(F.col("term").isin(sorted({t for w in words for t in w}))))
+    own = index.where(F.col("term").isin(sorted({t for w in words for t in w})))
+    own = own if on_disk else cut(own)
     hit = matches(own, clauses)
     df = own.where(F.col("term").isin([w[0] for w in words if len(w) == 1])).groupBy("term").agg(F.count("*").alias("n"))
     for w in words:
