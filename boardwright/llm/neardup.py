@@ -6,10 +6,12 @@ is the minimum of pi[(x + k) mod D] over the shingles x, so the coordinates of a
 
 from __future__ import annotations
 
+import copy
 import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +29,7 @@ class Circulant:
     """
 
     def __init__(self, bands: int, rows: int, seed: int = 7, stride: int | None = None):
-        self.bands, self.rows, self.stride = bands, rows, stride or rows
+        self.bands, self.rows, self.stride, self.first = bands, rows, stride or rows, 0
         rng = np.random.default_rng(seed)
         self.sigma = rng.permutation(D)
         pi = rng.permutation(D).astype(np.uint16)
@@ -35,6 +37,13 @@ class Circulant:
         self.windows = np.lib.stride_tricks.sliding_window_view(np.concatenate([pi, pi[:k]]), k)
         self.mix = rng.integers(1, 2**63, size=rows, dtype=np.uint64) | np.uint64(1)
 
+    def part(self, first: int, bands: int) -> Circulant:
+        """Only `bands` bands from the first-th on; their keys are the same."""
+        out = copy.copy(self)
+        out.first, out.bands = first, bands
+        out.windows = self.windows[:, first * self.stride : (first + bands - 1) * self.stride + self.rows]
+        return out
+
     def signature(self, hashes: np.ndarray) -> np.ndarray:
         """The least coordinates over all shingles; repeated ones change nothing."""
         x = self.sigma[(hashes & np.uint64(D - 1)).astype(np.int64)]
@@ -45,7 +54,7 @@ class Circulant:
 
     def band_keys(self, signatures: np.ndarray) -> np.ndarray:
         """One 64-bit key per band of every signature: its coordinates, mixed with the number of the band."""
-        key = np.arange(self.bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.zeros((len(signatures), 1), np.uint64)
+        key = np.arange(self.first, self.first + self.bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.zeros((len(signatures), 1), np.uint64)
         for k in range(self.rows):
             key += signatures[:, k : k + (self.bands - 1) * self.stride + 1 : self.stride].astype(np.uint64) * self.mix[k]
         key ^= key >> np.uint64(31)
@@ -84,6 +93,12 @@ def shingle_hashes(text: str, size: int, known: WordHashes) -> np.ndarray:
 
 #: Entries of one bucket partition, 16 bytes each while they are sorted.
 PARTITION_ENTRIES = 6_000_000
+#: Band keys of more entries are matched some bands at a time, so that only these lie on disk.
+PASS_ENTRIES, PASS_BANDS = 24_000_000, 80
+#: Texts and bytes of a stored batch; a text's id is its batch's plus its place there, which two bytes hold.
+BATCH_TEXTS, BATCH_BYTES = 16_384, 16_000_000
+#: Texts of one task that hold each text once.
+TASK_TEXTS = 500_000
 #: Text hashes up to so many (8 MB) may be broadcast; their number is counted first, and more are joined by a shuffle.
 BROADCAST_REPS = 1_000_000
 #: Texts of one bucket whose pairs one task may list; a larger bucket is cut into blocks whose pairings are spread.
@@ -91,13 +106,11 @@ BUCKET_TEXTS = 2_000
 _SEEN, _RECENT = 200_000, 20_000
 
 
-def _signer(bands: int, rows: int, stride: int, size: int, parts: int, width: int):
-    """Rows (part, blob): per batch and bucket partition, the text hashes and, text by text, `width` bytes of each band key."""
+def _shingler(size: int):
+    """(rep, places): each text's places in the universe of the permutations, two bytes a shingle."""
 
     def run(batches):
-        c, known, seen = Circulant(bands, rows, stride=stride), WordHashes(), set()
-        split = max(1, -(-parts // bands))
-        band = np.arange(bands)
+        known, seen = WordHashes(), set()
         for batch in batches:
             todo = []
             for rep, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -107,34 +120,89 @@ def _signer(bands: int, rows: int, stride: int, size: int, parts: int, width: in
                     seen.clear()
                 seen.add(rep)
                 todo.append((rep, text))
-            reps, low = [], []
+            reps, places = [], []
             for at in range(0, len(todo), 256):
                 some = todo[at : at + 256]
                 for (rep, _), hashes in zip(some, shingles_of_texts([t for _, t in some], size, known)):
                     if len(hashes):
+                        x = hashes.astype(np.uint16)
                         reps.append(rep)
-                        low.append(c.signature(hashes))
-            if not reps:
-                continue
-            k = c.band_keys(np.array(low))
-            low.clear()
-            raw = np.ascontiguousarray(k).view(np.uint8).reshape(len(reps), bands, 8)[:, :, :width]
-            rep = np.array(reps, np.int64)
-            found, blobs = [], []
-            if split == 1:  # whole bands share a partition
-                for p in range(min(parts, bands)):
-                    some = raw[:, p::parts]
-                    found.append(p)
-                    blobs.append(np.array([len(rep)], np.int64).tobytes() + rep.tobytes() + np.full(len(rep), some.shape[1], np.uint16).tobytes() + some.tobytes())
-            else:
-                part = (band * split + ((k >> np.uint64(24)) % np.uint64(split)).astype(np.int64)) % parts
-                for p in np.unique(part):
-                    at = part == p
-                    n = at.sum(1)
-                    some = n > 0
-                    found.append(int(p))
-                    blobs.append(np.array([some.sum()], np.int64).tobytes() + rep[some].tobytes() + n[some].astype(np.uint16).tobytes() + raw[at].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
+                        places.append((x if len(x) < 1024 else np.unique(x)).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(places, pa.binary())], names=["rep", "places"])
+
+    return run
+
+
+def _batcher(batches):
+    """(id, reps, lengths, places): each text once, many a row; equal texts come to one task."""
+    first, seen, reps, places, size = TaskContext.get().partitionId() << 40, set(), [], [], 0
+
+    def emit():
+        nonlocal first, size
+        lengths = np.array([len(x) // 2 for x in places], np.int32)
+        row = [pa.array([first], pa.int64()), *(pa.array([x], pa.binary()) for x in (np.array(reps, np.int64).tobytes(), lengths.tobytes(), b"".join(places)))]
+        reps.clear(), places.clear()
+        first, size = first + (1 << 16), 0
+        return pa.RecordBatch.from_arrays(row, names=["id", "reps", "lengths", "places"])
+
+    for batch in batches:
+        for rep, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if rep not in seen:
+                seen.add(rep)
+                reps.append(rep)
+                places.append(x)
+                size += len(x)
+                if len(reps) >= BATCH_TEXTS or size >= BATCH_BYTES:
+                    yield emit()
+    if reps:
+        yield emit()
+
+
+def _id_batches(batches):
+    """(id, rep) of the texts of stored batches."""
+    for batch in batches:
+        for first, reps in zip(batch.column("id").to_pylist(), batch.column("reps").to_pylist()):
+            rep = np.frombuffer(reps, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(first + np.arange(len(rep))), pa.array(rep)], names=["id", "rep"])
+
+
+def _layout(texts: int, bands: int, tasks: int) -> tuple[int, int, int]:
+    """(partitions, how many share a band, bytes of a key): whole bands share a partition, or partitions share a band by the key.
+
+    Keys keep as many bytes that texts which meet by chance are fewer than the texts.
+    """
+    if texts <= PARTITION_ENTRIES:
+        parts, split = max(min(tasks, bands), -(-bands // (PARTITION_ENTRIES // texts))), 1
+    else:
+        split = -(-max(tasks, -(-texts * bands // PARTITION_ENTRIES)) // bands)
+        parts = bands * split
+    return parts, split, min(6, max(4, math.ceil((2 + math.log2(texts * bands / split)) / 8)))
+
+
+def _signer(c: tuple[int, int, int], first: int, bands: int, parts: int, split: int, width: int):
+    """Rows (part, blob): per stored batch and bucket partition the batch's id and, text by text, `width` bytes of each band key;
+    where partitions share a band, each after the two bytes of its text's place in the batch."""
+
+    def run(batches):
+        circulant = Circulant(c[0], c[1], stride=c[2]).part(first, bands)
+        band = np.arange(bands)
+        for batch in batches:
+            for id_, lengths, places in zip(*(batch.column(x).to_pylist() for x in ("id", "lengths", "places"))):
+                ends = np.cumsum(np.frombuffer(lengths, np.int32))
+                x = np.frombuffer(places, np.uint16)
+                k = circulant.band_keys(np.array([circulant.signature(x[e - n : e]) for e, n in zip(ends, np.frombuffer(lengths, np.int32))]))
+                raw = np.ascontiguousarray(k).view(np.uint8).reshape(len(ends), bands, 8)[:, :, :width]
+                head = np.array([id_, len(ends)], np.int64).tobytes()
+                if split == 1:
+                    found, blobs = list(range(parts)), [head + raw[:, p::parts].tobytes() for p in range(parts)]
+                else:
+                    part = (band * split + ((k >> np.uint64(48)) % np.uint64(split)).astype(np.int64)).ravel()
+                    order = np.argsort(part, kind="stable")
+                    edge = np.nonzero(np.diff(part[order], prepend=-1, append=-1))[0]
+                    place, raw = (order // bands).astype(np.uint16), raw.reshape(-1, width)[order]
+                    found = part[order[edge[:-1]]].tolist()
+                    blobs = [head + place[i:j].tobytes() + raw[i:j].tobytes() for i, j in zip(edge[:-1], edge[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
 
     return run
 
@@ -163,22 +231,27 @@ def _pair_batches(blocks):
         yield emit()
 
 
-def _pairer(width: int):
-    """Pairs (rep_a, rep_b) of different texts that share a band key, from all blobs of one bucket partition; of buckets over
+def _pairer(pass_: int, split: int, width: int):
+    """Pairs (rep_a, rep_b) of ids of texts that share a band key, from all blobs of one bucket partition; of buckets over
     BUCKET_TEXTS the members (rep_a) with the bucket and the number of its blocks."""
 
     def run(batches):
         reps, keys, part = [], [], 0
         for batch in batches:
             for p, blob in zip(batch.column("part").to_pylist(), batch.column("blob").to_pylist()):
-                m = int(np.frombuffer(blob, np.int64, 1)[0])
-                rep = np.frombuffer(blob, np.int64, m, 8)
-                n = np.frombuffer(blob, np.uint16, m, 8 + 8 * m)
-                raw = np.frombuffer(blob, np.uint8, offset=8 + 10 * m).reshape(-1, width)
+                first, m = np.frombuffer(blob, np.int64, 2).tolist()
+                if split == 1:
+                    raw = np.frombuffer(blob, np.uint8, offset=16).reshape(-1, width)
+                    cols = len(raw) // m
+                    place, band = np.repeat(np.arange(m), cols), np.tile(np.arange(cols, dtype=np.uint64), m)
+                else:
+                    n = (len(blob) - 16) // (2 + width)
+                    raw = np.frombuffer(blob, np.uint8, offset=16 + 2 * n).reshape(-1, width)
+                    place, band = np.frombuffer(blob, np.uint16, n, 16).astype(np.int64), np.uint64(0)
                 wide = np.zeros((len(raw), 8), np.uint8)
                 wide[:, :width] = raw
-                reps.append(np.repeat(rep, n))
-                keys.append(wide.view(np.uint64).ravel())
+                reps.append(first + place)
+                keys.append(wide.view(np.uint64).ravel() | band << np.uint64(8 * width))
                 part = p
         if not reps:
             return
@@ -192,8 +265,6 @@ def _pairer(width: int):
         rep, key = rep[order[met]], key[met]
         order = np.lexsort((rep, key))
         rep, key = rep[order], key[order]
-        keep = np.concatenate([[True], (key[1:] != key[:-1]) | (rep[1:] != rep[:-1])])[: len(key)]
-        rep, key = rep[keep], key[keep]
         if not len(key):
             return
         edge = np.nonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))[0]
@@ -205,7 +276,7 @@ def _pairer(width: int):
         for i in np.nonzero(size > BUCKET_TEXTS)[0]:
             members = rep[edge[i] : edge[i + 1]]
             blocks = -(-len(members) // BUCKET_TEXTS)
-            yield pa.RecordBatch.from_arrays([pa.array(members), none(len(members), pa.int64()), pa.array([f"{part}:{key[edge[i]]}"] * len(members)), pa.array(np.full(len(members), blocks, np.int32))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(members), none(len(members), pa.int64()), pa.array([f"{pass_}:{part}:{key[edge[i]]}"] * len(members)), pa.array(np.full(len(members), blocks, np.int32))], names=names)
 
     return run
 
@@ -293,10 +364,11 @@ def near_duplicates(
 ) -> NearDuplicates:
     """Texts whose sets of `shingle`-word sequences have a Jaccard similarity of at least `threshold`.
 
-    Equal texts are one from the start (`rep`, a 64-bit hash), so copies cost nothing later, however many. Texts that
-    share a band are candidates; every candidate is verified by its exact shingle sets. Band keys travel packed, some
-    five bytes each, and are matched in as many partitions as bounded memory needs; the pairs of a large bucket are spread
-    over tasks. Texts without words match nothing;
+    Equal texts are one from the start (`rep`, a 64-bit hash), so copies cost nothing later, however many. Their shingles
+    are stored, two bytes each. Texts that share a band are candidates; every candidate is verified by its exact shingle
+    sets. Band keys travel packed, four to seven bytes each, some bands at a time, whose files go before the next ones
+    come, and are matched in as many partitions as bounded memory needs; the pairs of a large bucket are spread over
+    tasks. Texts without words match nothing;
     texts of fewer words than a shingle match by all their words. NULL keys don't count, NULL columns are blank. Chance
     to miss a pair of similarity s: (1 - s^rows)^bands, a little more where bands overlap (stride < rows).
     """
@@ -305,17 +377,28 @@ def near_duplicates(
     texts = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.xxhash64(text).alias("rep"), text.alias("text")).where(F.col("text").rlike(r"[\p{L}\p{N}]"))
     members = texts.select("key", "rep").distinct()
     n = max(2, df.count())
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * bands // PARTITION_ENTRIES))
-    width = min(8, max(4, math.ceil((2 * math.log2(n) - 5) / 8)))
-    blobs = texts.select("rep", "text").mapInArrow(_signer(bands, rows, stride or rows, shingle, parts, width), "part int, blob binary")
-    met = blobs.repartitionById(parts, "part").mapInArrow(_pairer(width), "rep_a bigint, rep_b bigint, bucket string, blocks int").distinct()
-    met = cut(met)
-    del blobs  # the band keys are done with
-    release(spark)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    hashed = texts.select("rep", "text").mapInArrow(_shingler(shingle), "rep bigint, places binary")
+    stored = cut(hashed.repartition(max(tasks, -(-n // TASK_TEXTS)), "rep").mapInArrow(_batcher, "id bigint, reps binary, lengths binary, places binary"), drop=True)
+    at_once, met = bands if n * bands <= PASS_ENTRIES else PASS_BANDS, None
+    for first in range(0, bands, at_once):
+        some = min(at_once, bands - first)
+        parts, split, width = _layout(n, some, tasks)
+        blobs = stored.mapInArrow(_signer((bands, rows, stride or rows), first, some, parts, split, width), "part int, blob binary")
+        pairs = blobs.repartitionById(parts, "part").mapInArrow(_pairer(first, split, width), "rep_a bigint, rep_b bigint, bucket string, blocks int")
+        found = cut(pairs.distinct(), drop=True)
+        met = found if met is None else met.unionByName(found)
     candidates, hot = met.where("bucket IS NULL").select("rep_a", "rep_b"), met.where("bucket IS NOT NULL")
     if not hot.isEmpty():
-        candidates = cut(candidates.unionByName(_spread(hot)).distinct())
-    needed = cut(candidates.select(F.explode(F.array("rep_a", "rep_b")).alias("rep")).distinct())
+        candidates = candidates.unionByName(_spread(hot))
+    ids = stored.mapInArrow(_id_batches, "id bigint, rep bigint")
+    candidates = candidates.distinct()
+    for side in ("rep_a", "rep_b"):
+        candidates = candidates.join(ids.withColumnRenamed("id", side), side).drop(side).withColumnRenamed("rep", side)
+    candidates = cut(candidates, drop=True)
+    del hashed, stored, blobs, pairs, found, met, hot, ids  # the shingles are done with
+    release(spark)
+    needed = cut(candidates.select(F.explode(F.array("rep_a", "rep_b")).alias("rep")).distinct(), drop=True)
     few = needed.limit(BROADCAST_REPS + 1).count() <= BROADCAST_REPS
     one_each = texts.select("rep", "text").join(F.broadcast(needed) if few else needed, "rep", "left_semi").groupBy("rep").agg(F.first("text").alias("text"))
     sides = candidates.join(one_each.select(F.col("rep").alias("rep_a"), F.col("text").alias("text_a")), "rep_a").join(one_each.select(F.col("rep").alias("rep_b"), F.col("text").alias("text_b")), "rep_b")

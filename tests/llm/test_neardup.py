@@ -107,3 +107,38 @@ def test_words_hash_alike_as_ascii_and_not():
     w = WordHashes()
     assert [x.decode() for x in w.words(text)] == plain_words(text)
     assert (w(text) == w(text + " é")[:-1]).all() and len(set(w(text).tolist())) == len(set(plain_words(text)))
+
+
+def _shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+
+def test_band_keys_of_a_pass_are_gone_when_it_ends(spark, monkeypatch):
+    df = spark.createDataFrame(list(enumerate(_texts())), "id int, body string").localCheckpoint()
+    before, held = _shuffle_files(spark), []
+    monkeypatch.setattr(N, "release", lambda spark: held.extend(_shuffle_files(spark) - before))  # whatever the cleaner does
+    N.near_duplicates(df, "id", ["body"], shingle=3, threshold=0.5)
+    assert not held
+
+
+def test_passes_and_split_bands_give_the_same_in_few_bytes(spark, monkeypatch):
+    df = spark.createDataFrame(list(enumerate(_texts())), "id int, body string")
+    run = lambda: {(r.key_a, r.key_b) for r in N.near_duplicates(df, "id", ["body"], shingle=3, threshold=0.5, bands=320, stride=4).key_pairs().collect()}
+    want, made = run(), []
+    signer = N._signer
+    monkeypatch.setattr(N, "PASS_ENTRIES", 0)
+    assert run() == want
+    monkeypatch.setattr(N, "PARTITION_ENTRIES", 70)
+    monkeypatch.setattr(N, "BATCH_TEXTS", 60)
+    monkeypatch.setattr(N, "_signer", lambda *a: made.append(a) or signer(*a))
+    assert run() == want
+    assert len(made) == 4 and all(split > 1 and parts == bands * split and 2 + width <= 7 for _, _, bands, parts, split, width in made)
+
+
+def test_bytes_of_a_key_at_any_number_of_texts():
+    for n in (2, 3 * 10**5, 13 * 10**5, 6 * 10**6, 13 * 10**6, 65 * 10**6):
+        parts, split, width = N._layout(n, N.PASS_BANDS, 60)
+        assert -(-N.PASS_BANDS // parts) * n <= N.PARTITION_ENTRIES if split == 1 else n / split <= N.PARTITION_ENTRIES
+        # a pass has a quarter of the keys; texts have some 500 bytes of input
+        assert N.PASS_BANDS * (width + 2 * (split > 1)) <= 560
