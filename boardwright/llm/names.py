@@ -54,7 +54,7 @@ _LONG_SHARED = [w for w in _SHARED if len(w) >= 6]
 #: Edits in the shard's word and in the rest of a name.
 WORD_EDITS, REST_EDITS = 1, 2
 #: A shard of more names is sharded again by the next word, at last searched in several tasks for a part of the names each.
-SHARD_NAMES, SALT_NAMES = 400, 400
+SHARD_NAMES, SALT_NAMES = 4_000, 2_000
 #: Words of up to so many letters are found by deletions, longer ones by their unchanged beginning or end.
 DELETION_LETTERS = 32
 #: Share of the weight of two names that must be common to both where one of them has words that the other lacks.
@@ -266,22 +266,47 @@ def keys(words: list[str], edits: int, each: int) -> Iterator[tuple[int, str]]:
                     yield i, piece
 
 
+def _edits(level: int, left: int) -> int:
+    """Edits of a word that `keys` allows for at a level of shards, of so many words that are left."""
+    return min(WORD_EDITS, (WORD_EDITS + REST_EDITS) // left) if level == 1 else REST_EDITS // left
+
+
+@lru_cache(maxsize=300_000)
+def _meeting(v: str, w: str, edits: int) -> str | None:
+    """The one of the pieces that two words share under which they are compared."""
+    return v if v == w else min(_pieces(v, edits) & _pieces(w, edits), default=None)
+
+
+def _compared_in(met: list[str], theirs: list[str], words: int, level: int) -> int | None:
+    """The shard of this level, of all that two names of so many words meet in by these words, that compares them."""
+    shard = 0
+    for k in range(level):
+        piece = _meeting(met[k], theirs[k], _edits(k + 1, words - k)) if k < len(met) else ""
+        if piece is None:
+            return None
+        shard = _hash(f"{shard} {piece}")
+    return shard
+
+
+_SHARDS = "shard bigint, form string, n bigint, used array<int>, word bigint, exact boolean"
+
+
 def _sharder(level: int):
-    """Every name under the keys of its next word; `used` are the places of its words that shards have met."""
+    """Every name under the keys of its next word; `used` are the places of its words that shards have met, `word` stands for
+    these and `exact` says that the shard is theirs, not one of a shorter piece."""
 
     def run(batches):
         for batch in batches:
-            shard, form, n, used = [], [], [], []
-            for s, c, k, u in zip(*(batch.column(x).to_pylist() for x in ("shard", "form", "n", "used"))):
+            out = []
+            for s, c, k, u, h, e in zip(*(batch.column(x).to_pylist() for x in ("shard", "form", "n", "used", "word", "exact"))):
                 ws = own_words(c)
                 left = [i for i in range(len(ws)) if i not in u]
                 some = keys([ws[i] for i in left], WORD_EDITS + REST_EDITS if level == 1 else REST_EDITS, WORD_EDITS if level == 1 else REST_EDITS) if left else [(None, "")]
                 for i, piece in some:
-                    shard.append(_hash(f"{s} {piece}"))
-                    form.append(c)
-                    n.append(k)
-                    used.append(u if i is None else [*u, left[i]])
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(form, pa.string()), pa.array(n, pa.int64()), pa.array(used, pa.list_(pa.int32()))], names=["shard", "form", "n", "used"])
+                    w = "" if i is None else ws[left[i]]
+                    out.append((_hash(f"{s} {piece}"), c, k, u if i is None else [*u, left[i]], _hash(f"{h} {w}"), e and piece == w))
+            types = (pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(types)], names=["shard", "form", "n", "used", "word", "exact"])
 
     return run
 
@@ -359,37 +384,56 @@ def comparable(a: str, b: str, bits: Frequencies) -> bool:
     return have >= COMMON * (have + sum(lack.values()))
 
 
-def _best_in_shard(rows: list[tuple[str, int, list[int], bool]], bits: Frequencies):
-    """(form, neighbour, its n, distance) for the most frequent neighbour of each name of one shard, if it is larger than itself."""
-    trie: dict = {}
-    mine = []
-    for form, n, used, own in sorted(rows, key=lambda r: -r[1]):
+def _best_in_shard(rows: list[tuple[str, int, list[int], bool]], bits: Frequencies, shard: int, level: int):
+    """(form, neighbour, its n, distance) for the most frequent neighbour of each name of one shard, if it is larger than itself.
+
+    Names lie in a trie for each sequence of words that brought them here. Two names meet in many shards, by each piece that
+    their words share, but each trie is walked from a name in one of these only.
+    """
+    groups: dict[tuple, list] = {}
+    for form, n, used, own in sorted(rows, key=lambda r: (-r[1], r[0])):  # the most frequent names come first
         ws = own_words(form)
-        met = [ws[i] for i in used]
-        rest = [w for i, w in enumerate(ws) if i not in used]
-        _insert(trie, rest, (form, n, met), n)
-        if own:
-            mine.append((form, n, met, tuple(rest)))
+        met = tuple(ws[i] for i in used)
+        groups.setdefault((len(ws), met), []).append((form, n, tuple(w for i, w in enumerate(ws) if i not in used), own))
     best: dict[str, tuple] = {}
-    for form, n, met, rest in mine:
-        spare = allowed(sum(map(len, met[1:])) + sum(map(len, rest)))
-        floor = [n]  # only more frequent names matter, and of these the most frequent
-        for d, (other, m, theirs) in walk(trie, rest, spare, floor):
-            if other == form or (m, other) <= (n, form) or m < floor[0]:
+    floors: dict[str, list[int]] = {}
+    tries: dict[tuple, dict] = {}
+    for (words, met), mine in groups.items():
+        most = max((allowed(sum(map(len, met[1:])) + sum(map(len, rest))) for _, _, rest, own in mine if own), default=-1)
+        for (others, theirs), names in groups.items():
+            # names with another number of words are never alike; only more frequent names matter
+            if others != words or most < 0 or names[0][1] < mine[-1][1]:
                 continue
             first = distance(met[0], theirs[0], WORD_EDITS)
-            later = d + sum(distance(v, w, REST_EDITS) for v, w in zip(met[1:], theirs[1:]))
-            # a misspelt name of one word must be long enough
-            if first > WORD_EDITS or later > spare or (first and len(met) == 1 and not rest and min(len(met[0]), len(theirs[0])) < 6):
+            if first > WORD_EDITS or _compared_in(met, theirs, words, level) != shard:
+                continue
+            before = sum(distance(v, w, REST_EDITS) for v, w in zip(met[1:], theirs[1:]))
+            if before > most:
                 continue
-            if (form not in best or best[form] < (m, -first - later, other)) and comparable(form, other, bits):
-                best[form] = (m, -first - later, other)
-                floor[0] = m
+            trie = tries.setdefault((others, theirs), {})
+            if not trie:
+                for other, m, rest, _ in names:
+                    _insert(trie, rest, (other, m), m)
+            for form, n, rest, own in mine:
+                spare = allowed(sum(map(len, met[1:])) + sum(map(len, rest))) - before
+                # a misspelt name of one word must be long enough
+                if not own or spare < 0 or (first and len(met) == 1 and not rest and min(len(met[0]), len(theirs[0])) < 6):
+                    continue
+                floor = floors.setdefault(form, [n])  # of more frequent names the most frequent
+                if names[0][1] < floor[0]:
+                    continue
+                for d, (other, m) in walk(trie, rest, spare, floor):
+                    if other == form or (m, other) <= (n, form) or m < floor[0]:
+                        continue
+                    far = first + before + d
+                    if (form not in best or best[form] < (m, -far, other)) and comparable(form, other, bits):
+                        best[form] = (m, -far, other)
+                        floor[0] = m
     for form, (m, d, other) in best.items():
         yield form, other, m, -d
 
 
-def _searcher(blob):
+def _searcher(blob, level: int):
     """Rows come sorted by shard; one shard is held at a time."""
 
     def run(batches):
@@ -397,7 +441,7 @@ def _searcher(blob):
 
         def flush():
             if len(rows) > 1:
-                out.extend(_best_in_shard(rows, blob.value))
+                out.extend(_best_in_shard(rows, blob.value, shard[0], level))
 
         def emit():
             got = pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int32()))], names=["form", "other", "m", "d"])
@@ -423,19 +467,21 @@ def neighbours(forms: DataFrame) -> DataFrame:
     """(form, other, m, d): for (form, n), the most frequent neighbour within each shard that a form meets it in."""
     spark = forms.sparkSession
     bits = spark.sparkContext.broadcast(frequencies(forms))
-    rows = forms.select(F.lit(0).cast("bigint").alias("shard"), "form", "n", F.array().cast("array<int>").alias("used"))
+    rows = forms.select(F.lit(0).cast("bigint").alias("shard"), "form", "n", F.array().cast("array<int>").alias("used"), F.lit(0).cast("bigint").alias("word"), F.lit(True).alias("exact"))
     # by number: the rows are small and the work is not, so partitions aren't to be coalesced by size
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found, level = None, 1
     while True:
-        shards = rows.mapInArrow(_sharder(level), "shard bigint, form string, n bigint, used array<int>")
-        # shards of one name have no neighbours to offer
-        sizes = cut(shards.groupBy("shard").agg(F.count("*").alias("k"), F.max(F.size(F.split(F.split("form", "\t")[0], " ")) - F.size("used")).alias("left")).where("k > 1"))
+        shards = rows.mapInArrow(_sharder(level), _SHARDS)
+        # shards of one name have no neighbours to offer, nor have those of a shorter piece that only one word has
+        left = F.max(F.size(F.split(F.split("form", "\t")[0], " ")) - F.size("used")).alias("left")
+        sizes = shards.groupBy("shard").agg(F.count("*").alias("k"), left, (F.max("exact") | (F.min("word") < F.max("word"))).alias("meet")).where("k > 1 AND meet").drop("meet")
+        sizes = cut(sizes)
         hot = (F.col("k") > SHARD_NAMES) & (F.col("left") > 0)
         more = not sizes.where(hot).isEmpty()
         met = shards.join(sizes.where(~hot), "shard").withColumn("parts", F.ceil(F.col("k") / SALT_NAMES).cast("int")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         met = met.select("shard", "salt", "form", "n", "used", (F.pmod(F.xxhash64("form"), F.col("parts")) == F.col("salt")).alias("own"))
-        best = met.repartition(tasks, "shard", "salt").sortWithinPartitions("shard", "salt").mapInArrow(_searcher(bits), "form string, other string, m bigint, d int")
+        best = met.repartition(tasks, "shard", "salt").sortWithinPartitions("shard", "salt").mapInArrow(_searcher(bits, level), "form string, other string, m bigint, d int")
         found = best if found is None else found.unionByName(best)
         if not more:
             return found

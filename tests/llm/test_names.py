@@ -1,6 +1,8 @@
 import itertools
 import random
 
+import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -119,3 +121,39 @@ def test_one_employer_in_a_third_of_the_rows(spark):
     posted = [(f"u{i}", f"Brandmea Stondbrel{' Inc' * (i % 2)}" if i % 3 == 0 else f"Other{i}name Some{i}thing") for i in range(300)]
     got = _run(spark, [("k4", "Brandmea & Stondbrel Tech")], posted)
     assert len(got) == 100 and {x[1] for x in got} == {"k4"}
+
+
+def _local(forms, monkeypatch):
+    """The best neighbours of forms, from the shards of one level, and the number of walks through tries."""
+    batch = pa.RecordBatch.from_pydict({"shard": [0] * len(forms), "form": list(forms), "n": list(forms.values()), "used": pa.array([[]] * len(forms), pa.list_(pa.int32())), "word": [0] * len(forms), "exact": [True] * len(forms)})
+    shards, best, walks, walk = {}, {}, [], N.walk
+    for out in N._sharder(1)([batch]):
+        for r in out.to_pylist():
+            shards.setdefault(r["shard"], []).append((r["form"], r["n"], r["used"], True))
+    monkeypatch.setattr(N, "walk", lambda *a: walks.append(a) or walk(*a))
+    bits = N.Frequencies(np.zeros(2 * N.SKETCH, np.int64), len(forms))
+    for shard, rows in shards.items():
+        for form, other, m, d in N._best_in_shard(rows, bits, shard, 1):
+            best[form] = max(best.get(form, (0, 0, "")), (m, -d, other))
+    return {f: b[2] for f, b in best.items()}, len(walks)
+
+
+def test_names_that_share_many_pieces_meet_in_one_shard(monkeypatch):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(8))
+    first = [word() for _ in range(3)]
+    forms = {}
+    for k in range(60):
+        a, b = first[k % 3], word()
+        for n, (x, y) in enumerate(((a, b), (a[:4] + "z" + a[5:], b), (a, b[:3] + b[4] + b[3] + b[5:]), (a, "z" + b))):
+            forms[" ".join(sorted((x, y))) + "\t"] = 1000 * (4 - n) + k
+    got, walks = _local(forms, monkeypatch)
+
+    def near(f, g):
+        v, w = N.own_words(f), N.own_words(g)
+        return any(N.distance(v[0], x, 2) + N.distance(v[1], y, 2) <= 2 and min(N.distance(v[0], x, 2), N.distance(v[1], y, 2)) <= 1 for x, y in (w, w[::-1]))
+
+    want = {f: max((m, g) for g, m in forms.items() if near(f, g))[1] for f, n in forms.items() if any(near(f, g) and m > n for g, m in forms.items())}
+    assert got == want
+    # a name goes through a trie for each word that one of its words may be, where every shared piece gave one more
+    assert walks <= 10 * len(forms)
