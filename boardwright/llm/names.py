@@ -468,11 +468,11 @@ def neighbours(forms: DataFrame) -> DataFrame:
     spark = forms.sparkSession
     bits = spark.sparkContext.broadcast(frequencies(forms))
     rows = forms.select(F.lit(0).cast("bigint").alias("shard"), "form", "n", F.array().cast("array<int>").alias("used"), F.lit(0).cast("bigint").alias("word"), F.lit(True).alias("exact"))
-    # by number: the rows are small and the work is not, so partitions aren't to be coalesced by size
+    # by number: the rows are small and the work is not, so partitions aren't to be coalesced by size, here and below
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found, level = None, 1
     while True:
-        shards = rows.mapInArrow(_sharder(level), _SHARDS)
+        shards = rows.repartition(tasks, "form").mapInArrow(_sharder(level), _SHARDS)
         # shards of one name have no neighbours to offer, nor have those of a shorter piece that only one word has
         left = F.max(F.size(F.split(F.split("form", "\t")[0], " ")) - F.size("used")).alias("left")
         sizes = shards.groupBy("shard").agg(F.count("*").alias("k"), left, (F.max("exact") | (F.min("word") < F.max("word"))).alias("meet")).where("k > 1 AND meet").drop("meet")
